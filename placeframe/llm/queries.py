@@ -20,8 +20,33 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import toxicity
+
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import quality_rules
+
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import quality
+
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_sharding": op3_sharding}
+    return {f.__name__: f for f in (op3_sharding, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
