@@ -20,6 +20,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import warc
+
+    index = warc.archive_and_index(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "merge_range", "position")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeframe.llm import toxicity
 
@@ -45,8 +52,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import sentencepiece_fst
+
+    return sentencepiece_fst.encode(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sharding, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id)}
+    return {f.__name__: f for f in (op3_sharding, op4_warc, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
