@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import decontamination
+
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeframe.llm import sharding
 
@@ -59,7 +65,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sharding, op4_warc, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op3_sharding, op4_warc, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
