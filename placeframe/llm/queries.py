@@ -33,6 +33,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "merge_range", "position")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import ngram_join
+
+    return ngram_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeframe.llm import toxicity
 
@@ -65,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op3_sharding, op4_warc, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op3_sharding, op4_warc, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
