@@ -20,6 +20,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import suffix_dedup
+
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeframe.llm import sharding
 
@@ -71,7 +77,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op3_sharding, op4_warc, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_sharding, op4_warc, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
