@@ -92,7 +92,8 @@ def acres_to_m2(plot_acres) -> Column:
 
 
 def beds_bucket(beds, top: int = 5) -> Column:
-    return F.least(_c(beds), F.lit(top))
+    """Null stays null: ``least`` alone would skip it."""
+    return F.when(_c(beds).isNotNull(), F.least(_c(beds), F.lit(top)))
 
 
 def bucket(value, stops: list[float]) -> Column:
