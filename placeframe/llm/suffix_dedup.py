@@ -45,6 +45,8 @@ LENGTH, GRAM, SHALLOW = 50, 20, 24
 BATCH_BYTES, BUCKET_BYTES, SLAB = 4 << 20, 8 << 20, 1 << 20
 #: An anchor that this many batches hold sends its windows one by one.
 HOT_BATCHES = 48
+#: Tasks of a step that works batch by batch.
+MAX_TASKS = 20_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -169,7 +171,7 @@ def _unsix(data: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def anchor_blobs(manifest: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def anchor_blobs(manifest: DataFrame, buckets: int, parts: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
@@ -179,7 +181,7 @@ def anchor_blobs(manifest: DataFrame, buckets: int, id_col: str, text_col: str)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "batch", "keys", "many"])
 
-    return manifest.repartition("batch").select("batch").mapInArrow(run, "bucket int, batch string, keys binary, many binary")
+    return manifest.repartition(parts, "batch").select("batch").mapInArrow(run, "bucket int, batch string, keys binary, many binary")
 
 
 def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +240,7 @@ def _contexts(buckets: int, id_col: str, text_col: str):
                 first = np.flatnonzero(np.r_[True, context[s + 1 : e] != context[s : e - 1]])
                 which = np.repeat(np.arange(len(first)), np.diff(np.r_[first, e - s]))
                 text = buf[_ranges(start[s:e][first], count[s:e][first] + LENGTH - 1)]
-                out.append((i, path, pack.compress(pickle.dumps((context[s:e][first], count[s:e][first].astype(np.uint8), text, which.astype(np.uint32), doc[s:e], start[s:e]), 5))))
+                out.append((i, path, pack.compress(pickle.dumps((count[s:e][first].astype(np.uint8), text, which.astype(np.uint32), doc[s:e], start[s:e]), 5))))
         return pd.DataFrame(out, columns=["bucket", "batch", "blob"])
 
     return run
@@ -342,16 +344,23 @@ def deep_shallow_sort(text: np.ndarray, at: np.ndarray, length: int = LENGTH, sh
     return order, fresh
 
 
+def _context_hashes(text: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashes of contexts that stand one after the other, from their numbers of windows."""
+    end = np.cumsum(count.astype(np.int64) + LENGTH - 1)
+    return K.span_hash(K.prefix(K.byte_values(text)), end - (count.astype(np.int64) + LENGTH - 1), end)
+
+
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sort the windows of a bucket's contexts; the removed spans (start, end) of each batch."""
     unpack = zstandard.ZstdDecompressor()
     got = [pickle.loads(unpack.decompress(x)) for x in pdf["blob"]]
-    context, count = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64)
-    text = np.concatenate([g[2] for g in got])
+    context = np.concatenate([_context_hashes(g[1], g[0]) for g in got])
+    count = np.concatenate([g[0] for g in got]).astype(np.int64)
+    text = np.concatenate([g[1] for g in got])
     before = np.cumsum([0, *[len(g[0]) for g in got]])
-    which = np.concatenate([g[3].astype(np.int64) + b for g, b in zip(got, before, strict=False)])
-    doc, start = np.concatenate([g[4] for g in got]), np.concatenate([g[5] for g in got])
-    batch = np.repeat(np.arange(len(got)), [len(g[4]) for g in got])
+    which = np.concatenate([g[2].astype(np.int64) + b for g, b in zip(got, before, strict=False)])
+    doc, start = np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got])
+    batch = np.repeat(np.arange(len(got)), [len(g[3]) for g in got])
     _, one, inverse = np.unique(context, return_index=True, return_inverse=True)
     began = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
     windows = count[one]
@@ -393,12 +402,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     ship_package(spark)
     manifest = spool(docs, text_col)
-    total = manifest.agg(F.sum("bytes")).first()[0] or 0
-    buckets = min(1 << 16, max(64, total // BUCKET_BYTES))
-    shared = anchor_blobs(manifest, buckets, id_col, text_col).groupBy("bucket").applyInPandas(_shared_anchors, "batch string, bucket int, shared binary, hot binary")
-    contexts = materialise(shared.groupBy("batch").applyInPandas(_contexts(buckets, id_col, text_col), "bucket int, batch string, blob binary"), "suffix-contexts")
-    spans = contexts.groupBy("bucket").applyInPandas(_settle, "batch string, spans binary")
-    work = spans.unionByName(manifest.select("batch", F.lit(None).cast("binary").alias("spans")))
+    n, total = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    parts = max(1, min(n, MAX_TASKS))  # given outright: the manifest is small, but each of its rows is a batch of work
+    buckets = min(1 << 16, max(64, (total or 0) // BUCKET_BYTES))
+    shared = anchor_blobs(manifest, buckets, parts, id_col, text_col).groupBy("bucket").applyInPandas(_shared_anchors, "batch string, bucket int, shared binary, hot binary")
+    contexts = shared.repartition(parts, "batch").groupBy("batch").applyInPandas(_contexts(buckets, id_col, text_col), "bucket int, batch string, blob binary")
+    spans = contexts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_settle, "batch string, spans binary")
+    work = spans.unionByName(manifest.select("batch", F.lit(None).cast("binary").alias("spans"))).repartition(parts, "batch")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__{n}", k) for n, _, k in STATS]])
     is_text, names = text_col, schema.names
 
