@@ -48,7 +48,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what :func:`materialise` wrote for these frames; no plan that is still to run may read them."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            df._scratch = None
 
 
 def ship_package(spark: SparkSession) -> None:
