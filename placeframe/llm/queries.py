@@ -36,7 +36,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeframe.llm import warc
 
     index = warc.archive_and_index(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "merge_range", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from placeframe.llm import oracles
+
+    return {"op2_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_warc": oracles.WARC, "op5_ngram_join": oracles.NGRAM_JOIN}
