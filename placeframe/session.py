@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -29,10 +32,13 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "pla
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a local one, removed at exit."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "placeframe-shared")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="placeframe-shared-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        at = f"file://{_LOCAL[0]}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
