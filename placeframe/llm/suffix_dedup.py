@@ -44,7 +44,7 @@ from placeframe.session import fresh_path, materialise, ship_package
 LENGTH, GRAM, SHALLOW = 50, 20, 24
 BATCH_BYTES, BUCKET_BYTES, SLAB = 4 << 20, 8 << 20, 1 << 20
 #: An anchor that this many batches hold sends its windows one by one.
-HOT_BATCHES = 48
+HOT_BATCHES = 1024
 #: Tasks of a step that works batch by batch.
 MAX_TASKS = 20_000
 _LAST = np.iinfo(np.int64).max
