@@ -80,6 +80,15 @@ def probabilities(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray
     return z / z.sum(1, keepdims=True)
 
 
+def _of_texts(model: Model, texts: list[bytes], size: int = 64) -> np.ndarray:
+    """Probabilities of many texts, a few at a time: the driver's memory stays small."""
+    out = []
+    for i in range(0, len(texts), size):
+        part = texts[i : i + size]
+        out.append(probabilities(model, np.frombuffer(b"".join(part), np.uint8), np.r_[0, np.cumsum([len(t) for t in part])]))
+    return np.concatenate(out)
+
+
 def _snippets(text: bytes, rng: np.random.Generator) -> Iterator[bytes]:
     """The whole text's training views: spans of 12 to 400 bytes all over it."""
     for _ in range(1 + min(5, len(text) // 400)):
@@ -126,9 +135,8 @@ def train(rows: list[tuple[str, bytes, int]], epochs: int = 4, rate: float = 1.0
             done += 1
     model = Model(langs, (embed @ soft).astype(np.float32), bias.astype(float))
     texts = [(langs.index(lang), s) for lang, text, _ in check for s in (text, *_snippets(text, rng))]
-    buf, offs = np.frombuffer(b"".join(s for _, s in texts), np.uint8), np.r_[0, np.cumsum([len(s) for _, s in texts])]
     y = np.array([t[0] for t in texts])
-    logp = np.log(probabilities(model, buf, offs) + 1e-12)
+    logp = np.log(_of_texts(model, [s for _, s in texts]) + 1e-12)
 
     def loss(t: float) -> float:
         z = logp / t
@@ -136,7 +144,7 @@ def train(rows: list[tuple[str, bytes, int]], epochs: int = 4, rate: float = 1.0
 
     model.temperature = float(min(np.geomspace(0.1, 4, 40), key=loss))
     whole = np.array([s for _, t, _ in check for s in (True, *[False] * (1 + min(5, len(t) // 400)))])
-    sure = probabilities(model, buf, offs).max(1)[whole[: len(texts)]]
+    sure = _of_texts(model, [s for (_, s), w in zip(texts, whole, strict=True) if w]).max(1)
     model.threshold = float(min(0.5, np.quantile(sure, 0.001)))
     return model
 
