@@ -152,7 +152,9 @@ def test_pack_round_trip():
     assert sorted(n for v in got.values() for _, n in v) == nodes.tolist()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", (0, 1000))
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, 200: 100, 300: 100}
