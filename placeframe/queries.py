@@ -221,7 +221,7 @@ def _squares(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "feature_id int, school string, sector string, top_rank int, stages string, polys array<array<array<struct<x:double,y:double>>>>")
 
 
-_BOXES = "boxes AS (SELECT i AS feature_id, 'School ' || i AS school, CASE WHEN i % 3 = 0 THEN 'RC' ELSE 'ND' END AS sector, CASE WHEN i % 2 = 1 THEN i END AS top_rank, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'P1-P4' ELSE 'P5-P7' END AS stages, -3.60 + 0.1 * i AS w, 55.83 AS s, -3.455 + 0.1 * i AS e, 55.99 AS n, false AS hole FROM range(8) r(i) UNION ALL SELECT 8, 'School 8', 'ND', NULL, '', -3.5, 55.9, -3.0, 56.05, true)"
+_BOXES = "boxes AS (SELECT i::INT AS feature_id, 'School ' || i AS school, CASE WHEN i % 3 = 0 THEN 'RC' ELSE 'ND' END AS sector, CASE WHEN i % 2 = 1 THEN i::INT END AS top_rank, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'P1-P4' ELSE 'P5-P7' END AS stages, -3.60 + 0.1 * i AS w, 55.83 AS s, -3.455 + 0.1 * i AS e, 55.99 AS n, false AS hole FROM range(8) r(i) UNION ALL SELECT 8, 'School 8', 'ND', NULL, '', -3.5, 55.9, -3.0, 56.05, true)"
 _INSIDE = f"hits AS (SELECT c_custkey, feature_id, school, sector, top_rank, stages FROM {_points_sql('customer', 'c_custkey')} a, boxes WHERE lng >= w::DOUBLE AND lng <= e::DOUBLE AND lat >= s::DOUBLE AND lat <= n::DOUBLE AND NOT (hole AND lng > -3.4 AND lng < -3.2 AND lat > 55.95 AND lat < 56.0))"
 
 
