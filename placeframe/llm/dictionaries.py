@@ -35,14 +35,14 @@ def fold_of(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % FOLDS
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
-    """(fold, text, label) of a bounded sample of the rows that may be learned from; an id with two labels has the larger."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> list[tuple]:
+    """(fold, text, label), and the language if asked for, of a bounded sample of the rows that may be learned from; an id with two labels has the larger."""
     one = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0)).groupBy(id_col).agg(F.max(label).alias("__y"))
     picked = [one.where(F.col("__y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
     keys = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows at most
-    texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_SAMPLE_BYTES)).select(id_col, text_col)
-    rows = texts.join(keys, id_col).orderBy(F.xxhash64(id_col), id_col, text_col).limit(2 * per_class).select(fold(id_col), text_col, "__y").collect()
-    return [(r[0], r[1], r[2]) for r in rows]
+    texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_SAMPLE_BYTES)).select(id_col, text_col, *([F.col(lang_col).cast("string").alias("__lang")] if lang_col else []))
+    rows = texts.join(keys, id_col).orderBy(F.xxhash64(id_col), id_col, text_col).limit(2 * per_class).select(fold(id_col), text_col, "__y", *(["__lang"] if lang_col else [])).collect()
+    return [tuple(r) for r in rows]
 
 
 def pieces(data: bytes, size: int) -> list[bytes]:

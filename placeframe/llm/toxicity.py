@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary labelled text and one on the toxic spans of toxic labelled text. A
-toxic label covers a whole document of mostly ordinary words, so its toxic spans are found first: words with a substring of
-five bytes that is in far more toxic than ordinary documents. A text is cut into windows, and each is compressed twice,
-with the ordinary dictionary as history and with the toxic one put before it. The bytes saved by the second are the
-distance: nothing for ordinary windows, several where the toxic dictionary holds a word of the window.
+toxic label covers a whole document of mostly ordinary words, so its toxic spans are found first: words that are, or have
+a substring that is, in more toxic documents than chance allows, counted within each language and so that the bound does
+not hang on other markers. The contrast is repeated on the toxic documents that no marker explains yet. A text is cut into
+windows, and each is compressed twice, with the ordinary dictionary as history and with the toxic one put before it. The
+bytes saved by the second are the distance: nothing for ordinary windows, several where the toxic dictionary holds a word
+of the window.
 
 The strongest windows, and the counts beyond thresholds calibrated on ordinary windows, make a logistic score, fitted on
 folds that neither dictionary has seen.
@@ -24,9 +26,9 @@ from pyspark.sql import DataFrame
 from placeframe.llm import dictionaries as D
 
 WINDOW = 64
-#: Bytes of a toxic marker; documents that must have it; deviations beyond chance that it must show, at least and as a
-#: share of the strongest marker's.
-MARKER, MARKER_DOCS, DEVIATIONS, DEVIATION_SHARE = 5, 3, 4.5, 0.3
+#: Bytes of a toxic marker besides whole words (a blank stands for a word's end); toxic documents that must have it; the
+#: number of false markers that chance may add to a contrast.
+MARKERS, MARKER_DOCS, CHANCE = (5, 8), 3, 0.1
 ORDINARY_BYTES, TOXIC_BYTES = 96 * 1024, 64 * 1024
 #: Shares of ordinary windows beyond each threshold.
 TAILS = (0.01, 0.002, 0.0005)
@@ -35,24 +37,50 @@ _WORD = re.compile(rb"[^\s.,!?;:|*#$%&]+")
 
 
 def _markers(word: bytes) -> set[bytes]:
-    return {word[i : i + MARKER] for i in range(max(1, len(word) - MARKER + 1))} if len(word) >= 4 else set()
+    if len(word) < 4:
+        return set()
+    w = b" " + word + b" "
+    return {w} | {w[i : i + k] for k in MARKERS for i in range(len(w) - k + 1)}
 
 
 def toxic_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The words of toxic texts, a byte of context about them, that toxic texts have much more often than ordinary ones."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for count, texts in zip(seen, (ordinary, toxic), strict=True):
-        for t in set(texts):
-            count.update({m for w in set(_WORD.findall(t)) for m in _markers(w)})
-    n = np.array([len(set(ordinary)), len(set(toxic))], float)
-    names = [m for m, k in seen[1].items() if k >= MARKER_DOCS]
-    if not names:
-        return []
-    k = np.array([seen[1][m] for m in names], float)
-    share = (k + np.array([seen[0][m] for m in names])) / n.sum()
-    z = (k - n[1] * share) / np.sqrt(n[1] * share * (1 - share) + 1e-9)
-    marked = {m for m, v in zip(names, z, strict=True) if v >= max(DEVIATIONS, DEVIATION_SHARE * z.max())}
-    return [t[max(0, m.start() - 1) : m.end() + 1] for t in toxic for m in _WORD.finditer(t) if _markers(m.group()) & marked]
+    """The words of toxic texts of one language, a byte of context about them, that toxic texts have more often than chance allows."""
+    codes: dict[bytes, int] = {}
+    known: dict[bytes, list[int]] = {}
+
+    def coded(text: bytes) -> np.ndarray:
+        for w in (words := set(_WORD.findall(text))):
+            if w not in known:
+                known[w] = [codes.setdefault(m, len(codes)) for m in _markers(w)]
+        return np.unique(np.array([m for w in words for m in known[w]], np.int64))
+
+    plain = [coded(t) for t in set(ordinary)]
+    open_ = [coded(t) for t in set(toxic)]
+    count = lambda parts: np.bincount(np.concatenate([*parts, np.zeros(0, np.int64)]), minlength=len(codes))
+    seen, marked = count(plain), np.zeros(len(codes), bool)
+    while open_:
+        k = count(open_).astype(float)
+        total, base = k + seen, len(open_) / (len(open_) + len(plain))
+        tried = (k >= MARKER_DOCS) & ~marked
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = k / total
+            # Hoeffding's bound on the chance of so many toxic documents among those that have the marker.
+            evidence = total * (p * np.log(p / base) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - base)), 0))
+        fresh = tried & (p > base) & (evidence >= np.log(max(tried.sum(), 1) / CHANCE))
+        if not fresh.any():
+            break
+        marked |= fresh
+        open_ = [c for c in open_ if not marked[c].any()]
+    toxic_words = {w for w, c in known.items() if marked[c].any()}
+    return [t[max(0, m.start() - 1) : m.end() + 1] for t in toxic for m in _WORD.finditer(t) if m.group() in toxic_words]
+
+
+def toxic_history(spans: list[list[bytes]]) -> bytes:
+    """The distinct spans of all groups, the commonest last; those beyond TOXIC_BYTES are dropped by their rank in the group."""
+    ranked = sorted((rank, g, s) for g, group in enumerate(spans) for rank, (s, _) in enumerate(Counter(group).most_common()))
+    out = list(dict.fromkeys(s for _, _, s in ranked))
+    room = np.cumsum([len(s) for s in out]) <= TOXIC_BYTES
+    return b"".join(s for s, fits in zip(reversed(out), reversed(room.tolist()), strict=True) if fits)
 
 
 def differences(sizes: D.Sizes, texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +107,13 @@ def features(model: D.Model, sizes: D.Sizes, texts: list[bytes]) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = D.PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> D.Model:
-    return fit_rows(D.labelled_sample(docs, labels, label, per_class, id_col, text_col))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = D.PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> D.Model:
+    """Fitted on the labelled sample; without a column ``lang_col`` all texts count as one language."""
+    return fit_rows(D.labelled_sample(docs, labels, label, per_class, id_col, text_col, lang_col if lang_col in docs.columns else None))
 
 
-def fit_rows(rows: list[tuple[int, str, int]], window: int = WINDOW) -> D.Model:
+def fit_rows(rows: list[tuple], window: int = WINDOW) -> D.Model:
+    """rows: (fold, text, label) and, where known, the language."""
     y = np.array([r[2] for r in rows], float)
     if len(rows) < 2 or y.min() == y.max():
         return D.Model(b"\n", b"\n", window, prior=float(y.mean()) if len(y) else 0.0)
@@ -95,10 +125,11 @@ def fit_rows(rows: list[tuple[int, str, int]], window: int = WINDOW) -> D.Model:
     else:
         dictionary = ~held
     of = lambda c: [t for t, k, v in zip(texts, dictionary, y, strict=True) if k and v == c]
-    spans = toxic_spans(of(1), of(0))
-    groups = [b"".join(spans[i : i + 8]) for i in range(0, len(spans), 8)]
+    langs = [r[3] if len(r) > 3 else None for r in rows]
+    of_lang = lambda c, g: [t for t, k, v, x in zip(texts, dictionary, y, langs, strict=True) if k and v == c and x == g]
+    spans = [toxic_spans(of_lang(1, g), of_lang(0, g)) for g in dict.fromkeys(langs)]
     ordinary = D.train_dictionary(of(0), window, ORDINARY_BYTES)
-    toxic = b"".join(dict.fromkeys(spans))[-TOXIC_BYTES:] if len(groups) < 64 else D.train_dictionary(groups, window, TOXIC_BYTES)
+    toxic = toxic_history(spans)
     model = D.Model(ordinary, toxic + ordinary, window, raw=True)
     sizes = D.Sizes(model)
     held_texts, held_y = [t for t, k in zip(texts, held, strict=True) if k], y[held]

@@ -245,6 +245,23 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxic_words_of_a_rare_language_are_learned():
+    rng = random.Random(14)
+    bad = {"en": ["stupidhead"], "de": ["quarkzwerg", "mistgabler", "schnoddrig", "flachzang"]}
+    rows = []
+    for i in range(2400):
+        lang, y = "de" if i % 6 == 0 else "en", i // 6 % 5 == 0
+        word = rng.choice(bad[lang]) if y else ""
+        rows.append((i // 30 % 5, " ".join(f"{X.words(rng, 20)} {word}" for _ in range(4)), int(y), lang))
+    model = toxicity.fit_rows([r for r in rows if r[0]])
+    held = [r for r in rows if not r[0]]
+    p = toxicity.D.probability(model, toxicity.features(model, toxicity.D.Sizes(model), [r[1].encode() for r in held]))
+    for lang in bad:
+        for y in (0, 1):
+            hits = [(v >= 0.5) == y for v, r in zip(p, held, strict=True) if r[2:] == (y, lang)]
+            assert len(hits) >= 10 and np.mean(hits) >= 0.9
+
+
 def test_quality(spark):
     mark = lambda rng, y: X.words(rng, 80) if y else " ".join(w + rng.choice(("###", "$$$", "***")) for w in X.words(rng, 80).split(" "))
     docs, labels = labelled(spark, mark, "quality")
