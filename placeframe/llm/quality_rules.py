@@ -4,8 +4,10 @@ The measures of every text are taken once and written; quantile sketches (KLL, m
 each language and source, merged into sketches of each language and of all rows, and turned into upper fences. Each text
 is then joined with the fences of its own group, and kept where it stays within all of them.
 
-A fence is median + SPREAD * (upper - median), with a floor below which nothing is refused: where a group is uniform, a
-text a little off the median is no worse for it. Groups of fewer than ``MIN_GROUP`` texts take their language's fences,
+A fence is median + SPREAD * spread, between two bounds of the ratio. The spread is that of the upper quartile or of the
+last tenth, whichever is larger, both in units of a normal distribution's upper quartile, so that it stays defined where
+the quartile equals the median. A group that is uniform up to its last tenth says nothing about its spread and has the
+lower bound; one with much junk cannot raise its fence beyond the upper bound. Groups of fewer than ``MIN_GROUP`` texts take their language's fences,
 and those of small languages the fences of all texts.
 
 Null and empty texts have zeros everywhere and fail the base rules. Null languages and sources form groups of their own.
@@ -28,14 +30,16 @@ from placeframe.session import materialise, ship_package
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Ratio, its expression and its floor.
+#: Ratio, its expression and the bounds of its fence. (A repeat ratio over 0.20 fails the base rules.)
 RATIOS = {
-    "symbol_ratio": ("n_symbols / greatest(word_chars, 1)", 0.10),
-    "dup_line_ratio": ("n_dup_lines / greatest(n_lines, 1)", 0.50),
-    "repeat_ratio": ("n_repeat_words / greatest(n_words, 1)", 0.20),
-    "word_length": ("word_chars / greatest(n_words, 1)", 12.0),
+    "symbol_ratio": ("n_symbols / greatest(word_chars, 1)", 0.10, 0.25),
+    "dup_line_ratio": ("n_dup_lines / greatest(n_lines, 1)", 0.50, 0.75),
+    "repeat_ratio": ("n_repeat_words / greatest(n_words, 1)", 0.05, 0.20),
+    "word_length": ("word_chars / greatest(n_words, 1)", 4.0, 12.0),
 }
-UPPER, SPREAD, MIN_GROUP = 0.75, 8.0, 200
+#: Quantiles above the median, and their distance from it in a normal distribution over that of the upper quartile.
+UPPER = ((0.75, 1.0), (0.90, 1.9))
+SPREAD, MIN_GROUP = 8.0, 200
 SKETCH_K = 400
 #: Fences are broadcast up to this many groups (some 100 bytes each), and joined by a shuffle beyond it.
 MAX_BROADCAST_GROUPS = 20_000
@@ -99,11 +103,12 @@ def fences(ratios: DataFrame) -> DataFrame:
     whole = lang.agg(rows, *merge)
 
     def fenced(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        def fence(r: str, floor: float):
-            mid, up = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.5, UPPER))
-            return F.greatest(F.lit(floor), mid + SPREAD * (up - mid)).alias(f"{tag}_{r}")
+        def fence(r: str, low: float, high: float):
+            at = lambda q: F.kll_sketch_get_quantile_double(r, F.lit(q))
+            spread = F.greatest(*[(at(q) - at(0.5)) / unit for q, unit in UPPER])
+            return F.least(F.greatest(at(0.5) + SPREAD * spread, F.lit(low)), F.lit(high)).alias(f"{tag}_{r}")
 
-        return df.select(*keys, F.col("__n").alias(f"{tag}_n"), *[fence(r, floor) for r, (_, floor) in RATIOS.items()])
+        return df.select(*keys, F.col("__n").alias(f"{tag}_n"), *[fence(r, low, high) for r, (_, low, high) in RATIOS.items()])
 
     a, b, c = fenced(own, ["lang", "source"], "own"), fenced(lang, [F.col("lang").alias("__lang")], "lang"), fenced(whole, [], "all")
     joined = a.join(b, F.col("lang").eqNullSafe(F.col("__lang"))).crossJoin(F.broadcast(c))  # c is one row
@@ -114,7 +119,7 @@ def fences(ratios: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Base counts, base_failed, kept and the broken rule (null where kept) of every row."""
     counted = materialise(measures(docs, id_col, text_col, lang_col, source_col), "quality-measures")
-    ratios = counted.select("*", *[F.expr(f"cast({e} as double)").alias(r) for r, (e, _) in RATIOS.items()])
+    ratios = counted.select("*", *[F.expr(f"cast({e} as double)").alias(r) for r, (e, *_) in RATIOS.items()])
     limits = materialise(fences(ratios), "quality-fences")
     if limits.count() <= MAX_BROADCAST_GROUPS:
         limits = F.broadcast(limits)

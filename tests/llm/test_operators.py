@@ -214,6 +214,17 @@ def test_fences_follow_the_group(spark):
     assert all(got[i] for i in range(600)) and not any(got[i] for i in range(1000, 1020))
 
 
+def test_fences_tighten_and_stay_bounded(spark):
+    rng = random.Random(15)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    text = lambda size, tail="": " ".join(word(rng.choice(size)) + tail for _ in range(80))
+    rows = [(i, text((4, 5, 6)), "en", "plain") for i in range(300)] + [(1000 + i, text((8, 9, 10)), "en", "plain") for i in range(15)]
+    rows += [(2000 + i, text((4, 5, 6)), "en", "hot") for i in range(220)] + [(3000 + i, text((4, 5, 6), "****"), "en", "hot") for i in range(80)]
+    got = {r.doc_id: r.rule for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {got[i] for i in got if i < 1000 or 2000 <= i < 3000} == {None}
+    assert {got[i] for i in got if 1000 <= i < 2000} == {"word_length"} and {got[i] for i in got if i >= 3000} == {"symbol_ratio"}
+
+
 # ---------------------------------------------------------------- classifiers
 
 
