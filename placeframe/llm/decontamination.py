@@ -6,6 +6,10 @@ placeholders. Windows of ``WINDOW`` tokens (a shorter item is one window) are ha
 stand for must agree: along a matched stretch each slot value of the item must always meet the same value of the document.
 An item whose values all meet themselves is verbatim; one with other, consistent values is re-parameterised.
 
+With ``split``, which the query and the pipeline set, a conflict ends a stretch instead of discarding the match: windows
+whose slot values all equal the item's always count, and so do the windows of each consistent stretch. Without it, one
+conflicting slot clears the whole match.
+
 The benchmark is the stated query set, and every document meets all of it, in blocks: a block holds at most
 ``BLOCK_WINDOWS`` windows, so what is broadcast has a fixed bound, and a larger benchmark takes more passes over the
 documents, never more memory.
@@ -174,7 +178,33 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield block(part)
 
 
-def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, bool, int]]:
+def stretches(qs: set[int], size: int, slots: dict[int, tuple[int, int, int]]) -> Iterator[tuple[set[int], bool, int]]:
+    """(windows, verbatim, slots compared) of the verbatim windows of a diagonal and of each of its consistent stretches."""
+    of = {q: [slots[p] for p in range(q, q + size) if p in slots] for q in sorted(qs)}
+    same = {q for q, values in of.items() if all(mine == theirs for _, mine, theirs in values)}
+    if same:
+        yield same, True, len({p for q in same for p in range(q, q + size) if p in slots})
+    run: set[int] = set()
+    meets: dict[tuple[int, int], int] = {}
+
+    def stretch() -> tuple[set[int], bool, int]:
+        return run, run <= same, len({p for q in run for p in range(q, q + size) if p in slots})
+
+    for q, values in of.items():
+        trial = dict(meets)
+        if not all(trial.setdefault((kind, mine), theirs) == theirs for kind, mine, theirs in values):
+            if run:
+                yield stretch()
+            run, trial = set(), {}
+            if not all(trial.setdefault((kind, mine), theirs) == theirs for kind, mine, theirs in values):
+                meets = {}
+                continue
+        run, meets = run | {q}, trial
+    if run:
+        yield stretch()
+
+
+def match(b: Block, texts: pa.Array, split: bool = False) -> Iterator[tuple[int, int, int, bool, int]]:
     """(row, item index, matched windows, verbatim, slots) of each pair that counts."""
     if not len(b.hashes):
         return
@@ -194,6 +224,7 @@ def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, bool, int]
                     i += 1
         for (row, item), diagonals in found.items():
             windows_of, same, slots = set(), True, 0
+            best: tuple[set[int], bool, int] = (set(), True, 0)
             meets: dict[tuple[int, int], int] = {}
             size = min(WINDOW, int(b.start[item + 1] - b.start[item]))
             for shift, qs in sorted(diagonals.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -201,14 +232,19 @@ def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, bool, int]
                 values = [(int(b.slot[b.start[item] + q]), int(b.value[b.start[item] + q]), int(c.value[shift + q])) for q in places if b.slot[b.start[item] + q]]
                 trial = dict(meets)
                 good = all(trial.setdefault((kind, mine), theirs) == theirs for kind, mine, theirs in values)
+                if split and not good:
+                    at = {q: (int(b.slot[b.start[item] + q]), int(b.value[b.start[item] + q]), int(c.value[shift + q])) for q in places if b.slot[b.start[item] + q]}
+                    best = max([best, *stretches(qs, size, at)], key=lambda x: len(x[0]))
                 if good:
                     meets, windows_of, slots = trial, windows_of | qs, slots + len(values)
                     same &= all(mine == theirs for _, mine, theirs in values)
+            if len(best[0]) > len(windows_of):
+                windows_of, same, slots = best
             if windows_of and (len(windows_of) >= MIN_WINDOWS or len(windows_of) >= MIN_COVERAGE * b.total[item]):
                 yield first + row, item, len(windows_of), same, slots
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", split: bool = False) -> DataFrame:
     """One row per pair: document id, item id, matched windows, the item's windows, coverage, kind and slots compared."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -224,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             own = shared.value
             kind = pa.array(own.ids).type
             for batch in batches:
-                got = list(match(own, batch.column(1)))
+                got = list(match(own, batch.column(1), split))
                 if got:
                     rows, items, n, same, slots = zip(*got, strict=True)
                     total = [int(own.total[i]) for i in items]
@@ -244,7 +280,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", split: bool = False) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; texts are filtered where they are, never shuffled."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -255,7 +291,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in match(shared.value, batch.column(at))]] = False
+                keep[[m[0] for m in match(shared.value, batch.column(at), split)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)

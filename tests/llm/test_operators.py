@@ -183,6 +183,21 @@ def test_decontamination(spark):
     assert decontamination.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_a_conflicting_slot_ends_a_stretch(spark):
+    from placeframe.llm import queries
+
+    mixed = "Alpha has 7 apples and gives 7 pears to the shop while 7 cows look on from the long green hill today"
+    items = spark.createDataFrame([(2, mixed)], "item_id long, text string")
+    rows = [(6, mixed.replace("7 apples", "9 apples")), (7, "Nothing of the kind is here at all, only plain words that go on."), (8, mixed.replace("7 apples", "9 apples")[:60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontamination.contaminated(df, items, split=True).collect()
+    assert [(r.doc_id, r.item_id, r.kind, r.n_windows) for r in got] == [(6, 2, "verbatim", 10)]
+    assert {r.doc_id for r in decontamination.keep_clean(df, items, split=True).collect()} == {7, 8}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "_table", lambda spark, sf_dir, name: df if name == "documents" else items)
+        assert [r.doc_id for r in queries.op1_decontamination(spark, "").collect()] == [6]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     texts = [X.words(rng, 30) for _ in range(40)]
