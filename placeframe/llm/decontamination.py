@@ -266,7 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     total = [int(own.total[i]) for i in items]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([own.ids[i] for i in items], kind), pa.array(n, pa.int32()), pa.array(total, pa.int32()), pa.array([a / t for a, t in zip(n, total, strict=True)]), pa.array(["verbatim" if s else "reparameterised" for s in same]), pa.array(slots, pa.int32())], names=schema.names)
 
-        return narrow.mapInArrow(run, schema)
+        return narrow.mapInArrow(K.lean(run), schema)
 
     for b in blocks(benchmark, item_col, item_text):
         if kept is not None:
@@ -294,5 +294,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 keep[[m[0] for m in match(shared.value, batch.column(at), split)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(K.lean(run), schema)
     return docs

@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeframe.llm.tokens import lean
 from placeframe.session import ship_package
 
 #: Labelled rows of each class that may reach the driver.
@@ -147,4 +148,4 @@ def score_frame(docs: DataFrame, model: Model, features: Callable[[Model, Sizes,
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lean(run), schema)

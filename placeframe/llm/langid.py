@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placeframe.llm.dictionaries import MAX_SAMPLE_BYTES, fold
-from placeframe.llm.tokens import LOWER, chunks
+from placeframe.llm.tokens import LOWER, chunks, lean
 from placeframe.session import ship_package
 
 #: Training documents that may reach the driver: of each language, and in all.
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[lang], pa.string()), pa.array(score), pa.array(rejected)], names=[id_col, "held_out", "lang_pred", "score", "rejected"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lean(run), schema)
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -213,4 +213,4 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             _, _, rejected = _decide(m, b.column(at), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
             yield b.select(list(range(b.num_columns - 1))).filter(pa.array(~rejected))
 
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(lean(run), docs.schema)

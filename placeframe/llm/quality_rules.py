@@ -90,7 +90,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, measure(b.column(3)))], names=[id_col, "lang", "source", *MEASURES])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), *[T.StructField(m, T.LongType()) for m in MEASURES]])
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(K.lean(run), schema)
 
 
 def fences(ratios: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def spool(docs: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    return materialise(docs.mapInArrow(run, "batch string, bytes long"), "suffix-manifest")
+    return materialise(docs.mapInArrow(K.lean(run), "batch string, bytes long"), "suffix-manifest")
 
 
 def read_batch(path: str, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def anchor_blobs(manifest: DataFrame, buckets: int, parts: int, id_col: str, tex
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "batch", "keys", "many"])
 
-    return manifest.repartition(parts, "batch").select("batch").mapInArrow(run, "bucket int, batch string, keys binary, many binary")
+    return manifest.repartition(parts, "batch").select("batch").mapInArrow(K.lean(run), "bucket int, batch string, keys binary, many binary")
 
 
 def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -405,9 +405,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n, total = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
     parts = max(1, min(n, MAX_TASKS))  # given outright: the manifest is small, but each of its rows is a batch of work
     buckets = min(1 << 16, max(64, (total or 0) // BUCKET_BYTES))
-    shared = anchor_blobs(manifest, buckets, parts, id_col, text_col).groupBy("bucket").applyInPandas(_shared_anchors, "batch string, bucket int, shared binary, hot binary")
-    contexts = shared.repartition(parts, "batch").groupBy("batch").applyInPandas(_contexts(buckets, id_col, text_col), "bucket int, batch string, blob binary")
-    spans = contexts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_settle, "batch string, spans binary")
+    shared = anchor_blobs(manifest, buckets, parts, id_col, text_col).groupBy("bucket").applyInPandas(K.lean_group(_shared_anchors), "batch string, bucket int, shared binary, hot binary")
+    contexts = shared.repartition(parts, "batch").groupBy("batch").applyInPandas(K.lean_group(_contexts(buckets, id_col, text_col)), "bucket int, batch string, blob binary")
+    spans = contexts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(K.lean_group(_settle), "batch string, spans binary")
     work = spans.unionByName(manifest.select("batch", F.lit(None).cast("binary").alias("spans"))).repartition(parts, "batch")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__{n}", k) for n, _, k in STATS]])
     is_text, names = text_col, schema.names
@@ -432,7 +432,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         columns = [text if n == is_text else rows.column(n) for n in rows.column_names] + [pa.array(s, k) for s, (_, k, _) in zip(stats, STATS, strict=True)]
         return pa.Table.from_arrays(columns, names=names)
 
-    return work.groupBy("batch").applyInArrow(cut, schema)
+    return work.groupBy("batch").applyInArrow(K.lean_group(cut), schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,8 +6,10 @@ longer text makes one longer chunk. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +122,42 @@ def ngrams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np
         h = h * U(0x2545F4914F6CDD1D) + hashes[i : i + n]
     first = np.flatnonzero(rows[:n] == rows[k - 1 :])
     return mix(h[first]), first
+
+
+def lean(run):
+    """``run``, a function from Arrow batches to Arrow batches, that gives its worker's free memory back when it ends.
+
+    Spark keeps Python workers for later tasks, of any operator; without this each keeps the most it ever held.
+    """
+
+    @wraps(run)
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return through
+
+
+def lean_group(run):
+    """As :func:`lean`, for a function of one group."""
+
+    @wraps(run)
+    def through(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return through
+
+
+def give_back() -> None:
+    _powers.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call
+        pass

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeframe.llm.tokens import lean
 from placeframe.session import fresh_path, materialise, ship_package
 
 #: Payloads below this many bytes are never revisits.
@@ -127,7 +128,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
         if out is not None:
             yield done()
 
-    return materialise(resolve(pages, id_col, url_col, html_col).mapInArrow(run, _MANIFEST), "warc-manifest")
+    return materialise(resolve(pages, id_col, url_col, html_col).mapInArrow(lean(run), _MANIFEST), "warc-manifest")
 
 
 def _open(uri: str):
@@ -191,7 +192,7 @@ def read_runs(manifest: DataFrame) -> DataFrame:
                 rows.sort(key=_order)
                 yield _batch([(*r, i) for i, r in enumerate(rows)])
 
-    return manifest.repartition("file").select("file").mapInArrow(run, _RUN)
+    return manifest.repartition("file").select("file").mapInArrow(lean(run), _RUN)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -259,7 +260,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
             n = part.num_rows
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([at] * n, pa.int32()), pa.array(range(i, i + n), pa.int64())], names=schema.names)
 
-    return ranged.mapInArrow(run, schema)
+    return ranged.mapInArrow(lean(run), schema)
 
 
 def archive_and_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -281,4 +282,4 @@ def payloads(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         if r["record_type"] == "response":
                             yield pa.RecordBatch.from_arrays([pa.array([r["page_id"]], pa.int64()), pa.array([r["payload"]], pa.binary())], names=["page_id", "payload"])
 
-    return manifest.repartition("file").select("file").mapInArrow(run, "page_id long, payload binary")
+    return manifest.repartition("file").select("file").mapInArrow(lean(run), "page_id long, payload binary")

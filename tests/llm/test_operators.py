@@ -128,6 +128,18 @@ def test_groups_are_tested_in_blocks(docs, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.link(docs).collect()) == X.jaccard_components(pairs())
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = (X.words(random.Random(i), 40) for i in range(4))
+    rows = [(1, a, 0.1), (2, a, 0.2), (2, b, 0.3), (7, c, 0.4), (9, d, 0.5), (9, d, 0.5), (None, a, 0.6), (None, None, 0.7), (None, None, 0.7), (3, "", 0.8), (None, "only here without an id today", 0.9), (7, f"{c} more", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __drop double").repartition(3)
+    got = sorted(map(tuple, ngram_join.keep_one(df).collect()), key=str)
+    assert got[:0] == [] and [r for r in got if r[0] != 7] == sorted([(1, a, 0.1), (2, b, 0.3), (9, d, 0.5), (None, None, 0.7), (None, None, 0.7), (3, "", 0.8), (None, "only here without an id today", 0.9)], key=str)
+    assert len([r for r in got if r[0] == 7]) == 1 and ngram_join.keep_one(df).columns == df.columns
+    hot = spark.createDataFrame([(5, a, 1.0)] * 300 + [(6, b, 1.0)], "doc_id long, text string, x double").repartition(4)
+    assert sorted(r.doc_id for r in ngram_join.keep_one(hot).collect()) == [5, 6]
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
 def test_linked_sets_share_a_key():
     rng = random.Random(9)
     for _ in range(300):
@@ -152,9 +164,7 @@ def test_pack_round_trip():
     assert sorted(n for v in got.values() for _, n in v) == nodes.tolist()
 
 
-@pytest.mark.parametrize("local", (0, 1000))
-def test_components(spark, monkeypatch, local):
-    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, 200: 100, 300: 100}
@@ -327,30 +337,77 @@ def test_long_texts_equal_short_chunks():
 # ---------------------------------------------------------------- sentencepiece
 
 
+def encoded(machine, texts):
+    import pyarrow as pa
+
+    encoder, out = sentencepiece_fst.Encoder(machine), []
+    for _, buf, offs in tokens.chunks(pa.array(texts, pa.string()), 20_000):
+        ids, at = encoder.encode(buf, offs)
+        out += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def test_transducer_equals_the_library():
     import sentencepiece
 
-    machine, library = sentencepiece_fst.Transducer(sentencepiece_fst.load()), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL_PATH)
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL_PATH)
     rng = random.Random(11)
-    texts = [t for _, t in pairs() if t is not None]
+    texts = [t for _, t in pairs() if t is not None] + ["\u2581", " ", "  a  ", "x" * 3000, "aeiou" * 400]
     texts += ["".join(rng.choice("ab  the\n\té語🙂1230xyzing ' ÀÈ▁") for _ in range(rng.randint(0, 60))) for _ in range(600)]
-    for t in texts:
-        assert np.frombuffer(machine.encode(t), "<i4").tolist() == library.encode(t), t[:80]
+    for t, got in zip(texts, encoded(sentencepiece_fst.machine(), texts), strict=True):
+        assert got == library.encode(t), t[:80]
 
 
-def test_cut_segments_equal_whole_paths():
-    machine = sentencepiece_fst.Transducer(sentencepiece_fst.load())
-    whole = sentencepiece_fst.Transducer(sentencepiece_fst.load())
-    whole.segment = __import__("re").compile("(?s).+")
-    whole.joins = {a + b for a in "abcdefghijklmnopqrstuvwxyz ▁.,\n" for b in "abcdefghijklmnopqrstuvwxyz ▁.,\n"}
-    for t in ("the quick brown fox.", "a, b.\nthe end", "  two  blanks "):
-        assert machine.encode(t) == whole.encode(t)
+def test_few_known_arcs_and_small_lattices_change_nothing(monkeypatch):
+    texts = [t for _, t in pairs()]
+    whole = encoded(sentencepiece_fst.machine(), texts)
+    monkeypatch.setattr(sentencepiece_fst, "KNOWN_ARCS", 16)
+    monkeypatch.setattr(sentencepiece_fst, "LATTICE", 40)
+    assert encoded(sentencepiece_fst.machine(), texts) == whole
+
+
+def unigram(squeeze=False, prefix=False):
+    scores = {"a": -1.0, "b": -1.5, "ab": -2.0, "aba": -4.0, "\u2581": -3.0, "\u2581a": -3.2}
+    surface = [p.replace("\u2581", " ").encode() for p in scores] + [bytes([b]) for b in range(256)]
+    return sentencepiece_fst.Vocabulary({p: i for i, p in enumerate(scores)}, scores, list(range(6, 262)), surface, True, prefix, squeeze, True)
 
 
 def test_unigram_path_is_the_cheapest():
-    v = sentencepiece_fst.Vocabulary({"a": 0, "b": 1, "ab": 2, "aba": 3}, {"a": -1.0, "b": -1.5, "ab": -2.0, "aba": -4.0}, list(range(4, 260)), [b"a", b"b", b"ab", b"aba"], True, False, False, False)
-    machine = sentencepiece_fst.Transducer(v)
-    assert machine.unigram_path("abab") == ["ab", "ab"] and machine.unigram_path("aab") == ["a", "ab"]
+    v = unigram()
+    machine = sentencepiece_fst.build(v)
+
+    def cheapest(t):
+        best = [(0.0, ())] + [None] * len(t)
+        for i in range(1, len(t) + 1):
+            ways = [(best[j][0] - v.scores[t[j:i]], (*best[j][1], v.pieces[t[j:i]])) for j in range(i) if t[j:i] in v.pieces]
+            best[i] = min(ways, key=lambda x: x[0])
+        return best[-1]
+
+    rng = random.Random(3)
+    texts = ["abab", "aab"] + ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 20))) for _ in range(200)]
+    names = {i: p for p, i in v.pieces.items()}
+    for t, got in zip(texts, encoded(machine, texts), strict=True):
+        assert "".join(names[i] for i in got) == t.replace(" ", "\u2581")
+        assert abs(-sum(v.scores[names[i]] for i in got) - cheapest(t.replace(" ", "\u2581"))[0]) < 1e-9
+    assert encoded(machine, ["aqa"]) == [[0, 6 + ord("q"), 0]] and encoded(machine, ["é"]) == [[6 + 0xC3, 6 + 0xA9]]
+
+
+@pytest.mark.parametrize("prefix", (False, True))
+@pytest.mark.parametrize("squeeze", (False, True))
+def test_normaliser(squeeze, prefix):
+    import re
+
+    m = sentencepiece_fst.build(unigram(squeeze, prefix)).normaliser
+    texts = ["", " ", "  a", "a  b ", "a", " a b  ", "ab", "   "]
+    points = np.array([ord(c) for t in texts for c in t], np.uint32)
+    out, at = m.run(points, np.r_[0, np.cumsum([len(t) for t in texts])])
+    got = ["".join(map(chr, out[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def expect(t):
+        t = re.sub(" +", " ", t).strip(" ") if squeeze else t
+        return ((" " if prefix else "") + t).replace(" ", "\u2581") if t else ""
+
+    assert got == [expect(t) for t in texts]
 
 
 def test_encode_decode_frame(docs, nothing):
