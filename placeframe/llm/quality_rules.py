@@ -1,17 +1,20 @@
 """Quality rules with adaptive thresholds.
 
-The measures of every text are taken once and written; quantile sketches (KLL, mergeable) of each measure are built for
-each language and source, merged into sketches of each language and of all rows, and turned into upper fences. Each text
-is then joined with the fences of its own group, and kept where it stays within all of them.
-
-A fence is median + SPREAD * spread, between two bounds of the ratio. The spread is that of the upper quartile or of the
-last tenth, whichever is larger, both in units of a normal distribution's upper quartile, so that it stays defined where
-the quartile equals the median. A group that is uniform up to its last tenth says nothing about its spread and has the
-lower bound; one with much junk cannot raise its fence beyond the upper bound. Groups of fewer than ``MIN_GROUP`` texts take their language's fences,
-and those of small languages the fences of all texts.
+The measures of every text are taken once and written. Quantile sketches (KLL, mergeable) of each ratio and of what it is
+divided by are built for each language and source and merged into sketches of each language and of all rows. Each text is
+then joined with the fences of its own group, and kept where it stays within all of them. No fence is a fixed value.
+
+A fence lies SPREAD spreads from the group's median. The spread is the distance of the quartile from the median, or that of
+the nearer quantile (0.6, 0.4) in the same units, whichever is smaller: junk in a quarter of a group and more does not move
+it. Where most texts have no symbol, no equal line or no repeat at all, the spread is 0, and the grain of the ratio stands
+for it: one symbol, line or repeated window in a text as long as the group's median text, or as long as this text if it is
+shorter. For word length, whose mean over few words is less exact, the spread grows with the square root of that length over
+the text's. Groups of fewer than ``MIN_GROUP`` texts have their language's fences, small languages those of all texts. What
+most texts of a group are like is its rule, whatever it is: a source that is junk throughout is left to the base rules.
 
 Null and empty texts have zeros everywhere and fail the base rules. Null languages and sources form groups of their own.
-Repeated rows are measured each for itself. An empty table gives no rows. Extra columns are ignored.
+Repeated rows are measured each for itself; long texts are measured whole. An empty table gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,26 +23,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placeframe.llm import tokens as K
-from placeframe.session import materialise, ship_package
+from placeframe.session import discard, materialise, ship_package
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Ratio, its expression and the bounds of its fence. (A repeat ratio over 0.20 fails the base rules.)
+#: Ratio, what is counted and by what it is divided, and its grain (None: a mean, whose spread depends on the number of words).
 RATIOS = {
-    "symbol_ratio": ("n_symbols / greatest(word_chars, 1)", 0.10, 0.25),
-    "dup_line_ratio": ("n_dup_lines / greatest(n_lines, 1)", 0.50, 0.75),
-    "repeat_ratio": ("n_repeat_words / greatest(n_words, 1)", 0.05, 0.20),
-    "word_length": ("word_chars / greatest(n_words, 1)", 4.0, 12.0),
+    "symbol_ratio": ("n_symbols", "word_chars", 1),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 1),
+    "repeat_ratio": ("n_repeat_words", "n_words", 10),
+    "word_length": ("word_chars", "n_words", None),
 }
-#: Quantiles above the median, and their distance from it in a normal distribution over that of the upper quartile.
-UPPER = ((0.75, 1.0), (0.90, 1.9))
-SPREAD, MIN_GROUP = 8.0, 200
+LENGTHS = ("word_chars", "n_lines", "n_words")
+#: Spreads from the median to a fence; the quartiles' distance over that of the quantiles 0.4 and 0.6 in a normal distribution.
+SPREAD, NEARER, MIN_GROUP = 8.0, 2.662, 200
 SKETCH_K = 400
 #: Fences are broadcast up to this many groups (some 100 bytes each), and joined by a shuffle beyond it.
 MAX_BROADCAST_GROUPS = 20_000
@@ -93,39 +96,61 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return narrow.mapInArrow(K.lean(run), schema)
 
 
-def fences(ratios: DataFrame) -> DataFrame:
-    """lang, source and an upper fence for each ratio; one sketch per group, merged upwards."""
-    sketch = [F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATIOS]
-    merge = [F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATIOS]
+def _ratio(name: str) -> str:
+    what, by, _ = RATIOS[name]
+    return f"cast({what} / greatest({by}, 1) as double)"
+
+
+def fences(counted: DataFrame) -> DataFrame:
+    """lang, source, the median and spreads of each ratio, and the median lengths, of the group or what stands for it."""
+    measured = {r: F.expr(_ratio(r)) for r in RATIOS} | {n: F.col(n).cast("double") for n in LENGTHS}
+    sketch = [F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(r) for r, c in measured.items()]
+    merge = [F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in measured]
     rows = F.sum("__n").alias("__n")
-    own = ratios.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__n"), *sketch)
+    own = materialise(counted.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__n"), *sketch), "quality-sketches")
     lang = own.groupBy("lang").agg(rows, *merge)
     whole = lang.agg(rows, *merge)
 
-    def fenced(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        def fence(r: str, low: float, high: float):
-            at = lambda q: F.kll_sketch_get_quantile_double(r, F.lit(q))
-            spread = F.greatest(*[(at(q) - at(0.5)) / unit for q, unit in UPPER])
-            return F.least(F.greatest(at(0.5) + SPREAD * spread, F.lit(low)), F.lit(high)).alias(f"{tag}_{r}")
-
-        return df.select(*keys, F.col("__n").alias(f"{tag}_n"), *[fence(r, low, high) for r, (_, low, high) in RATIOS.items()])
+    def level(df: DataFrame, keys: list, tag: str) -> DataFrame:
+        at = lambda r, q: F.kll_sketch_get_quantile_double(r, F.lit(q))
+        out = [*keys, F.col("__n").alias(f"{tag}_n"), *[at(n, 0.5).alias(f"{tag}_{n}") for n in LENGTHS]]
+        for r in RATIOS:
+            up = F.least(at(r, 0.75) - at(r, 0.5), (at(r, 0.6) - at(r, 0.5)) * NEARER)
+            down = F.least(at(r, 0.5) - at(r, 0.25), (at(r, 0.5) - at(r, 0.4)) * NEARER)
+            out += [at(r, 0.5).alias(f"{tag}_{r}"), up.alias(f"{tag}_{r}_up"), down.alias(f"{tag}_{r}_down")]
+        return df.select(*out)
 
-    a, b, c = fenced(own, ["lang", "source"], "own"), fenced(lang, [F.col("lang").alias("__lang")], "lang"), fenced(whole, [], "all")
+    a, b, c = level(own, ["lang", "source"], "own"), level(lang, [F.col("lang").alias("__lang")], "lang"), level(whole, [], "all")
     joined = a.join(b, F.col("lang").eqNullSafe(F.col("__lang"))).crossJoin(F.broadcast(c))  # c is one row
-    pick = lambda r: F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{r}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{r}")).otherwise(F.col(f"all_{r}"))
-    return joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[pick(r).alias(f"max_{r}") for r in RATIOS])
+    values = [*LENGTHS, *[f"{r}{x}" for r in RATIOS for x in ("", "_up", "_down")]]
+    pick = lambda v: F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{v}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{v}")).otherwise(F.col(f"all_{v}")).alias(f"mid_{v}")
+    out = materialise(joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *map(pick, values)), "quality-fences")
+    discard(own)
+    return out
+
+
+def _limit(r: str, side: str) -> Column:
+    """The fence of a ratio above or below for the text at hand, from the columns of :func:`fences`."""
+    _, by, grain = RATIOS[r]
+    spread = F.col(f"mid_{r}_{side}")
+    if grain is None:
+        spread = spread * F.greatest(F.lit(1.0), F.sqrt(F.col(f"mid_{by}") / F.greatest(F.col(by), F.lit(1))))
+    else:
+        spread = F.greatest(spread, F.lit(float(grain)) / F.greatest(F.least(F.col(f"mid_{by}"), F.col(by).cast("double")), F.lit(1.0)))
+    return F.col(f"mid_{r}") + (1 if side == "up" else -1) * SPREAD * spread
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Base counts, base_failed, kept and the broken rule (null where kept) of every row."""
     counted = materialise(measures(docs, id_col, text_col, lang_col, source_col), "quality-measures")
-    ratios = counted.select("*", *[F.expr(f"cast({e} as double)").alias(r) for r, (e, *_) in RATIOS.items()])
-    limits = materialise(fences(ratios), "quality-fences")
+    limits = fences(counted)
     if limits.count() <= MAX_BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    joined = ratios.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
+    joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rule = F.when(failed, F.lit("base"))
     for r in RATIOS:
-        rule = rule.when(F.col(r) > F.col(f"max_{r}"), F.lit(r))
+        value = F.expr(_ratio(r))
+        broken = value > _limit(r, "up")
+        rule = rule.when(broken | (value < _limit(r, "down")) if RATIOS[r][2] is None else broken, F.lit(r))
     return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rule.isNull().alias("kept"), rule.alias("rule"))
