@@ -25,21 +25,27 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placeframe.llm.tokens import lean
-from placeframe.session import fresh_path, materialise, ship_package
+from placeframe.session import discard, fresh_path, materialise, ship_package
 
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT = 1000
 #: A task starts another archive file beyond this many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
+#: Groups of equal payloads that are broadcast (some 30 bytes each).
+MAX_BROADCAST_GROUPS = 1_000_000
+#: Captures of a merge range, and the most tasks that read archives.
+RANGE_ROWS, MAX_TASKS = 100_000, 20_000
 #: Capture time of a page without one: this instant plus its id in seconds.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -87,14 +93,20 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
 
 
 def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest and refers_to of every page."""
+    """page_id, url, payload, digest and refers_to of every page.
+
+    The groups of equal payloads are found on digests alone and written; up to ``MAX_BROADCAST_GROUPS`` of them are
+    broadcast, so payloads stay where they are, and more are joined by a shuffle.
+    """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= MIN_REVISIT
-    tops = base.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "top")
-    grouped = base.where(large).join(tops, F.col("digest") == F.col("d"), "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")), F.col("top"))
-    return grouped.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).unionByName(base.where(~large).select("*", F.lit(None).cast("long").alias("refers_to")))
+    tops = base.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.unhex("digest").alias("d"), "top")
+    tops = materialise(tops, "warc-groups")
+    if tops.count() <= MAX_BROADCAST_GROUPS:
+        tops = F.broadcast(tops)
+    refers = F.when(large & (F.col("page_id").isNull() | (F.col("page_id") < F.col("top"))), F.col("top"))
+    return base.join(tops, F.unhex("digest") == F.col("d"), "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -192,7 +204,12 @@ def read_runs(manifest: DataFrame) -> DataFrame:
                 rows.sort(key=_order)
                 yield _batch([(*r, i) for i, r in enumerate(rows)])
 
-    return manifest.repartition("file").select("file").mapInArrow(lean(run), _RUN)
+    return _by_file(manifest).mapInArrow(lean(run), _RUN)
+
+
+def _by_file(manifest: DataFrame) -> DataFrame:
+    """The archives' names, dealt out by number: rows are few and short, but each is an archive to read."""
+    return manifest.select("file").repartition(max(1, min(manifest.count(), MAX_TASKS)), "file")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -241,31 +258,48 @@ class LoserTree:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures with their place in the global order: merge_range, position."""
+    """All captures with their place in the global order: merge_range, position.
+
+    A range holds some ``RANGE_ROWS`` captures, kept as Arrow columns; rows are made of them a few at a time.
+    """
     ship_package(runs.sparkSession)
-    cut = runs.repartitionByRange("url_key", "captured", "page_id", "archive", "offset").sortWithinPartitions("archive", "run_seq")
+    ranges = max(1, -(-runs.count() // RANGE_ROWS))
+    cut = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "offset").sortWithinPartitions("archive", "run_seq")
     ranged = cut.withColumn("merge_range", F.spark_partition_id())
     schema = T.StructType([*_RUN.fields, T.StructField("merge_range", T.IntegerType()), T.StructField("position", T.LongType())])
 
+    def rows(parts: list[pa.RecordBatch], size: int = 256) -> Iterator[tuple]:
+        for part in parts:
+            for i in range(0, part.num_rows, size):
+                yield from zip(*(c.to_pylist() for c in part.slice(i, size).columns), strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
+        slices: dict[str, list[pa.RecordBatch]] = {}
         at = 0
         for b in batches:
-            at = b.column(b.num_columns - 1)[0].as_py() if b.num_rows else at
-            for row in zip(*(c.to_pylist() for c in b.columns[:-1]), strict=True):
-                slices.setdefault(row[8], []).append(row)
-        merged = list(LoserTree(list(slices.values()), _order))
-        for i in range(0, len(merged), 10_000):
-            part = _batch(merged[i : i + 10_000])
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([at] * n, pa.int32()), pa.array(range(i, i + n), pa.int64())], names=schema.names)
+            if not b.num_rows:
+                continue
+            at = b.column(b.num_columns - 1)[0].as_py()
+            b = b.select(_RUN.names)
+            ends = pc.run_end_encode(b.column("archive"))
+            start = 0
+            for name, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
+                slices.setdefault(name, []).append(b.slice(start, end - start))
+                start = end
+        merged, i = iter(LoserTree([rows(parts) for parts in slices.values()], _order)), 0
+        while held := list(islice(merged, 10_000)):
+            n = len(held)
+            yield pa.RecordBatch.from_arrays([*_batch(held).columns, pa.array([at] * n, pa.int32()), pa.array(range(i, i + n), pa.int64())], names=schema.names)
+            i += n
 
     return ranged.mapInArrow(lean(run), schema)
 
 
 def archive_and_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write ``pages`` as archives, read them back and return the merged index, one row per page."""
-    runs = materialise(read_runs(write(pages, None, id_col, url_col, html_col)), "warc-runs")
+    manifest = write(pages, None, id_col, url_col, html_col)
+    runs = materialise(read_runs(manifest), "warc-runs")
+    discard(manifest)
     return merge_runs(runs)
 
 
@@ -282,4 +316,4 @@ def payloads(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         if r["record_type"] == "response":
                             yield pa.RecordBatch.from_arrays([pa.array([r["page_id"]], pa.int64()), pa.array([r["payload"]], pa.binary())], names=["page_id", "payload"])
 
-    return manifest.repartition("file").select("file").mapInArrow(lean(run), "page_id long, payload binary")
+    return _by_file(manifest).mapInArrow(lean(run), "page_id long, payload binary")
