@@ -3,20 +3,23 @@
 Both sides become sequences of canonical tokens: words without the punctuation around them, in lower case, with numbers,
 units after numbers and names (capitalised words within a sentence, a run of them one token) replaced by typed
 placeholders. Windows of ``WINDOW`` tokens (a shorter item is one window) are hashed and joined. What the placeholders
-stand for must agree: along a matched stretch each slot value of the item must always meet the same value of the document.
-An item whose values all meet themselves is verbatim; one with other, consistent values is re-parameterised.
+stand for must agree: along a matched stretch each slot value of the item must always meet the same value of the document
+(two values of the item may meet one of the document). A conflict ends a stretch; the windows of each consistent stretch
+count, and windows whose slot values all equal the item's always do. An item whose values all meet themselves is verbatim;
+one with other, consistent values is re-parameterised.
 
-With ``split``, which the query and the pipeline set, a conflict ends a stretch instead of discarding the match: windows
-whose slot values all equal the item's always count, and so do the windows of each consistent stretch. Without it, one
-conflicting slot clears the whole match.
+Windows of plain words in lower case, without placeholders, are joined beside them, so that a copy in other capitals, an
+item of numbers and a short item are found as they stand; ``MIN_COPIED`` of them, or half of an item's, are a verbatim match. An item of fewer
+than ``MIN_ITEM`` words is everyday language: it counts where it makes a whole line of a document. Items without a letter or digit cannot be
+sought (:func:`unsearchable` lists them). Template windows with fewer than ``MIN_LITERALS`` plain words are no evidence, so
+a re-parameterised item of little else than numbers is not found.
 
 The benchmark is the stated query set, and every document meets all of it, in blocks: a block holds at most
-``BLOCK_WINDOWS`` windows, so what is broadcast has a fixed bound, and a larger benchmark takes more passes over the
+``BLOCK_WINDOWS`` words, so what is broadcast has a fixed bound, and a larger benchmark takes more passes over the
 documents, never more memory.
 
-An item with fewer than ``MIN_ITEM`` tokens says nothing and is not sought. Windows with fewer than ``MIN_LITERALS`` plain
-words are no evidence. Null and empty texts match nothing; repeated rows and items are matched each for itself; an empty
-table on either side gives no rows. Extra columns are ignored.
+Null and empty texts match nothing; repeated rows and items are matched each for itself; long texts are matched whole; an
+empty table on either side gives no rows. Extra columns are ignored. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from placeframe.session import materialise, ship_package
 WINDOW, MIN_ITEM, MIN_LITERALS = 10, 5, 4
 #: A pair counts with this many matched windows, or with this share of the item's windows.
 MIN_WINDOWS, MIN_COVERAGE = 8, 0.5
+#: A pair counts with this many windows of plain words (13 words in a row), or with MIN_COVERAGE of the item's.
+MIN_COPIED = 4
 BLOCK_WINDOWS = 2_000_000
 
 # Units that may follow a number, and number words.
@@ -76,12 +81,15 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Canonical:
-    """Tokens of a chunk: template hash, slot type (0: plain), value hash and row."""
+    """Tokens of a chunk: template hash, slot type (0: plain), value hash and row; words with their row and line."""
 
     template: np.ndarray
     slot: np.ndarray
     value: np.ndarray
     row: np.ndarray
+    word: np.ndarray
+    word_row: np.ndarray
+    opens_line: np.ndarray  # one entry more than words: the end opens one too
 
 
 def canonical(buf: np.ndarray, offs: np.ndarray) -> Canonical:
@@ -94,7 +102,7 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> Canonical:
     n = len(s)
     if not n:
         z = np.zeros(0, K.U)
-        return Canonical(z, np.zeros(0, np.int8), z, row)
+        return Canonical(z, np.zeros(0, np.int8), z, row, z, row, np.ones(1, bool))
     value = K.span_hash(K.prefix(K.byte_values(fold_case(buf))), s, e)
 
     def having(flag: np.ndarray) -> np.ndarray:
@@ -114,12 +122,15 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> Canonical:
     name = capital & (having(_SMALL) > 0) & ~opens
     slot = np.select([number, joined, unit, name], [1, 2, 3, 4], 0).astype(np.int8)
     template = np.select([slot == 1, slot == 2, slot == 3, slot == 4], [NUM, JOINED, UNIT, NAME], value)
+    lines = np.r_[0, np.cumsum(buf == 10)]
+    opens_line = np.r_[first | np.r_[True, lines[s[1:]] > lines[e[:-1]]], True]
+    word, word_row = value, row
     again = (slot == 4) & np.r_[False, slot[:-1] == 4] & ~first
     if again.any():  # a run of names is one token, valued by all of them
         head = np.flatnonzero(~again)
         value = np.add.reduceat(value, head)
         template, slot, row = template[head], slot[head], row[head]
-    return Canonical(template, slot, value, row)
+    return Canonical(template, slot, value, row, word, word_row, opens_line)
 
 
 def windows(c: Canonical, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,15 +142,53 @@ def windows(c: Canonical, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Block:
-    """A part of the benchmark: sorted window hashes with item and position, and the items' tokens."""
+class Index:
+    """Sorted window hashes of a block with item and position, and the number of windows of each item."""
 
-    ids: list
     sizes: list[int]
     hashes: np.ndarray
     item: np.ndarray
     at: np.ndarray
     total: np.ndarray
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every pair of a window of ``h`` and an entry of the same hash."""
+        lo = np.searchsorted(self.hashes, h, "left")
+        n = np.searchsorted(self.hashes, h, "right") - lo
+        return np.repeat(np.arange(len(h)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+
+
+def _index(row: np.ndarray, items: int, shortest: int, windows_of) -> Index:
+    """windows_of(size): hashes and starts of the windows of that size."""
+    length = np.bincount(row, minlength=items)
+    start = np.cumsum(length) - length
+    h, at, sizes = [np.zeros(0, K.U)], [np.zeros(0, np.int64)], sorted({min(WINDOW, int(k)) for k in length if k >= shortest})
+    for k in sizes:
+        x, y = windows_of(k)
+        own = (np.minimum(length, WINDOW) == k)[row[y]]
+        h.append(x[own])
+        at.append(y[own])
+    h, at = np.concatenate(h), np.concatenate(at)
+    order = np.argsort(h, kind="stable")
+    h, at = h[order], at[order]
+    item = row[at]
+    return Index(sizes, h, item, at - start[item], np.bincount(item, minlength=items))
+
+
+def plain_windows(c: Canonical, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``size`` words, and where they start."""
+    h, at = K.ngrams(c.word, c.word_row, size)
+    return h + K.U(size), at
+
+
+@dataclass
+class Block:
+    """A part of the benchmark: its windows of canonical tokens and of plain words, and the items' tokens."""
+
+    ids: list
+    template: Index
+    plain: Index
+    words: np.ndarray  # of each item
     start: np.ndarray
     slot: np.ndarray
     value: np.ndarray
@@ -149,23 +198,14 @@ def block(items: list[tuple]) -> Block:
     """items: (id, text)."""
     data = [(t or "").encode() for _, t in items]
     c = canonical(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])].astype(np.int64))
-    length = np.bincount(c.row, minlength=len(items))
-    start = np.r_[0, np.cumsum(length)]
-    parts, sizes = [], sorted({min(WINDOW, int(k)) for k in length if k >= MIN_ITEM})
-    for k in sizes:
-        h, at = windows(c, k)
-        own = (np.minimum(length, WINDOW) == k)[c.row[at]]
-        parts.append((h[own], at[own]))
-    h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, K.U)
-    at = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    order = np.argsort(h, kind="stable")
-    h, at = h[order], at[order]
-    item = c.row[at] if len(at) else np.zeros(0, np.int64)
-    return Block([i for i, _ in items], sizes, h, item, at - start[item], np.bincount(item, minlength=len(items)), start, c.slot, c.value)
+    n = len(items)
+    template = _index(c.row, n, MIN_ITEM, lambda k: windows(c, k))
+    plain = _index(c.word_row, n, 1, lambda k: plain_windows(c, k))
+    return Block([i for i, _ in items], template, plain, np.bincount(c.word_row, minlength=n), np.r_[0, np.cumsum(np.bincount(c.row, minlength=n))], c.slot, c.value)
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
-    """The benchmark in blocks of at most BLOCK_WINDOWS windows; one block at a time is in memory."""
+    """The benchmark in blocks of at most BLOCK_WINDOWS words; one block at a time is in memory."""
     part, size = [], 0
     for r in benchmark.select(id_col, text_col).toLocalIterator():
         n = len((r[1] or "").split()) + 1
@@ -178,6 +218,11 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield block(part)
 
 
+def unsearchable(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The items without a letter or digit."""
+    return benchmark.where(~F.coalesce(F.col(item_text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))).select(item_col)
+
+
 def stretches(qs: set[int], size: int, slots: dict[int, tuple[int, int, int]]) -> Iterator[tuple[set[int], bool, int]]:
     """(windows, verbatim, slots compared) of the verbatim windows of a diagonal and of each of its consistent stretches."""
     of = {q: [slots[p] for p in range(q, q + size) if p in slots] for q in sorted(qs)}
@@ -204,48 +249,66 @@ def stretches(qs: set[int], size: int, slots: dict[int, tuple[int, int, int]]) -
         yield stretch()
 
 
-def match(b: Block, texts: pa.Array, split: bool = False) -> Iterator[tuple[int, int, int, bool, int]]:
-    """(row, item index, matched windows, verbatim, slots) of each pair that counts."""
-    if not len(b.hashes):
-        return
-    low = b.hashes
+def _copied(b: Block, c: Canonical) -> dict[tuple[int, int], tuple[int, int, bool, int]]:
+    """(row, item): (matched windows, the item's windows, True, 0) of the pairs that count by plain words alone."""
+    pairs, n = [np.zeros((3, 0), np.int64)], len(b.ids)
+    for k in b.plain.sizes:
+        h, at = plain_windows(c, k)
+        w, i = b.plain.hits(h)
+        p, item = at[w], b.plain.item[i]
+        line = c.opens_line[p] & c.opens_line[p + k]
+        ok = (np.minimum(b.words[item], WINDOW) == k) & ((b.words[item] >= MIN_ITEM) | line)
+        pairs.append(np.stack([c.word_row[p], item, b.plain.at[i]])[:, ok])
+    row, item, q = np.concatenate(pairs, axis=1)
+    pair = row * n + item
+    order = np.lexsort((q, pair))
+    pair, q = pair[order], q[order]
+    once = np.r_[True, (pair[1:] != pair[:-1]) | (q[1:] != q[:-1])][: len(pair)]
+    pair, many = np.unique(pair[once], return_counts=True)
+    total = b.plain.total[pair % n]
+    good = (many >= MIN_COPIED) | (many >= MIN_COVERAGE * total)
+    return {(x // n, x % n): (m, t, True, 0) for x, m, t in zip(pair[good].tolist(), many[good].tolist(), total[good].tolist(), strict=True)}
+
+
+def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool, int]]:
+    """(row, item index, matched windows, the item's windows, verbatim, slots) of each pair that counts."""
     for first, buf, offs in K.chunks(texts):
         c = canonical(buf, offs)
+        counted = _copied(b, c)
         found: dict[tuple[int, int], dict[int, set[int]]] = {}
-        for k in b.sizes:
+        for k in b.template.sizes:
             h, at = windows(c, k)
-            lo = np.searchsorted(low, h)
-            hit = low[np.minimum(lo, len(low) - 1)] == h
-            for x, p, i in zip(h[hit], at[hit].tolist(), lo[hit].tolist(), strict=True):
-                row = int(c.row[p])
-                while i < len(low) and low[i] == x:
-                    q = int(b.at[i])
-                    found.setdefault((row, int(b.item[i])), {}).setdefault(p - q, set()).add(q)
-                    i += 1
+            w, i = b.template.hits(h)
+            for p, row, item, q in zip(at[w].tolist(), c.row[at[w]].tolist(), b.template.item[i].tolist(), b.template.at[i].tolist(), strict=True):
+                if (row, item) not in counted:
+                    found.setdefault((row, item), {}).setdefault(p - q, set()).add(q)
         for (row, item), diagonals in found.items():
-            windows_of, same, slots = set(), True, 0
-            best: tuple[set[int], bool, int] = (set(), True, 0)
+            start, total = int(b.start[item]), int(b.template.total[item])
+            size = min(WINDOW, int(b.start[item + 1]) - start)
             meets: dict[tuple[int, int], int] = {}
-            size = min(WINDOW, int(b.start[item + 1] - b.start[item]))
+            whole: tuple[set[int], bool, int] = (set(), True, 0)
+            best = whole
             for shift, qs in sorted(diagonals.items(), key=lambda x: (-len(x[1]), x[0])):
-                places = sorted({q + d for q in qs for d in range(size)})
-                values = [(int(b.slot[b.start[item] + q]), int(b.value[b.start[item] + q]), int(c.value[shift + q])) for q in places if b.slot[b.start[item] + q]]
+                places = [q for q in sorted({q + d for q in qs for d in range(size)}) if b.slot[start + q]]
+                slots = {q: (int(b.slot[start + q]), int(b.value[start + q]), int(c.value[shift + q])) for q in places}
                 trial = dict(meets)
-                good = all(trial.setdefault((kind, mine), theirs) == theirs for kind, mine, theirs in values)
-                if split and not good:
-                    at = {q: (int(b.slot[b.start[item] + q]), int(b.value[b.start[item] + q]), int(c.value[shift + q])) for q in places if b.slot[b.start[item] + q]}
-                    best = max([best, *stretches(qs, size, at)], key=lambda x: len(x[0]))
-                if good:
-                    meets, windows_of, slots = trial, windows_of | qs, slots + len(values)
-                    same &= all(mine == theirs for _, mine, theirs in values)
-            if len(best[0]) > len(windows_of):
-                windows_of, same, slots = best
-            if windows_of and (len(windows_of) >= MIN_WINDOWS or len(windows_of) >= MIN_COVERAGE * b.total[item]):
-                yield first + row, item, len(windows_of), same, slots
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", split: bool = False) -> DataFrame:
-    """One row per pair: document id, item id, matched windows, the item's windows, coverage, kind and slots compared."""
+                if all(trial.setdefault((kind, mine), theirs) == theirs for kind, mine, theirs in slots.values()):
+                    meets = trial
+                    whole = whole[0] | qs, whole[1] and all(mine == theirs for _, mine, theirs in slots.values()), whole[2] + len(slots)
+                else:
+                    best = max([best, *stretches(qs, size, slots)], key=lambda x: len(x[0]))
+            n, same, slots_met = max(whole, best, key=lambda x: len(x[0]))
+            if n and (len(n) >= MIN_WINDOWS or len(n) >= MIN_COVERAGE * total):
+                counted[row, item] = len(n), total, same, slots_met
+        for (row, item), (n, total, same, slots_met) in sorted(counted.items()):
+            yield first + row, item, n, total, same, slots_met
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per pair: document id, item id, matched windows, the item's windows, coverage, kind and slots compared.
+
+    The windows are of plain words where these alone decide (then no slots are compared), else of canonical tokens.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("n_windows", T.IntegerType()), T.StructField("item_windows", T.IntegerType()), T.StructField("coverage", T.DoubleType()), T.StructField("kind", T.StringType()), T.StructField("n_slots", T.IntegerType())])
@@ -260,10 +323,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             own = shared.value
             kind = pa.array(own.ids).type
             for batch in batches:
-                got = list(match(own, batch.column(1), split))
+                got = list(match(own, batch.column(1)))
                 if got:
-                    rows, items, n, same, slots = zip(*got, strict=True)
-                    total = [int(own.total[i]) for i in items]
+                    rows, items, n, total, same, slots = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([own.ids[i] for i in items], kind), pa.array(n, pa.int32()), pa.array(total, pa.int32()), pa.array([a / t for a, t in zip(n, total, strict=True)]), pa.array(["verbatim" if s else "reparameterised" for s in same]), pa.array(slots, pa.int32())], names=schema.names)
 
         return narrow.mapInArrow(K.lean(run), schema)
@@ -280,7 +342,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", split: bool = False) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; texts are filtered where they are, never shuffled."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -291,7 +353,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in match(shared.value, batch.column(at), split)]] = False
+                keep[[m[0] for m in match(shared.value, batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(K.lean(run), schema)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,7 +86,8 @@ def base_counts(text):
     w = WORD.findall(t)
     lines = [x for x in t.split("\n") if WORD.search(x)]
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    twice = {g for g in grams if grams.count(g) > 1}
+    times = Counter(grams)
+    twice = {g for g in grams if times[g] > 1}
     cover = set()
     for i, g in enumerate(grams):
         if g in twice:
@@ -93,5 +95,76 @@ def base_counts(text):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover)
 
 
+def kept(rows, spread, least):
+    """doc_id to kept; rows (doc_id, text, lang, source). Quantiles: the value of rank q n, rounded up."""
+    ratios = {"symbol": (2, 1, 1), "lines": (3, 5, 1), "repeat": (4, 0, 10), "length": (1, 0, None)}
+    data = []
+    for d, t, lang, source in rows:
+        c = (*base_counts(t), len([x for x in (t or "").split("\n") if WORD.search(x)]))
+        data.append((d, lang, source, c, {r: c[a] / max(c[b], 1) for r, (a, b, _) in ratios.items()}))
+
+    def quantile(values, q):
+        v = sorted(values)
+        return v[max(0, min(len(v) - 1, -int(-(q * len(v)) // 1) - 1))]
+
+    def level(part):
+        out = {}
+        for r, (_, b, _) in ratios.items():
+            v = [x[4][r] for x in part]
+            m = quantile(v, 0.5)
+            up = min(quantile(v, 0.75) - m, (quantile(v, 0.6) - m) * 2.662)
+            down = min(m - quantile(v, 0.25), (m - quantile(v, 0.4)) * 2.662)
+            out[r] = (m, up, down, quantile([x[3][b] for x in part], 0.5))
+        return out
+
+    everything = level(data)
+    langs = {k: [x for x in data if x[1] == k] for k in {x[1] for x in data}}
+    groups = {k: [x for x in data if x[1:3] == k] for k in {x[1:3] for x in data}}
+    of_lang = {k: level(p) if len(p) >= least else everything for k, p in langs.items()}
+    of_group = {k: level(p) if len(p) >= least else of_lang[k[0]] for k, p in groups.items()}
+    result = {}
+    for d, lang, source, c, v in data:
+        good = c[0] >= 10 and 100 * c[4] <= 20 * c[0]
+        for r, (_, b, grain) in ratios.items():
+            m, up, down, long = of_group[lang, source][r]
+            if grain is None:
+                wider = max(1.0, (long / max(c[b], 1)) ** 0.5)
+                up, down = up * wider, down * wider
+            else:
+                up = max(up, grain / max(min(long, c[b]), 1))
+            good = good and v[r] <= m + spread * up and (grain is not None or v[r] >= m - spread * down)
+        result[d] = good
+    return result
+
+
+def copied(rows, items, window=10, few=5, enough=4, share=0.5):
+    """(doc_id, item_id, windows, the item's windows) of the pairs that plain words decide."""
+    def words(text):
+        out = []
+        for n, line in enumerate((text or "").split("\n")):
+            out += [(w, n) for raw in WORD.findall(line) if (w := re.sub(r"^[^0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff]+$", "", raw).lower())]
+        return out
+
+    out = []
+    known = [(i, [w for w, _ in words(t)]) for i, t in items]
+    for d, text in rows:
+        w = words(text)
+        for i, own in known:
+            k = min(window, len(own))
+            if not k:
+                continue
+            mine = {tuple(own[q : q + k]) for q in range(len(own) - k + 1)}
+            hits = set()
+            for p in range(len(w) - k + 1):
+                whole = (p == 0 or w[p - 1][1] < w[p][1]) and (p + k == len(w) or w[p + k][1] > w[p + k - 1][1])
+                g = tuple(x for x, _ in w[p : p + k])
+                if g in mine and (len(own) >= few or whole):
+                    hits |= {q for q in range(len(own) - k + 1) if tuple(own[q : q + k]) == g}
+            total = len(own) - k + 1
+            if len(hits) >= enough or (hits and len(hits) >= share * total):
+                out.append((d, i, len(hits), total))
+    return out
+
+
 def fold(i):
     return zlib.crc32(str(i).encode()) % 5

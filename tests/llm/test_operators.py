@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -29,22 +30,49 @@ def pairs():
 # ---------------------------------------------------------------- sharding
 
 
-def test_shards_are_a_permutation(spark, docs, nothing):
-    got = sharding.assign(docs, bucket_rows=16).collect()
-    assert sorted((r.doc_id, r.size) for r in got) == sorted((d, len((t or "").encode()) + 1) for d, t in pairs())
-    counts = [sum(r.shard == s for r in got) for s in range(16)]
-    assert max(counts) - min(counts) <= 1
-    for s in range(16):
+def check_shards(got, rows, n_shards=16):
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.size, r.text_crc32) for r in got) == sorted(((d is None, d or 0), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    counts = [sum(r.shard == s for r in got) for s in range(n_shards)]
+    assert sum(counts) == len(rows) and max(counts) - min(counts) <= 1
+    for s in range(n_shards):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+
+
+def test_shards_are_a_permutation(spark, docs, nothing):
+    check_shards(sharding.assign(docs, bucket_rows=16).collect(), pairs())
     assert sharding.assign(nothing).count() == 0
-    same = spark.createDataFrame([(7, "copy")] * 500, "doc_id long, text string")
-    assert len({(r.shard, r.slot) for r in sharding.assign(same, bucket_rows=16).collect()}) == 500
+    same = spark.createDataFrame([(7, "copy")] * 500 + [(None, None)] * 3, "doc_id long, text string")
+    got = sharding.assign(same, bucket_rows=16).collect()
+    check_shards(got, [(7, "copy")] * 500 + [(None, None)] * 3)
 
 
-def test_written_shards_hold_the_texts(spark, docs):
-    back = spark.read.parquet(sharding.write_shards(docs, n_shards=4)).collect()
-    assert sorted((r.doc_id, r.text or "") for r in back) == sorted((d, t or "") for d, t in pairs())
-    assert len({(r.shard, r.slot) for r in back}) == len(ROWS)
+def test_the_seed_fixes_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TASK_BYTES", 5000)
+    rows = [(i, f"text {i * 7919 % 1000} {'x' * (i % 50)}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    draw = lambda df, seed: {r.doc_id: (r.shard, r.slot) for r in sharding.assign(df, seed=seed, bucket_rows=64).collect()}
+    one = draw(df.repartition(2), 7)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "29")
+        assert draw(df.repartition(11, "text"), 7) == one
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    other = draw(df, 8)
+    assert sum(other[i] == one[i] for i in one) < 20
+    follows = sum(one[i + 1] == (one[i][0], one[i][1] + 1) for i in range(1499))
+    assert follows < 20  # neighbours of the input are no neighbours
+
+
+def test_written_shards_hold_the_records(spark, docs, tmp_path):
+    clash = docs.withColumns({"shard": F.col("bucket"), "size": F.lit("s"), "record": F.lit(1), "slot": F.lit(2.0), "__n": F.lit(3)})
+    back = sharding.write_shards(clash, f"file://{tmp_path}/shards", n_shards=4).collect()
+    assert sorted(map(repr, (r.record for r in back))) == sorted(map(repr, clash.collect()))
+    assert len({(r.shard, r.slot) for r in back}) == len(ROWS) and len(list(tmp_path.glob("shards/shard=*"))) == 4
+    got = sharding.assign(clash.drop("size", "slot", "shard").withColumn("size", F.lit(9)), 16)
+    check_shards(got.collect(), pairs())
 
 
 # ---------------------------------------------------------------- suffix dedup
@@ -176,36 +204,66 @@ def test_components(spark):
 ITEM = "A train leaves Paris at 9 km per hour and meets Anna after 35 minutes near the old stone bridge by the river"
 
 
+MIXED = "Alpha has 7 apples and gives 7 pears to the shop while 7 cows look on from the long green hill today"
+SUMS, SHORT = "What is 3 + 5 - 2 + 9 + 11 - 6 + 8 times 4?", "Compute 17 times 23 minus 5."
+
+
 def test_decontamination(spark):
     other = "A train leaves London at 12 km per hour and meets Boris after 50 minutes near the old stone bridge by the river"
-    mixed = "Alpha has 7 apples and gives 7 pears to the shop while 7 cows look on from the long green hill today"
-    items = spark.createDataFrame([(1, ITEM), (2, mixed), (3, None), (4, "too short")], "item_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, MIXED), (3, None), (4, "Too short"), (5, SUMS), (6, SHORT), (7, "***")], "item_id long, text string")
+    plain = "Nothing of the kind is here at all, only plain words that go on."
     rows = [
-        (1, f"Words before. {ITEM} and words after it."), (2, f"*** {ITEM.upper()} ***"), (3, f"Some text. {other}. The end."), (4, "Nothing of the kind is here at all, only plain words that go on."),
-        (5, mixed.replace("7", "9")), (6, mixed.replace("7 apples", "9 apples")), (7, None), (8, ""), (9, ITEM[:40]), (10, ITEM.replace(" ", "\n", 3)),
+        (1, f"Words before. {ITEM} and words after it."), (2, f"*** {ITEM.upper()} ***"), (3, f"Some text. {other}. The end."), (4, plain),
+        (5, MIXED.replace("7", "9")), (6, MIXED.replace("7 apples", "9 apples")), (7, None), (8, ""), (9, ITEM[:40]), (10, ITEM.replace(" ", "\n", 3)),
+        (11, f"{plain} {SUMS} {plain}"), (12, f"{plain} compute 17 times 23 minus 5 {plain}"), (13, "Compute 18 times 23 minus 5."), (14, f"{plain}\n too short! \n{plain}"), (15, f"It is too short a text. {plain}"),
+        (16, " ".join(ITEM.split()[:9])), (17, f"{plain} {' '.join(ITEM.split()[2:16])}"), (1, f"Words before. {ITEM} and words after it."), (18, f"{'word ' * 20_000}{ITEM}"), (None, ITEM),
     ]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string")
-    got = {(r.doc_id, r.item_id): r.kind for r in decontamination.contaminated(df, items).collect()}
-    assert got == {(1, 1): "verbatim", (3, 1): "reparameterised", (5, 2): "reparameterised", (10, 1): "verbatim", (2, 1): got.get((2, 1))} or (2, 1) not in got
-    assert {(1, 1), (3, 1), (5, 2), (10, 1)} <= set(got) and not {d for d, _ in got} & {4, 6, 7, 8, 9}
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.item_id, r.kind) for r in decontamination.contaminated(df, items.unionByName(items.where("item_id = 4"))).collect()))
+    verbatim = [(1, 1), (1, 1), (2, 1), (6, 2), (10, 1), (11, 5), (12, 6), (14, 4), (14, 4), (17, 1), (18, 1), (0, 1)]
+    assert got == sorted([(d, i, "verbatim") for d, i in verbatim] + [(3, 1, "reparameterised"), (5, 2, "reparameterised")])
     kept = decontamination.keep_clean(df, items)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in got}
-    assert decontamination.contaminated(df, items.limit(0)).count() == 0
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [4, 7, 8, 9, 13, 15, 16]
+    assert decontamination.contaminated(df, items.limit(0)).count() == 0 and decontamination.contaminated(df.limit(0), items).count() == 0
+    assert {r.item_id for r in decontamination.unsearchable(items).collect()} == {3, 7}
 
 
-def test_a_conflicting_slot_ends_a_stretch(spark):
-    from placeframe.llm import queries
+def test_copies_against_brute_force(spark):
+    rng = random.Random(22)
+    items = [(i, X.words(rng, rng.choice((3, 5, 8, 12, 25))).capitalize()) for i in range(25)] + [(30, None), (31, "!?")]
+    rows = []
+    for k in range(150):
+        w = items[k % 25][1].split()
+        a = rng.randrange(len(w))
+        part = " ".join(w[a : a + rng.randint(1, 20)]) if k % 3 else " ".join(w)
+        rows.append((k, rng.choice(("\n", " ")).join((X.words(rng, 12), part.upper() if k % 5 == 0 else part, X.words(rng, 12)))))
+    rows += [(200, None), (201, ""), rows[0]]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_windows, r.item_windows) for r in got if r.n_slots == 0 and r.kind == "verbatim") == sorted(X.copied(rows, items))
+
+
+def test_reparameterised_items_are_found(spark):
+    """Items of one text with other numbers and names; 95 in 100 at least are found, and nothing else is."""
+    rng = random.Random(23)
+    names, items, rows = ("Anna", "Boris", "Clara", "Dmitri", "Elena"), [], []
+    for i in range(100):
+        a, b = rng.sample(names, 2)
+        make = lambda x, y, m, n, w=X.words(rng, 14).split(): " ".join([*w[:5], x, "buys", m, "apples and gives", n, *w[5:10], "to", y, *w[10:]])
+        items.append((i, make(a, b, str(rng.randint(2, 40)), str(rng.randint(41, 90)))))
+        c, d = rng.sample([n for n in names if n not in (a, b)], 2)
+        rows.append((i, f"{X.words(rng, 30)} {make(c, d, str(rng.randint(100, 400)), str(rng.randint(401, 900)))} {X.words(rng, 30)}"))
+    got = {(r.doc_id, r.item_id): r.kind for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got) >= 95 and all(d == i and kind == "reparameterised" for (d, i), kind in got.items())
+
 
-    mixed = "Alpha has 7 apples and gives 7 pears to the shop while 7 cows look on from the long green hill today"
-    items = spark.createDataFrame([(2, mixed)], "item_id long, text string")
-    rows = [(6, mixed.replace("7 apples", "9 apples")), (7, "Nothing of the kind is here at all, only plain words that go on."), (8, mixed.replace("7 apples", "9 apples")[:60])]
+def test_a_conflicting_slot_ends_a_stretch(spark):
+    items = spark.createDataFrame([(2, MIXED)], "item_id long, text string")
+    changed = MIXED.replace("Alpha has 7 apples", "Alpha has 9 apples").replace("long green hill", "high red hill")
+    rows = [(6, changed), (8, changed[:50])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = decontamination.contaminated(df, items, split=True).collect()
-    assert [(r.doc_id, r.item_id, r.kind, r.n_windows) for r in got] == [(6, 2, "verbatim", 10)]
-    assert {r.doc_id for r in decontamination.keep_clean(df, items, split=True).collect()} == {7, 8}
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(queries, "_table", lambda spark, sf_dir, name: df if name == "documents" else items)
-        assert [r.doc_id for r in queries.op1_decontamination(spark, "").collect()] == [6]
+    got = decontamination.contaminated(df, items).collect()
+    assert [(r.doc_id, r.item_id, r.kind) for r in got] == [(6, 2, "verbatim")]
+    assert {r.doc_id for r in decontamination.keep_clean(df, items).collect()} == {8}
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
@@ -223,31 +281,45 @@ def test_decontamination_in_blocks(spark, monkeypatch):
 
 def test_base_counts_against_brute_force(docs, nothing):
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.judge(docs).collect()}
-    small = {d: t for d, t in pairs() if len(t or "") < 5000}
-    assert {d: got[d] for d in small} == {d: X.base_counts(t) for d, t in small.items()}
+    assert {d: got[d] for d, _ in pairs()} == {d: X.base_counts(t) for d, t in pairs()}
     for r in quality_rules.judge(docs).collect():
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.kept and r.base_failed)
     assert quality_rules.judge(nothing).count() == 0
 
 
-def test_fences_follow_the_group(spark):
-    rng = random.Random(4)
-    clean = [(i, " ".join(X.words(rng, 1) + ("#" if s == "symbols" and k % 4 == 0 else "") for k in range(80)), "en", s) for i, s in enumerate(["plain", "symbols"] * 300)]
-    junk = [(1000 + i, " ".join(X.words(rng, 1) + "***" for _ in range(80)), "en", "plain") for i in range(20)]
-    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[i] for i in range(600)) and not any(got[i] for i in range(1000, 1020))
+def varied(rng):
+    """(doc_id, text, lang, source) of groups with ways of their own, some junk, and small and null groups."""
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    text = lambda size, n=80, tail=lambda: "": " ".join(word(rng.choice(size)) + tail() for _ in range(n))
+    hashes = lambda share: lambda: "#" if rng.random() < share else ""
+    rows = [(text((4, 5, 6), rng.randint(40, 120)), "en", "plain") for _ in range(330)] + [(text((8, 9, 10)), "en", "plain") for _ in range(15)]
+    rows += [(text((4, 5, 6), 80, hashes(0.2 + rng.random() / 5)), "en", "symbols") for _ in range(280)]
+    rows += [(text((4, 5, 6), 80, hashes(0.3)), "en", "plain") for _ in range(15)]
+    rows += [(text((7, 8, 9)), "de", "plain") for _ in range(300)] + [(text((2, 3)), "de", "plain") for _ in range(10)]
+    rows += [(text((7, 8, 9)), "de", "small") for _ in range(20)] + [(text((4, 5, 6)), None, None) for _ in range(12)] + [(text((4, 5, 6), 80, lambda: "$$$"), None, None) for _ in range(3)]
+    rows += [("\n".join(["the same line again here"] * 2 + [text((4, 5, 6), 9)] * 1), "en", "plain") for _ in range(3)]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_kept_against_brute_force(spark):
+    rows = varied(random.Random(4))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = {r.doc_id: r.kept for r in quality_rules.judge(df).collect()}
+    expect = X.kept(rows, quality_rules.SPREAD, quality_rules.MIN_GROUP)
+    assert {d for d in got if got[d] != expect[d]} == set()
+    of = lambda a, b: [got[i] for i in range(a, b)]
+    assert all(of(0, 330)) and not any(of(330, 345)) and all(of(345, 625)) and not any(of(625, 640)) and all(of(640, 940)) and not any(of(940, 950)) and all(of(950, 970))
 
 
-def test_fences_tighten_and_stay_bounded(spark):
-    rng = random.Random(15)
-    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
-    text = lambda size, tail="": " ".join(word(rng.choice(size)) + tail for _ in range(80))
-    rows = [(i, text((4, 5, 6)), "en", "plain") for i in range(300)] + [(1000 + i, text((8, 9, 10)), "en", "plain") for i in range(15)]
-    rows += [(2000 + i, text((4, 5, 6)), "en", "hot") for i in range(220)] + [(3000 + i, text((4, 5, 6), "****"), "en", "hot") for i in range(80)]
-    got = {r.doc_id: r.rule for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert {got[i] for i in got if i < 1000 or 2000 <= i < 3000} == {None}
-    assert {got[i] for i in got if 1000 <= i < 2000} == {"word_length"} and {got[i] for i in got if i >= 3000} == {"symbol_ratio"}
+def test_fences_follow_the_group(spark):
+    rows = varied(random.Random(5))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = quality_rules.measures(df)
+    at = {(r["__lang"], r["__source"]): r for r in quality_rules.fences(counted).collect()}
+    assert at["en", "plain"]["mid_word_length"] < at["de", "plain"]["mid_word_length"] - 1
+    assert at["en", "symbols"]["mid_symbol_ratio_up"] > 0 == at["en", "plain"]["mid_symbol_ratio_up"]
+    assert abs(at["de", "small"]["mid_word_length"] - at["de", "plain"]["mid_word_length"]) < 0.1
 
 
 # ---------------------------------------------------------------- classifiers
