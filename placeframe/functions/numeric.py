@@ -113,10 +113,10 @@ def minutes_text(m) -> Column:
 
 
 def pounds(n) -> Column:
-    """£1.25m, £1m, £350k."""
+    """£1.25m, £1m, £350k. Millions are rounded by their exact binary value; true halves go up."""
     v = _c(n).cast("double")
-    whole = F.pmod(v, F.lit(1_000_000.0)) == 0
-    m = F.when(whole, F.format_string("%.1f", v / 1_000_000)).otherwise(F.format_string("%.2f", v / 1_000_000))
+    tie = F.pmod(v, F.lit(125_000.0)) == 0
+    m = F.replace(F.format_number(F.when(tie, F.floor(v / 10_000 + 0.5) / 100).otherwise(v / 1_000_000), 2), F.lit(","), F.lit(""))
     return F.when(v >= 1_000_000, F.concat(F.lit("£"), F.regexp_replace(m, r"\.?0+$", ""), F.lit("m"))).otherwise(F.concat(F.lit("£"), half_up(v / 1000).cast("string"), F.lit("k")))
 
 

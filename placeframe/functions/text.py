@@ -67,6 +67,7 @@ ADDRESS_NOISE = (
     r"\s*-?\s*(?:guide price|guide|opening bid|starting bid)\b.*$"
 )
 PRICE_BASIS = r"(?iU)(opening bid|starting bid|guide price|guide|reserve price)\s*(?:of|is|from)?\s*[:\-]?\s*\*?\s*£\s?(\d{1,3}(?:,\d{3})+|\d{4,})"
+HTML_ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 LINK = r"""(?i)(?:href=|"url"\s*:\s*|"link"\s*:\s*)["']([^"']*/property/[^"']+)["']"""
 
 
@@ -102,6 +103,12 @@ def property_links(html) -> Column:
     return F.regexp_extract_all(F.replace(_c(html), F.lit("\\/"), F.lit("/")), F.lit(LINK), F.lit(1))
 
 
+def title_case(text) -> Column:
+    """A capital after everything that is no letter, small letters elsewhere: an apostrophe or slash begins a word."""
+    runs = F.regexp_extract_all(F.lower(_c(text)), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+
+
 def page_title(html) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(_c(html), r"(?is)<title[^>]*>(.*?)</title>", 1), r"(?U)\s+", " "))
 
@@ -115,7 +122,7 @@ def price_parts(head, text) -> tuple[Column, Column]:
     """Price and qualifier (capitalised) of the headline, else of the page."""
     own = _c(head).rlike(PRICE)
     pick = lambda g: F.when(own, extract(head, PRICE, g)).otherwise(extract(text, PRICE, g))
-    return whole_number(pick(2)), F.initcap(pick(1))
+    return whole_number(pick(2)), title_case(pick(1))
 
 
 def number_word(word) -> Column:
@@ -259,9 +266,9 @@ def school_key(name) -> Column:
 
 
 def tidy_school(name) -> Column:
-    """Blanks squeezed; all-capital names capitalised word by word (an apostrophe does not begin a word)."""
+    """Blanks squeezed; all-capital names in title case."""
     n = F.trim(F.regexp_replace(_c(name), r"(?U)\s+", " "))
-    return F.when((n == F.upper(n)) & (n != F.lower(n)), F.initcap(n)).otherwise(n)
+    return F.when((n == F.upper(n)) & (n != F.lower(n)), title_case(n)).otherwise(n)
 
 
 def primary_name(school, note) -> tuple[Column, Column]:
@@ -274,6 +281,14 @@ def primary_name(school, note) -> tuple[Column, Column]:
     return F.regexp_replace(tidy_school(F.regexp_replace(raw, r"^X\s+", "")), r"\s+School$", ""), stages
 
 
+def escape_html(text) -> Column:
+    """Text for a page: the five characters that mark-up gives a meaning to; null as nothing."""
+    out = F.coalesce(_c(text).cast("string"), F.lit(""))
+    for char, entity in HTML_ENTITIES:
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out
+
+
 def route_label(name) -> Column:
     tail = extract(name, r":\s*(.+)$")
     return F.when(tail.isNotNull(), F.replace(tail, F.lit("=>"), F.lit("↔"))).otherwise(_c(name))

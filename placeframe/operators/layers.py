@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +13,8 @@ from placeframe.config import DATA_ZONES, MAIN_ROUTES
 from placeframe.functions.numeric import decile
 from placeframe.functions.text import primary_name, relation_lines, route_label, route_order, school_key, tidy_school
 
-# How publishers name the columns of deprivation zones and certificates, by priority.
+# Fixed values, which must be these for the right columns to be found: how publishers name the columns of deprivation zones
+# and certificates, by priority.
 DOMAINS = {"income": r"inc\w*rank", "employment": r"emp\w*rank", "health": r"(hlth|health)\w*rank", "education": r"edu\w*rank", "access": r"acc\w*rank", "crime": r"crime\w*rank", "housing": r"hous\w*rank"}
 DOMAIN_WORDS = r"inc|emp|edu|hlth|health|acc|crime|hous|pop|work"
 ZONE = (r"^data_?zone$", r"^dz(_?code)?$", r"datazone", r"^dz")
@@ -102,6 +103,8 @@ def school_counts(homes: DataFrame, all_homes: DataFrame, tops: DataFrame) -> Da
 
 
 Line = list[tuple[float, float]]
+_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_ROUTES = pa.schema([("ref", pa.string()), ("name", pa.string()), ("colour", pa.string()), ("lines", pa.list_(pa.list_(_POINT)))])
 
 
 def merge_lines(lines: list[Line]) -> list[Line]:
@@ -155,12 +158,15 @@ def merged_routes(elements: DataFrame, tolerance: float, key: Column) -> DataFra
     lines = elements.select(key.alias("ref"), F.coalesce(F.col("tags")["name"], F.lit("")).alias("name"), F.col("tags")["colour"].alias("colour"), "ord", relation_lines("members").alias("lines"))
     per = lines.groupBy("ref").agg(F.min_by("name", "ord").alias("name"), F.min_by("colour", "ord").alias("colour"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lines"))), lambda x: x["lines"])).alias("lines"))
 
-    def run(batches):
-        for pdf in batches:
-            pdf["lines"] = [[[{"x": round(x, 5), "y": round(y, 5)} for x, y in simplify(line, tolerance)] for line in merge_lines([[(p["x"], p["y"]) for p in one] for one in ls])] for ls in pdf["lines"]]
-            yield pd.DataFrame(pdf[["ref", "name", "colour", "lines"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                merged = merge_lines([[(p["x"], p["y"]) for p in line] for line in r["lines"]])
+                r["lines"] = [[{"x": round(x, 5), "y": round(y, 5)} for x, y in simplify(line, tolerance)] for line in merged]
+            yield pa.RecordBatch.from_pylist(rows, schema=_ROUTES)
 
-    return per.where(F.size("lines") > 0).mapInPandas(run, "ref string, name string, colour string, lines array<array<struct<x:double,y:double>>>")
+    return per.where(F.size("lines") > 0).select("ref", "name", "colour", "lines").mapInArrow(run, "ref string, name string, colour string, lines array<array<struct<x:double,y:double>>>")
 
 
 def bus_routes(elements: DataFrame, main: Sequence[str] = tuple(MAIN_ROUTES)) -> DataFrame:

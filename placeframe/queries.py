@@ -6,33 +6,13 @@ histories are the events of a user; positions are computed from keys by whole-nu
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeframe.functions import numeric as N
 from placeframe.functions import text as X
-from placeframe.operators import linkage, search, spatial, state, stats, transit
-from placeframe.session import materialise
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from placeframe.operators import search, spatial, state, stats
+from placeframe.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +61,6 @@ def text_search_all_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(search.contains_all(F.col("text"), "THE, tion ing")).select("doc_id")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 400")
-def top_k_400(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(400)
-
-
 @query("SELECT value, count(*) AS n FROM (SELECT l_returnflag AS value FROM lineitem UNION ALL SELECT l_linestatus FROM lineitem) GROUP BY value")
 def facet_counts_two_columns(spark, sf_dir):
     return stats.facet_counts(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
@@ -166,23 +141,6 @@ def reason_histogram(spark, sf_dir):
     return stats.reason_histogram(parts(spark, sf_dir).withColumn("excluded", reason))
 
 
-@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")
-def union_sources(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    return c.unionByName(s, allowMissingColumns=True)
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-def saved_semi(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def saved_gone_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
 def _points(df: DataFrame, key: str) -> DataFrame:
     k = F.col(key)
     return df.select(k, (55.80 + F.pmod(k * 7919, F.lit(2800)) / 10_000.0).alias("lat"), (-3.66 + F.pmod(k * 104_729, F.lit(11_800)) / 10_000.0).alias("lng"))
@@ -265,26 +223,6 @@ def latest_record_per_key(spark, sf_dir):
     return stats.newest_per_key(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderdate", "o_orderkey")
 
 
-@query("SELECT l_orderkey, u, v FROM (SELECT l_orderkey, l_partkey AS u, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS v FROM lineitem) WHERE u <> v")
-def consecutive_hops(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("u"), F.lead("l_partkey").over(w).alias("v")).where("u <> v")
-
-
-@query("SELECT ts::DATE::VARCHAR AS day, count(DISTINCT user_id) AS n FROM events WHERE isodow(ts) IN (2, 3, 4) GROUP BY 1 ORDER BY n DESC, day LIMIT 1")
-def service_date_pick(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), "user_id").where(F.weekday("day").isin(1, 2, 3))
-    return e.groupBy("day").agg(F.countDistinct("user_id").alias("n")).orderBy(F.desc("n"), "day").limit(1).withColumn("day", F.col("day").cast("string"))
-
-
-@query("SELECT c.c_custkey, coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, m, 0.0) AS value, c_acctbal < 0 AND m IS NOT NULL AS approx FROM customer c LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
-def fallback_coalesce(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("m"))
-    j = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.select("c_custkey", F.coalesce(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")), "m", F.lit(0.0)).alias("value"), ((F.col("c_acctbal") < 0) & F.col("m").isNotNull()).alias("approx"))
-
-
 @query("SELECT o_orderkey, CASE WHEN r > 0 THEN least(10, greatest(1, ceil(r / 697.6)))::INT END AS decile, CASE WHEN o_totalprice < 200000 THEN 0 WHEN o_totalprice < 300000 THEN 1 WHEN o_totalprice < 400000 THEN 2 WHEN o_totalprice < 550000 THEN 3 WHEN o_totalprice < 750000 THEN 4 ELSE 5 END AS bucket FROM (SELECT *, o_orderkey % 7000 AS r FROM orders)")
 def decile_and_buckets(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -296,23 +234,6 @@ def page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.page_title("html").alias("title"))
 
 
-@query("SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY ALL")
-def page_links(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
-    return p.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, nullif(regexp_extract(url, '/(\\d+)', 1), '') AS number FROM pages")
-def url_parts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), F.try_parse_url("url", F.lit("PATH")).alias("path"), X.extract("url", r"/(\d+)").alias("number"))
-
-
-@query("SELECT doc_id, regexp_matches(text, '(?i)\\b(edinburgh|license|licensed)\\b') AS licence, (regexp_matches(text, '(?i)\\bthat\\b') AND NOT regexp_matches(text, '(?i)\\b(no|without)\\b')) AS plain FROM documents")
-def flag_extraction(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.rlike(r"(?i)\b(edinburgh|license|licensed)\b").alias("licence"), (t.rlike(r"(?i)\bthat\b") & ~t.rlike(r"(?i)\b(no|without)\b")).alias("plain"))
-
-
 @query("SELECT doc_id, try_cast(replace(nullif(regexp_extract(text, '-?\\d[\\d,]*\\.?\\d*', 0), ''), ',', '') AS DOUBLE) AS number FROM documents")
 def number_extraction(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", N.first_number("text").alias("number"))
@@ -323,105 +244,10 @@ def name_normalize(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.school_key("c_name").alias("name"))
 
 
-@query("SELECT p_brand AS district FROM part GROUP BY 1 ORDER BY left(p_brand, 2), coalesce(try_cast(regexp_replace(substr(p_brand, 3), '\\D', '', 'g') AS INT), 0) LIMIT 10")
-def district_sort(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("district")).distinct().orderBy(*X.district_order("district")).limit(10)
-
-
-@query("SELECT o_orderkey, CASE WHEN m >= 60 THEN (m // 60)::VARCHAR || ' h ' || (m % 60)::VARCHAR || ' min' ELSE m::VARCHAR || ' min' END AS took, '£' || round(o_totalprice / 1000)::INT::VARCHAR || 'k' AS shown FROM (SELECT *, o_orderkey % 200 AS m FROM orders) WHERE o_totalprice < 1000000")
-def display_texts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_totalprice < 1000000")
-    return o.select("o_orderkey", N.minutes_text(F.pmod("o_orderkey", F.lit(200))).alias("took"), N.pounds("o_totalprice").alias("shown"))
-
-
-@query("SELECT c_nationkey AS nation, count(*) AS n, round(avg(c_acctbal), 2) AS mean FROM customer GROUP BY 1 HAVING count(*) > 0")
-def group_means(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 2).alias("mean"))
-
-
 @query("SELECT cy, cx, count(*) AS n FROM (SELECT floor(lat / 0.05)::BIGINT AS cy, floor(lng / 0.05)::BIGINT AS cx FROM " + _points_sql("customer", "c_custkey") + ") GROUP BY ALL")
 def grid_clusters(spark, sf_dir):
     return stats.clusters(_points(table(spark, sf_dir, "customer"), "c_custkey"), cell=0.05).select("cy", "cx", "n")
 
 
-# ---------------------------------------------------------------- literal inputs; no SQL
-
-_HOMES = "id string, address string, postcode string, price int, bedrooms int, url string, source string, auction struct<house:string,date:date,basis:string>, first_seen date, price_history array<struct<date:date,price:int>>"
-
-
-@query()
-def dedupe_groups(spark, sf_dir):
-    import datetime as dt
-
-    lot = ("House", dt.date(2026, 10, 8), "Guide price")
-    h = lambda i, p: [(dt.date(2026, 1, i), p)]
-    rows = [
-        ("100", "70 Kingston Avenue, Edinburgh", "EH16 5SW", 400_000, 3, "u1", None, None, dt.date(2026, 1, 1), h(1, 410_000)),
-        ("101", "70 Kingston Avenue", "EH16 5SW", 390_000, 3, "u2", None, None, dt.date(2026, 2, 1), h(20, 390_000)),
-        ("auc-1", "70 and 70a Kingston Avenue", "EH16 5SW", 300_000, 3, "u3", "auction", lot, None, []),
-        ("200", "Rose Cottage, Main Street", "EH27 8AA", 250_000, 2, "u4", None, None, dt.date(2026, 1, 5), []),
-        ("auc-2", "Rose Cottage, Main Street, Kirknewton", "EH27 8AA", 200_000, 2, "u5", "auction", lot, None, []),
-    ]
-    out = linkage.resolve_duplicates(spark.createDataFrame(rows, _HOMES))
-    return out.select("id", "price", "relisted", "first_seen", F.size("price_history").alias("n_history"), F.coalesce(F.size("also_auction"), F.lit(0)).alias("n_also"), F.coalesce(F.size("in_auction_lot"), F.lit(0)).alias("n_lots"))
-
-
-def literal_timetable(spark: SparkSession):
-    """Two routes towards the destination, every 10 and 20 minutes."""
-    stops = spark.createDataFrame([("a", "Far", 55.990, -3.300), ("b", "Mid", 55.975, -3.250), ("c", "Near", 55.960, -3.210), ("d", "Centre", 55.9525, -3.1905), ("e", "Cross", 55.9755, -3.2505)], "stop_id string, stop_name string, stop_lat double, stop_lon double")
-    times = []
-    for k in range(13):
-        t = 7 * 3600 + 600 * k
-        times += [(f"x{k}", _clock(t + 300 * i), _clock(t + 300 * i), s, i) for i, s in enumerate("abcd")]
-    for k in range(7):
-        t = 7 * 3600 + 1200 * k
-        times += [(f"y{k}", _clock(t + 600 * i), _clock(t + 600 * i), s, i) for i, s in enumerate("ed")]
-    running = spark.createDataFrame([(f"x{k}", "22") for k in range(13)] + [(f"y{k}", "44") for k in range(7)], "trip_id string, route string")
-    return stops, spark.createDataFrame(times, "trip_id string, arrival_time string, departure_time string, stop_id string, stop_sequence int"), running
-
-
-def _clock(s: int) -> str:
-    return f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
-
-
-def literal_network(spark: SparkSession):
-    raw, times, running = literal_timetable(spark)
-    stops = materialise(transit.stops_in_area(raw), "stops")
-    hops = transit.connections(times, running, stops)
-    return stops, materialise(transit.reverse_scan(hops, transit.footpaths(stops), transit.to_destination(stops)), "profiles")
-
-
-@query()
-def reverse_scan(spark, sf_dir):
-    stops, profiles = literal_network(spark)
-    return profiles.join(stops.select("stop", "stop_id"), "stop").select("target", "stop_id", "latest", "arrival", "route")
-
-
-@query()
-def journey(spark, sf_dir):
-    stops, profiles = literal_network(spark)
-    homes = _points(table(spark, sf_dir, "customer"), "c_custkey").withColumnRenamed("c_custkey", "id")
-    stations = spark.createDataFrame([(0, "Hill", 55.97, -3.30, 12, 4), (1, "Shore", 55.94, -3.07, 9, 2)], "ord int, name string, lat double, lng double, minutes int, trains_per_hour int")
-    return transit.journeys(homes, profiles=profiles, stops=stops, stations=stations).select("id", "travel.*")
-
-
-LISTING_PAGE = """<html><head><title>12 Sample Road | Homes</title><script type="application/ld+json">{"@type": "House", "name": "4 bed detached house",
-"address": {"streetAddress": "12 Sample Road", "postalCode": "EH4 1AB"}, "geo": {"latitude": 55.96, "longitude": -3.25}, "numberOfBedrooms": 4, "floorSize": {"value": 168, "unitCode": "MTK"},
-"offers": {"price": "545000"}, "description": "A detached house with double garage. Two bathrooms. EPC rating D."}</script></head>
-<body><h1>12 Sample Road</h1><p>Offers over £545,000. 4 bedrooms 2 bathrooms. Closing date: 10th October at noon</p></body></html>"""
-
-
-@query()
-def parse_listing_html(spark, sf_dir):
-    from placeframe.functions.html import parse_listings
-
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "url", "html")
-    literal = spark.createDataFrame([("literal", "https://example.org/property/12-sample-road-eh4-1ab/36111111", LISTING_PAGE)], "id string, url string, html string")
-    return parse_listings(literal.unionByName(pages), F.lit("2026-09-01").cast("date")).drop("page_text", "body_text")
-
-
-@query()
-def certificate_match(spark, sf_dir):
-    certs = spark.createDataFrame([("EH4 1AB", "12 Sample Rd", 134, "C", "2024-06-12"), ("EH4 1AB", "12 SAMPLE ROAD", 130, "D", "2015-01-01"), ("EH4 1AB", "14 Sample Road", 90, "B", "2025-01-01")], "postcode string, address string, floor_area_m2 int, band string, date string")
-    homes = spark.createDataFrame([("1", "12 Sample Road, Edinburgh", "eh4 1ab", None), ("2", "16 Sample Road", "EH4 1AB", 80)], "id string, address string, postcode string, floor_area_m2 int")
-    return linkage.apply_certificates(homes, certs)
+# More queries, by subject; each module registers its own.
+from placeframe.query_sets import days, homes, layers, pages, saved_lists, searches, texts, timetables  # noqa: E402, F401

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import os
+import io
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,9 +33,14 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "pla
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a local one, removed at exit."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset and everything runs in one JVM (tests), a local one, removed at exit; a cluster without it is refused.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="placeframe-shared-"))
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -69,14 +75,23 @@ def discard(*frames: DataFrame | None) -> None:
             df._scratch = None
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> str:
+    """A small file, through Spark's own file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so no executor needs it installed."""
+    """Send this package to the Python workers once per application, so no executor needs it installed; it lies in the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_placeframe_shipped", False):
         return
-    at = os.path.join(tempfile.mkdtemp(prefix="placeframe-"), "placeframe_pkg.zip")
-    with zipfile.ZipFile(at, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(_PACKAGE.parent))
-    sc.addPyFile(at)
+    sc.addPyFile(write_file(spark, f"{fresh_path(spark, 'package')}/placeframe_pkg.zip", packed.getvalue()))
     sc._placeframe_shipped = True

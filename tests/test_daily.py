@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from placeframe import schemas
 from placeframe.plans import daily, refresh
-from placeframe.queries import LISTING_PAGE
+from tests.samples import LISTING_PAGE
 from placeframe.sources import sinks
 
 DAY = F.lit("2026-09-01").cast("date")

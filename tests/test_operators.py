@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from placeframe.operators import layers, linkage, saved, search, spatial, state, stats
 from placeframe.plans import refresh
-from placeframe.queries import literal_network
+from placeframe.query_sets.timetables import literal_network
 from placeframe.sources import files, remote, sinks
 
 DAY = F.lit("2026-10-01").cast("date")
