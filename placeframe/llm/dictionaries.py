@@ -1,7 +1,7 @@
 """What the two compression classifiers share: bounded labelled samples, class dictionaries, calibration, scoring.
 
 The sample is the one bounded part: at most ``per_class`` labelled rows of each class, the first by a hash of their id,
-each of at most ``MAX_SAMPLE_BYTES``. Scoring reads every whole text.
+each of at most ``MAX_SAMPLE_BYTES``; a dictionary holds ``DICT_BYTES`` at most. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -59,7 +59,10 @@ def pieces(data: bytes, size: int) -> list[bytes]:
 
 
 def train_dictionary(texts: list[bytes], sample: int, size: int = DICT_BYTES) -> bytes:
-    """A zstandard dictionary of samples of ``sample`` bytes; the plain tail of the texts where there are too few to train on."""
+    """A zstandard dictionary of at most ``size`` bytes from samples of ``sample`` bytes each.
+
+    Where there are too few samples to train on, it is the last ``size`` bytes of them as they are.
+    """
     parts = [p for t in texts for p in pieces(t, sample) if len(p) >= 8]
     try:
         return zstandard.train_dictionary(size, parts, k=64, d=8).as_bytes()
@@ -80,6 +83,15 @@ class Model:
     centre: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     prior: float = 0.0
+    knots: tuple[list[float], list[float]] | None = None
+
+
+def split_folds(rows: list[tuple], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows calibrate (folds 3 and 4) and which train dictionaries; all do both where a side would lack a class."""
+    held = np.array([r[0] in (3, 4) for r in rows])
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        return np.ones(len(rows), bool), np.ones(len(rows), bool)
+    return held, ~held
 
 
 class Sizes:
@@ -122,7 +134,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
     return w, centre, scale
 
 
+def isotonic(x: np.ndarray, y: np.ndarray, step: int = 20) -> tuple[list[float], list[float]]:
+    """Knots of a rising fit: means of ``step`` rows in order of x, neighbours that fall pooled; half a row of prior."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []  # x, y and weight
+    for i in range(0, len(x), step):
+        part = order[i : i + step]
+        pools.append([float(x[part].mean()), float(y[part].mean()), float(len(part))])
+        while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
+            (x2, y2, w2), (x1, y1, w1) = pools.pop(), pools.pop()
+            pools.append([(x1 * w1 + x2 * w2) / (w1 + w2), (y1 * w1 + y2 * w2) / (w1 + w2), w1 + w2])
+    return [p[0] for p in pools], [(p[1] * p[2] + 0.5) / (p[2] + 1) for p in pools]
+
+
 def probability(model: Model, x: np.ndarray) -> np.ndarray:
+    if model.knots:
+        return np.interp(x[:, 0], *model.knots)
     if not model.weights:
         return np.full(len(x), model.prior)
     z = np.c_[(x - np.array(model.centre)) / np.array(model.scale), np.ones(len(x))] @ np.array(model.weights)

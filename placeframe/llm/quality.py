@@ -1,11 +1,13 @@
 """Quality by compression: the normalised difference of a text's size under a good and a bad dictionary.
 
 Zstandard dictionaries are trained on texts labelled good and bad. A text's windows are compressed with both; the summed
-difference over the text's length, with its spread over the windows, becomes a probability by a logistic fit on a fold
-that neither dictionary has seen.
+difference of the sizes over the text's length is the one thing that is scored. It becomes a probability by an isotonic
+fit, on folds that neither dictionary has seen, with straight lines between its steps.
 
-A null or empty text has difference 0 and gets the score that goes with it; repeated rows get equal scores; without labels
-of both classes every score is the share of the class that is there (0 without any). Extra columns are ignored.
+A null or empty text has difference 0 and gets the score that goes with it; long texts are compressed whole, window by
+window; repeated rows get equal scores; without labels of both classes every score is the share of the class that is there
+(0 without any). Where the labelled rows of a class all lie in the same folds, dictionaries and calibration share rows, and
+scores are too sure. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,39 +17,27 @@ from pyspark.sql import DataFrame
 
 from placeframe.llm import dictionaries as D
 
-WINDOW = 512
+WINDOW = 256
 
 
 def features(model: D.Model, sizes: D.Sizes, texts: list[bytes]) -> np.ndarray:
+    """One column: bytes that the good dictionary saves against the bad one, per byte of text."""
     parts = [D.pieces(t, model.window) for t in texts]
-    a, b = sizes([p for ps in parts for p in ps])  # a: under the bad dictionary, b: under the good one
-    n = np.array([len(ps) for ps in parts])
-    row = np.repeat(np.arange(len(texts)), n)
-    size = np.array([max(1, len(t)) for t in texts], float)
-    own = np.array([max(1, len(p)) for ps in parts for p in ps], float)
-    share = (a - b) / own
-    low, high = np.full(len(texts), np.inf), np.full(len(texts), -np.inf)
-    np.minimum.at(low, row, share)
-    np.maximum.at(high, row, share)
-    total_a, total_b = np.bincount(row, a, len(texts)), np.bincount(row, b, len(texts))
-    return np.stack([(total_a - total_b) / np.maximum(total_a + total_b, 1), (total_a - total_b) / size, total_a / size, total_b / size, low, high, np.log(size)], 1)
+    bad, good = sizes([p for ps in parts for p in ps])
+    row = np.repeat(np.arange(len(texts)), [len(ps) for ps in parts])
+    return (np.bincount(row, bad - good, len(texts)) / np.array([max(1, len(t)) for t in texts]))[:, None]
 
 
 def fit_rows(rows: list[tuple[int, str, int]], window: int = WINDOW) -> D.Model:
+    """rows: (fold, text, label); folds 1 and 2 train the dictionaries, 3 and 4 calibrate."""
     y = np.array([r[2] for r in rows], float)
     if len(rows) < 2 or y.min() == y.max():
         return D.Model(b"\n", b"\n", window, prior=float(y.mean()) if len(y) else 0.0)
     texts = [r[1].encode() for r in rows]
-    held = np.array([r[0] in (3, 4) for r in rows])
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held[:] = True
-        dictionary = ~held | True
-    else:
-        dictionary = ~held
+    held, dictionary = D.split_folds(rows, y)
     of = lambda c: [t for t, k, v in zip(texts, dictionary, y, strict=True) if k and v == c]
     model = D.Model(D.train_dictionary(of(0), window), D.train_dictionary(of(1), window), window)
-    w, centre, scale = D.logistic(features(model, D.Sizes(model), [t for t, k in zip(texts, held, strict=True) if k]), y[held])
-    model.weights, model.centre, model.scale = w.tolist(), centre.tolist(), scale.tolist()
+    model.knots = D.isotonic(features(model, D.Sizes(model), [t for t, k in zip(texts, held, strict=True) if k])[:, 0], y[held])
     return model
 
 
