@@ -1,12 +1,17 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 A text is the mean of the embeddings of its byte 3- and 4-grams (letters in lower case, every other ASCII byte a blank),
-hashed into two tables. A temperature fitted on a fold of its own calibrates the softmax; the rejection threshold is the
-confidence that all but a thousandth of that fold's documents reach, one half at most.
+hashed into two tables. Training sees up to six spans of 12 to 400 bytes, anywhere in a text; predictions are of whole
+texts. A temperature fitted on a fold of its own calibrates the softmax. Rejection is calibrated on the same fold by two
+figures: the confidence that all but a thousandth of its documents reach (one half at most, so that two alike languages do
+not reject each other), and the familiarity of a text, the mean log frequency of its grams in training, which is not
+relative to the other languages: a text that lies below the fold's median by ``FAR`` times as much as all but a thousandth
+of the fold's documents do is in no learned language.
 
-The score is linear in the mean, so scoring folds embeddings and softmax weights into one table of logits for each gram.
+The score is linear in the mean, so scoring folds embeddings and softmax weights into one table of logits for each gram,
+with a column for the log frequency.
 
-Null texts and texts without a letter are ``und`` with score 0 and are rejected. Repeated rows get equal predictions. With
+The ``MAX_LANGUAGES`` commonest languages are learned. Null texts and texts without a letter are ``und`` with score 0 and are rejected. Repeated rows get equal predictions. With
 one learned language that language is predicted with score 1; with none, every row is ``und``. Extra columns are ignored by
 :func:`predict` and kept by :func:`keep_known`.
 """
@@ -29,6 +34,8 @@ from placeframe.session import ship_package
 #: Training documents that may reach the driver: of each language, and in all.
 PER_LANGUAGE = 1500
 IN_ALL = 6000
+MAX_LANGUAGES = 200
+FAR = 2.5
 BITS = 15
 DIM = 16
 _BLANKED = np.array([LOWER[b] if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -37,10 +44,11 @@ _BLANKED = np.array([LOWER[b] if b >= 128 or chr(b).isalpha() else 32 for b in r
 @dataclass
 class Model:
     langs: list[str]
-    logits: np.ndarray  # (2 << BITS, languages): rows of 3-grams, then of 4-grams
+    logits: np.ndarray  # (2 << BITS, languages + 1): rows of 3-grams, then of 4-grams; the last column is the log frequency
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    familiar: float = -np.inf
 
 
 def grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,26 +79,28 @@ def _sums(table: np.ndarray, ids: np.ndarray, offs: np.ndarray, order: int) -> t
     return total, n
 
 
-def probabilities(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def probabilities(model: Model, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the languages, and familiarity, of every text."""
     three, four = grams(buf)
     a, n = _sums(model.logits, three, offs, 3)
     b, m = _sums(model.logits, four, offs, 4)
-    z = ((a + b) / np.maximum(n + m, 1)[:, None] + model.bias) / model.temperature
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    mean = (a + b) / np.maximum(n + m, 1)[:, None]
+    z = (mean[:, :-1] + model.bias) / model.temperature
+    z = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
+    return z / z.sum(1, keepdims=True), mean[:, -1]
 
 
-def _of_texts(model: Model, texts: list[bytes], size: int = 64) -> np.ndarray:
-    """Probabilities of many texts, a few at a time: the driver's memory stays small."""
+def _of_texts(model: Model, texts: list[bytes], size: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities and familiarity of many texts, a few at a time: the driver's memory stays small."""
     out = []
     for i in range(0, len(texts), size):
         part = texts[i : i + size]
         out.append(probabilities(model, np.frombuffer(b"".join(part), np.uint8), np.r_[0, np.cumsum([len(t) for t in part])]))
-    return np.concatenate(out)
+    return np.concatenate([p for p, _ in out]), np.concatenate([f for _, f in out])
 
 
 def _snippets(text: bytes, rng: np.random.Generator) -> Iterator[bytes]:
-    """The whole text's training views: spans of 12 to 400 bytes all over it."""
+    """Training views of a text: one to six spans of 12 to 400 bytes, anywhere in it."""
     for _ in range(1 + min(5, len(text) // 400)):
         size = int(np.exp(rng.uniform(np.log(12), np.log(400))))
         at = int(rng.integers(0, max(1, len(text) - size)))
@@ -100,8 +110,12 @@ def _snippets(text: bytes, rng: np.random.Generator) -> Iterator[bytes]:
 def train(rows: list[tuple[str, bytes, int]], epochs: int = 4, rate: float = 1.0, batch: int = 256, seed: int = 11) -> Model:
     """rows: (language, text, fold); fold 4 calibrates."""
     langs = sorted({r[0] for r in rows})
+    seen = np.zeros(2 << BITS)
+    for _, text, _ in rows:
+        np.add.at(seen, np.concatenate(grams(np.frombuffer(text, np.uint8))), 1)
+    common = np.log((seen + 0.5) / max(1.0, seen.sum())).astype(np.float32)[:, None]
     if len(langs) < 2:
-        return Model(langs, np.zeros((2 << BITS, len(langs)), np.float32), np.zeros(len(langs)))
+        return _calibrated(Model(langs, np.hstack([np.zeros((2 << BITS, len(langs)), np.float32), common]), np.zeros(len(langs))), [r[1] for r in rows])
     rng = np.random.default_rng(seed)
     learn = [r for r in rows if r[2] != 4] or rows
     check = [r for r in rows if r[2] == 4] or rows
@@ -133,28 +147,35 @@ def train(rows: list[tuple[str, bytes, int]], epochs: int = 4, rate: float = 1.0
             first = np.flatnonzero(np.r_[True, rows_at[1:] != rows_at[:-1]])
             embed[rows_at[first]] -= step * np.add.reduceat(np.repeat(down, sizes, axis=0)[sort], first, axis=0)
             done += 1
-    model = Model(langs, (embed @ soft).astype(np.float32), bias.astype(float))
+    model = Model(langs, np.hstack([(embed @ soft).astype(np.float32), common]), bias.astype(float))
     texts = [(langs.index(lang), s) for lang, text, _ in check for s in (text, *_snippets(text, rng))]
     y = np.array([t[0] for t in texts])
-    logp = np.log(_of_texts(model, [s for _, s in texts]) + 1e-12)
+    logp = np.log(_of_texts(model, [s for _, s in texts])[0] + 1e-12)
 
     def loss(t: float) -> float:
         z = logp / t
         return float(-(z[np.arange(len(y)), y] - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) - z.max(1)).mean())
 
     model.temperature = float(min(np.geomspace(0.1, 4, 40), key=loss))
-    whole = np.array([s for _, t, _ in check for s in (True, *[False] * (1 + min(5, len(t) // 400)))])
-    sure = _of_texts(model, [s for (_, s), w in zip(texts, whole, strict=True) if w]).max(1)
-    model.threshold = float(min(0.5, np.quantile(sure, 0.001)))
+    return _calibrated(model, [t for _, t, _ in check])
+
+
+def _calibrated(model: Model, texts: list[bytes]) -> Model:
+    """The thresholds of rejection, from whole texts that have letters to go by."""
+    usable = [t for t in texts if len(t) >= 3 and (_BLANKED[np.frombuffer(t, np.uint8)] != 32).any()]
+    if usable:
+        p, f = _of_texts(model, usable)
+        model.threshold = float(min(0.5, np.quantile(p.max(1), 0.001)))
+        model.familiar = float(np.median(f) - FAR * (np.median(f) - np.quantile(f, 0.001)))
     return model
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from a bounded sample of the documents that have a language and whose fold is not 0."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0) & (F.octet_length(text_col) <= MAX_SAMPLE_BYTES))
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
     if not sizes:
-        return Model([], np.zeros((2 << BITS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((2 << BITS, 1), np.float32), np.zeros(0))
     most = max(1, min(PER_LANGUAGE, IN_ALL // len(sizes)))
     grain = 1_000_000
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(grain, -(-grain * most * 6 // (5 * n)))))])
@@ -171,14 +192,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def _decide(model: Model, texts: pa.Array, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language index (-1: und), score and rejection of a column of texts."""
-    lang, score = np.full(len(texts), -1), np.zeros(len(texts))
+    lang, score, known = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
     if model.langs:
         for first, buf, offs in chunks(texts):
-            p = probabilities(model, buf, offs)
+            p, f = probabilities(model, buf, offs)
             rows = slice(first, first + len(p))
-            lang[rows], score[rows] = p.argmax(1), p.max(1)
+            lang[rows], score[rows], known[rows] = p.argmax(1), p.max(1), f
     lang[~letter], score[~letter] = -1, 0.0
-    return lang, score, (lang < 0) | (score < model.threshold)
+    return lang, score, (lang < 0) | (score < model.threshold) | (known < model.familiar)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,8 +11,13 @@ of the window.
 The strongest windows, and the counts beyond thresholds calibrated on ordinary windows, make a logistic score, fitted on
 folds that neither dictionary has seen.
 
-A null or empty text gets the score of a text without windows of note; repeated rows get equal scores; without labels of
-both classes every score is the share of the class that is there (0 without any). Extra columns are ignored.
+Spans beyond ``TOXIC_BYTES`` are left out of the dictionary by their rank in their language. Two dictionaries trained on the
+two classes' texts as they are, without the search for spans, do not tell the classes apart here (see the README).
+
+A null or empty text gets the score of a text without windows of note; long texts are scored whole; repeated rows get equal
+scores; without labels of both classes every score is the share of the class that is there (0 without any). Where the
+labelled rows of a class all lie in the same folds, dictionaries and calibration share rows, and scores are too sure. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,13 +122,8 @@ def fit_rows(rows: list[tuple], window: int = WINDOW) -> D.Model:
     y = np.array([r[2] for r in rows], float)
     if len(rows) < 2 or y.min() == y.max():
         return D.Model(b"\n", b"\n", window, prior=float(y.mean()) if len(y) else 0.0)
-    texts = [r[1].lower().encode() for r in rows]
-    held = np.array([r[0] in (3, 4) for r in rows])
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held[:] = True
-        dictionary = ~held | True
-    else:
-        dictionary = ~held
+    texts = [r[1].encode().lower() for r in rows]  # ASCII letters, as in scoring
+    held, dictionary = D.split_folds(rows, y)
     of = lambda c: [t for t, k, v in zip(texts, dictionary, y, strict=True) if k and v == c]
     langs = [r[3] if len(r) > 3 else None for r in rows]
     of_lang = lambda c, g: [t for t, k, v, x in zip(texts, dictionary, y, langs, strict=True) if k and v == c and x == g]

@@ -393,16 +393,20 @@ def test_language_id(spark, nothing):
     kept = langid.keep_known(df, model)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if not r.rejected}
     assert langid.predict(nothing, langid.fit(nothing)).count() == 0
+    foreign = spark.createDataFrame([(i, " ".join("".join(rng.choice(("zyx", "wqj", "vuk")) for _ in range(3)) for _ in range(30))) for i in range(30)], "doc_id long, text string")
+    two = langid.fit(df.where("lang <> 'cc'"))
+    assert langid.keep_known(foreign, two).count() == 0 and langid.keep_known(df.where("lang <> 'cc' and doc_id < 360"), two).count() == 240
     one = langid.fit(df.where("lang = 'aa'"))
+    assert langid.keep_known(foreign, one).count() == 0
     assert {r.lang_pred for r in langid.predict(df.where("doc_id < 30"), one).collect()} == {"aa"}
 
 
 def test_long_texts_equal_short_chunks():
     text = ("the tion ing " * 5000).encode()
     buf = np.frombuffer(text, np.uint8)
-    model = langid.Model(["a", "b"], np.random.default_rng(0).normal(size=(2 << langid.BITS, 2)).astype(np.float32), np.zeros(2))
-    whole = langid.probabilities(model, buf, np.array([0, len(buf)]))
-    pair = langid.probabilities(model, np.r_[buf, buf], np.array([0, len(buf), 2 * len(buf)]))
+    model = langid.Model(["a", "b"], np.random.default_rng(0).normal(size=(2 << langid.BITS, 3)).astype(np.float32), np.zeros(2))
+    whole, _ = langid.probabilities(model, buf, np.array([0, len(buf)]))
+    pair, _ = langid.probabilities(model, np.r_[buf, buf], np.array([0, len(buf), 2 * len(buf)]))
     assert np.allclose(pair[0], whole[0]) and np.allclose(pair[1], whole[0])
 
 
