@@ -1,23 +1,29 @@
 """Suffix-array deduplication of byte strings across documents, with deep-shallow sorting.
 
 A byte goes if it is covered by a ``LENGTH``-byte string that also starts in a document with a smaller id; strings are
-judged on the input. Only suffixes that can take part are sorted, and the choice is exact:
+judged on the input. Only suffixes that can take part are sorted; the choice drops none of them:
 
-1. Spool. Texts are written in batches of some megabytes to the shared folder; later steps open a batch by its path.
+1. Spool. Texts are written in batches of some megabytes to the shared folder; later steps open a batch by its number.
 2. Anchors. Of the ``GRAM``-byte grams in each LENGTH-byte window, the one with the least hash is its anchor; equal windows
    have equal anchors. Anchors that occur in one document only are ruled out; each batch gets a bit for each of its anchors.
 3. Contexts. Consecutive windows with the same anchor form one context, a string of less than 2 * LENGTH bytes. Contexts of
-   the anchors that are left travel, each once per batch, to buckets by anchor. The windows of an anchor that very many
-   batches hold travel one by one, by their own hash, so a line that is everywhere spreads over all buckets and copies of
-   it meet as one.
+   the anchors that are left travel, each once per batch, to buckets by anchor.
 4. Sorting. The suffixes of a bucket's distinct contexts, one per window, are sorted to LENGTH bytes: multikey quicksort to
    ``SHALLOW`` bytes, then a blind trie for each group whose members still agree. Equal strings end side by side; the least
    document id of each is known, and every window of a greater id is removed.
-5. Cutting. The removed spans return to their batches, where documents are cut.
+5. Hot anchors, which ``HOT_BATCHES`` batches or more hold, skip 3 and 4. Each batch sorts its own windows of them, and sends
+   one row for each distinct one, with its least id: a least id over all batches is an aggregation with map-side combine,
+   and a join brings it back. So a line that is everywhere gathers in no task.
+6. Cutting. The removed spans return to their batches, where documents are cut.
+
+A batch sends a row to a bucket that holds any of its anchors: rows grow with batches times buckets until each holds one
+anchor, and in proportion to the text from there. Anchors, contexts and hot windows are told apart by 64-bit hashes (a
+context is wrongly taken for another with odds of n * n / 2^65 for n that meet in a bucket); within a bucket's sort, bytes
+are compared.
 
 Ids are whole numbers. A null id counts as greater than all others, and documents with the same id (repeated rows) do not
 remove each other's bytes. Null texts count as empty; texts below LENGTH bytes are left alone; long texts are treated in
-slabs that overlap. An empty table gives no rows. Extra columns are carried through :func:`dedup`.
+slabs that overlap. An empty table gives no rows. Records travel as one struct, so no column name can clash.
 """
 
 from __future__ import annotations
@@ -43,10 +49,12 @@ from placeframe.session import fresh_path, materialise, ship_package
 
 LENGTH, GRAM, SHALLOW = 50, 20, 24
 BATCH_BYTES, BUCKET_BYTES, SLAB = 4 << 20, 8 << 20, 1 << 20
-#: An anchor that this many batches hold sends its windows one by one.
-HOT_BATCHES = 1024
-#: Tasks of a step that works batch by batch.
+#: An anchor that this many batches hold is hot.
+HOT_BATCHES = 64
+#: Tasks of a step that works batch by batch or bucket by bucket.
 MAX_TASKS = 20_000
+#: Groups of up to this many suffixes are not partitioned further but sorted at once.
+SMALL = 48
 _LAST = np.iinfo(np.int64).max
 
 
@@ -55,10 +63,11 @@ def _open(path: str, write: bool = False):
     return fs.open_output_stream(at, compression=None) if write else fs.open_input_file(at)
 
 
-def spool(docs: DataFrame, text_col: str) -> DataFrame:
-    """Write the rows in batches; returns (batch, bytes), batch being the file's path."""
+def spool(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """Write id, text and the whole row in batches; the manifest (batch, bytes), batch being a file's number, and the folder."""
     folder = fresh_path(docs.sparkSession, "suffix-batches")
-    at = docs.columns.index(text_col)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("no_text")).alias("record"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -66,14 +75,14 @@ def spool(docs: DataFrame, text_col: str) -> DataFrame:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            path = f"{folder}/{uuid.uuid4().hex}.arrow"
-            with _open(path, True) as f, pa.ipc.new_file(f, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            number = uuid.uuid4().int >> 65
+            with _open(_file(folder, number), True) as f, pa.ipc.new_file(f, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for b in held:
                     w.write_batch(b)
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64())], names=["batch", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64())], names=["batch", "bytes"])
 
         for b in batches:
-            length = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            length = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
             start = 0
             while start < b.num_rows:
                 before = int(length[start - 1]) if start else 0
@@ -87,19 +96,23 @@ def spool(docs: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    return materialise(docs.mapInArrow(K.lean(run), "batch string, bytes long"), "suffix-manifest")
+    return materialise(rows.mapInArrow(K.lean(run), "batch long, bytes long"), "suffix-manifest"), folder
+
+
+def _file(folder: str, number: int) -> str:
+    return f"{folder}/{number:016x}.arrow"
 
 
-def read_batch(path: str, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+def read_batch(folder: str, number: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """A batch: its table, the bytes of its texts, their offsets, and the ids as order keys."""
-    with _open(path) as f:
+    with _open(_file(folder, number)) as f:
         table = pa.ipc.open_file(f).read_all()
-    column = pc.fill_null(table.column(text_col).combine_chunks() if table.num_rows else pa.array([], pa.string()), "").cast(pa.large_binary())
+    column = table.column("text").cast(pa.large_binary()).combine_chunks()
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     _, off, data = column.buffers()
     offs = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
     buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
-    ids = pc.fill_null(table.column(id_col).cast(pa.int64()), _LAST).to_numpy()
+    ids = pc.fill_null(table.column("id"), _LAST).to_numpy()
     return table, buf, offs - offs[0], ids
 
 
@@ -171,21 +184,22 @@ def _unsix(data: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def anchor_blobs(manifest: DataFrame, buckets: int, parts: int, id_col: str, text_col: str) -> DataFrame:
+def anchor_blobs(manifest: DataFrame, folder: str, buckets: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
-                _, buf, offs, ids = read_batch(path, id_col, text_col)
+            for number in b.column(0).to_pylist():
+                _, buf, offs, ids = read_batch(folder, number)
                 a, many, bounds = distinct_anchors(anchored(buf, offs), ids, buckets)
-                rows = [(i, path, _six(a[s:e]), np.packbits(many[s:e]).tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if e > s]
+                some = np.flatnonzero(bounds[1:] > bounds[:-1])
+                rows = [(i, number, _six(a[bounds[i] : bounds[i + 1]]), np.packbits(many[bounds[i] : bounds[i + 1]]).tobytes()) for i in some.tolist()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "batch", "keys", "many"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "batch", "keys", "many"])
 
-    return manifest.repartition(parts, "batch").select("batch").mapInArrow(K.lean(run), "bucket int, batch string, keys binary, many binary")
+    return manifest.repartition(parts, "batch").select("batch").mapInArrow(K.lean(run), "bucket long, batch long, keys binary, many binary")
 
 
 def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each batch of a bucket, bits of its anchors: in two documents at least; in very many batches."""
+    """For each batch of a bucket, bits of its anchors: in two documents at least but not hot; hot; and whether any is hot."""
     keys = [_unsix(x) for x in pdf["keys"]]
     size = np.array([len(k) for k in keys])
     many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(pdf["many"], size, strict=True)]).astype(bool)
@@ -194,7 +208,9 @@ def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     shared[inverse[many]] = True
     ends = np.cumsum(size)
     cut = lambda flag: [np.packbits(flag[e - n : e]).tobytes() for e, n in zip(ends, size, strict=True)]
-    return pd.DataFrame({"batch": pdf["batch"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "shared": cut(shared[inverse]), "hot": cut((times >= HOT_BATCHES)[inverse])})
+    hot = times >= HOT_BATCHES
+    some = [bool(hot[inverse[e - n : e]].any()) for e, n in zip(ends, size, strict=True)]
+    return pd.DataFrame({"batch": pdf["batch"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "shared": cut((shared & ~hot)[inverse]), "hot": cut(hot[inverse]), "any_hot": some})
 
 
 def _window_hash(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -210,42 +226,75 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - count - start, count)
 
 
-def _contexts(buckets: int, id_col: str, text_col: str):
+def _flagged(pdf: pd.DataFrame, folder: str, buckets: int, name: str) -> tuple[np.ndarray, np.ndarray, Runs, np.ndarray]:
+    """Bytes, ids and runs of a batch, and whether the anchor of each run has the flag ``name``."""
+    _, buf, offs, ids = read_batch(folder, int(pdf["batch"].iat[0]))
+    runs = anchored(buf, offs)
+    a, _, bounds = distinct_anchors(runs, ids, buckets)
+    flag = np.zeros(len(a), bool)
+    for bucket, bits in zip(pdf["bucket"], pdf[name], strict=True):
+        rows = slice(bounds[bucket], bounds[bucket + 1])
+        flag[rows] = np.unpackbits(np.frombuffer(bits, np.uint8))[: rows.stop - rows.start].astype(bool)
+    by = np.argsort(a)
+    return buf, ids, runs, flag[by[np.searchsorted(a[by], runs.anchor)]] if len(a) else np.zeros(0, bool)
+
+
+def _contexts(folder: str, buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        path = pdf["batch"].iat[0]
-        _, buf, offs, ids = read_batch(path, id_col, text_col)
-        runs = anchored(buf, offs)
-        a, _, bounds = distinct_anchors(runs, ids, buckets)
-        shared, hot = np.zeros(len(a), bool), np.zeros(len(a), bool)
-        for bucket, s, h in zip(pdf["bucket"], pdf["shared"], pdf["hot"], strict=True):
-            rows = slice(bounds[bucket], bounds[bucket + 1])
-            n = rows.stop - rows.start
-            shared[rows], hot[rows] = (np.unpackbits(np.frombuffer(x, np.uint8))[:n].astype(bool) for x in (s, h))
-        by = np.argsort(a)
-        own = by[np.searchsorted(a[by], runs.anchor)] if len(a) else np.zeros(0, np.int64)
-        plain, single = np.flatnonzero(shared[own] & ~hot[own]), np.flatnonzero(shared[own] & hot[own])
-        at = _ranges(runs.start[single], runs.count[single])
-        name = _window_hash(buf, at)
-        start, count = np.r_[runs.start[plain], at], np.r_[runs.count[plain], np.ones(len(at), np.int64)]
-        context, key = np.r_[runs.context[plain], name], np.r_[runs.anchor[plain], name]
-        doc = ids[np.r_[runs.doc[plain], np.repeat(runs.doc[single], runs.count[single])]]
-        bucket = (key % K.U(buckets)).astype(np.int64)
-        order = np.lexsort((context, bucket))
-        start, count, context, doc, bucket = start[order], count[order], context[order], doc[order], bucket[order]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        buf, ids, runs, shared = _flagged(pdf, folder, buckets, "shared")
+        own = np.flatnonzero(shared)
+        bucket = (runs.anchor[own] % K.U(buckets)).astype(np.int64)
+        order = np.lexsort((runs.context[own], bucket))
+        own, bucket = own[order], bucket[order]
+        start, count, context, doc = runs.start[own], runs.count[own], runs.context[own], ids[runs.doc[own]]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
         pack = zstandard.ZstdCompressor(level=1)
         out = []
-        for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            if e > s:
-                first = np.flatnonzero(np.r_[True, context[s + 1 : e] != context[s : e - 1]])
-                which = np.repeat(np.arange(len(first)), np.diff(np.r_[first, e - s]))
-                text = buf[_ranges(start[s:e][first], count[s:e][first] + LENGTH - 1)]
-                out.append((i, path, pack.compress(pickle.dumps((count[s:e][first].astype(np.uint8), text, which.astype(np.uint32), doc[s:e], start[s:e]), 5))))
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True) if len(cut) else ():
+            first = np.flatnonzero(np.r_[True, context[s + 1 : e] != context[s : e - 1]])
+            which = np.repeat(np.arange(len(first)), np.diff(np.r_[first, e - s]))
+            text = buf[_ranges(start[s:e][first], count[s:e][first] + LENGTH - 1)]
+            out.append((int(bucket[s]), int(pdf["batch"].iat[0]), pack.compress(pickle.dumps((count[s:e][first].astype(np.uint8), text, which.astype(np.uint32), doc[s:e], start[s:e]), 5))))
         return pd.DataFrame(out, columns=["bucket", "batch", "blob"])
 
     return run
 
 
+_HOT_ROW = "name long, low long, batch long, places binary"
+
+
+def _hot_windows(folder: str, buckets: int):
+    """A row for each distinct window of a batch's hot anchors: its hash, least id, and where it is, with ids."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        buf, ids, runs, hot = _flagged(pdf, folder, buckets, "hot")
+        own = np.flatnonzero(hot)
+        at = _ranges(runs.start[own], runs.count[own])
+        doc = ids[np.repeat(runs.doc[own], runs.count[own])]
+        order, fresh = deep_shallow_sort(buf, at)
+        at, doc = at[order], doc[order]
+        first = np.flatnonzero(fresh)
+        last = np.r_[first[1:], len(at)]
+        low = np.minimum.reduceat(doc, first) if len(first) else doc
+        places = [pickle.dumps((at[s:e].astype(np.uint32), doc[s:e]), 5) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+        return pd.DataFrame({"name": _window_hash(buf, at[first]).view(np.int64), "low": low, "batch": np.full(len(first), int(pdf["batch"].iat[0])), "places": places})
+
+    return run
+
+
+def _hot_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows (least, batch, places) whose ids are greater than the least of all, as spans of their batches."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        rows = []
+        for least, batch, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at, doc = pickle.loads(places)
+            gone = at[doc > least]
+            if len(gone):
+                rows.append((batch, pack.compress(pickle.dumps((gone, np.full(len(gone), LENGTH, np.uint8)), 5))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["batch", "spans"])
+
+
 class BlindTrie:
     """A Patricia trie over strings of one length: nodes keep branching bytes only, and a string is compared with one leaf."""
 
@@ -294,6 +343,60 @@ class BlindTrie:
                 stack += [node[1][b] for b in sorted(node[1], reverse=True)]
 
 
+def multikey_quicksort(words: np.ndarray, at: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``at`` by ``shallow`` bytes, and where one differs from the one before in them.
+
+    Symbols are of eight bytes. Each group is split by a pivot symbol into less, equal and greater; only the equal part goes
+    on to the next symbol. All groups are partitioned at once, as arrays. Groups of SMALL suffixes and fewer are left to one
+    sort of all their symbols, as an insertion sort would be used.
+    """
+    n = len(at)
+    order, fresh = np.arange(n), np.zeros(n, bool)
+    fresh[:1] = True
+    begin, size, depth = np.array([0]), np.array([n]), np.array([0])
+    small: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(begin):
+        few = size <= SMALL
+        small.append((begin[few & (size > 1)], size[few & (size > 1)]))
+        begin, size, depth = begin[~few], size[~few], depth[~few]
+        if not len(begin):
+            break
+        slots = _ranges(begin, size)
+        group = np.repeat(np.arange(len(begin)), size)
+        symbol = words[at[order[slots]] + depth[group]].astype(K.U)
+        head = np.cumsum(size) - size
+        pivot = np.sort(np.stack([symbol[head], symbol[head + size // 2], symbol[head + size - 1]]), axis=0)[1]
+        side = 1 + (symbol > pivot[group]).astype(np.int8) - (symbol < pivot[group])
+        parts = np.zeros((3, len(begin)), np.int64)
+        place = np.empty(len(slots), np.int64)
+        base = begin.copy()
+        for k in range(3):
+            mine = side == k
+            seen = np.cumsum(mine)
+            parts[k] = np.add.reduceat(mine, head)
+            before = np.r_[0, seen][head]
+            place[mine] = (base[group] + seen - 1 - before[group])[mine]
+            base = base + parts[k]
+        moved = order[slots]
+        order[place] = moved
+        starts = np.stack([begin, begin + parts[0], begin + parts[0] + parts[1]])
+        deeper = np.stack([depth, depth + 8, depth])
+        some = parts > 0
+        fresh[starts[some]] = True
+        on = (parts > 1) & (deeper < shallow)
+        begin, size, depth = starts[on], parts[on], deeper[on]
+    begin, size = (np.concatenate(x) for x in zip(*small, strict=True)) if small else (np.zeros(0, np.int64),) * 2
+    slots, group = _ranges(begin, size), np.repeat(np.arange(len(begin)), size)
+    symbols = [words[at[order[slots]] + d].astype(K.U) for d in range(0, shallow, 8)]
+    by = np.lexsort((*symbols[::-1], group))
+    order[slots] = order[slots][by]
+    differs = np.zeros(max(0, len(slots) - 1), bool)
+    for w in symbols:
+        differs |= w[by][1:] != w[by][:-1]
+    fresh[slots[1:]] |= differs & (group[1:] == group[:-1])
+    return order, fresh
+
+
 def deep_shallow_sort(text: np.ndarray, at: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``at`` by their first ``length`` bytes, and where a suffix differs from the one before."""
     n = len(at)
@@ -301,9 +404,7 @@ def deep_shallow_sort(text: np.ndarray, at: np.ndarray, length: int = LENGTH, sh
         return np.zeros(0, np.int64), np.zeros(0, bool)
     padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
     words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
-    order = np.argsort(first := words[at].astype(K.U), kind="stable")
-    w = first[order]
-    fresh = np.r_[True, w[1:] != w[:-1]]
+    order, fresh = multikey_quicksort(words, at, shallow)
 
     def groups() -> tuple[np.ndarray, np.ndarray]:
         """Slots in groups of two or more, and the group of each."""
@@ -312,14 +413,6 @@ def deep_shallow_sort(text: np.ndarray, at: np.ndarray, length: int = LENGTH, sh
         large = np.repeat(size > 1, size)
         return np.flatnonzero(large), np.repeat(starts, size)[large]
 
-    for depth in range(8, shallow, 8):  # multikey quicksort with symbols of eight bytes: only equal groups go on
-        slots, group = groups()
-        if not len(slots):
-            return order, fresh
-        w = words[at[order[slots]] + depth].astype(K.U)
-        by = np.lexsort((w, group))
-        order[slots], w = order[slots][by], w[by]
-        fresh[slots[1:]] |= (w[1:] != w[:-1]) & (group[1:] == group[:-1])
     slots, group = groups()
     if len(slots):  # deep: groups that agree throughout are in order; the others go through a blind trie
         here, head = at[order[slots]], at[order[group]]
@@ -386,8 +479,8 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     by = np.argsort(home, kind="stable")
     edges = np.searchsorted(home[by], np.arange(len(got) + 1))
     pack = zstandard.ZstdCompressor(level=1)
-    paths = pdf["batch"].tolist()
-    out = [(paths[i], pack.compress(pickle.dumps((begin[by[s:e]].astype(np.uint32), (end - begin)[by[s:e]].astype(np.uint8)), 5))) for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if e > s]
+    numbers = pdf["batch"].tolist()
+    out = [(numbers[i], pack.compress(pickle.dumps((begin[by[s:e]].astype(np.uint32), (end - begin)[by[s:e]].astype(np.uint8)), 5))) for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if e > s]
     return pd.DataFrame(out, columns=["batch", "spans"])
 
 
@@ -395,26 +488,31 @@ STATS = (("n_bytes", pa.int64(), T.LongType()), ("n_removed", pa.int64(), T.Long
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text cut, then n_bytes, n_removed, n_spans and kept_sha256 (names with __ before).
+    """record (all columns of ``docs``, the text cut), n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     A cut within a character drops what is left of it from the text; the digest is of the remaining bytes as they are.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    manifest = spool(docs, text_col)
+    manifest, folder = spool(docs, id_col, text_col)
     n, total = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
     parts = max(1, min(n, MAX_TASKS))  # given outright: the manifest is small, but each of its rows is a batch of work
-    buckets = min(1 << 16, max(64, (total or 0) // BUCKET_BYTES))
-    shared = anchor_blobs(manifest, buckets, parts, id_col, text_col).groupBy("bucket").applyInPandas(K.lean_group(_shared_anchors), "batch string, bucket int, shared binary, hot binary")
-    contexts = shared.repartition(parts, "batch").groupBy("batch").applyInPandas(K.lean_group(_contexts(buckets, id_col, text_col)), "bucket int, batch string, blob binary")
-    spans = contexts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(K.lean_group(_settle), "batch string, spans binary")
-    work = spans.unionByName(manifest.select("batch", F.lit(None).cast("binary").alias("spans"))).repartition(parts, "batch")
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__{n}", k) for n, _, k in STATS]])
-    is_text, names = text_col, schema.names
+    buckets = max(64, (total or 0) // BUCKET_BYTES)
+    tasks = min(buckets, MAX_TASKS)
+    blobs = anchor_blobs(manifest, folder, buckets, parts).repartition(tasks, "bucket")
+    shared = materialise(blobs.groupBy("bucket").applyInPandas(K.lean_group(_shared_anchors), "batch long, bucket long, shared binary, hot binary, any_hot boolean"), "suffix-anchors")
+    contexts = shared.select("batch", "bucket", "shared").repartition(parts, "batch").groupBy("batch").applyInPandas(K.lean_group(_contexts(folder, buckets)), "bucket long, batch long, blob binary")
+    spans = contexts.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(K.lean_group(_settle), "batch long, spans binary")
+    hot = shared.where("any_hot").select("batch", "bucket", "hot").repartition(parts, "batch").groupBy("batch").applyInPandas(K.lean_group(_hot_windows(folder, buckets)), _HOT_ROW)
+    hot = materialise(hot, "suffix-hot")
+    least = hot.groupBy("name").agg(F.min("low").alias("least"))
+    everywhere = hot.join(least, "name").select("least", "batch", "places").mapInArrow(K.lean(_hot_spans), "batch long, spans binary")
+    work = spans.unionByName(everywhere).unionByName(manifest.select("batch", F.lit(None).cast("binary").alias("spans"))).repartition(parts, "batch")
+    schema = T.StructType([T.StructField("record", docs.schema), *[T.StructField(name, k) for name, _, k in STATS]])
+    names, fields = docs.columns, [(f.name, f.nullable) for f in docs.schema.fields]
 
     def cut(table: pa.Table) -> pa.Table:
-        path = table.column("batch")[0].as_py()
-        rows, buf, offs, _ = read_batch(path, id_col, is_text)
+        rows, buf, offs, _ = read_batch(folder, table.column("batch")[0].as_py())
         change = np.zeros(len(buf) + 1, np.int32)
         unpack = zstandard.ZstdDecompressor()
         for x in table.column("spans").to_pylist():
@@ -426,16 +524,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         total = np.r_[0, np.cumsum(gone)]
         _, _, span_row = K.runs(gone, offs)
         kept = [buf[a:b][~gone[a:b]].tobytes() if total[b] > total[a] else buf[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        was = rows.column(is_text).is_null().to_pylist()
-        text = pa.array([None if null else k.decode(errors="ignore") for k, null in zip(kept, was, strict=True)], pa.string())
+        record = rows.column("record").combine_chunks()
+        record = record.combine_chunks() if isinstance(record, pa.ChunkedArray) else record
+        *others, null = record.flatten()
+        text = pa.array([None if none else k.decode(errors="ignore") for k, none in zip(kept, null.to_pylist(), strict=True)], pa.string())
+        rest = iter(others)
+        values = [text if c == text_col else next(rest) for c in names]
+        whole = pa.StructArray.from_arrays(values, fields=[pa.field(c, v.type, can_be_null) for (c, can_be_null), v in zip(fields, values, strict=True)])
         stats = [np.diff(offs), total[offs[1:]] - total[offs[:-1]], K.counts(span_row, len(kept)), [hashlib.sha256(k).hexdigest() for k in kept]]
-        columns = [text if n == is_text else rows.column(n) for n in rows.column_names] + [pa.array(s, k) for s, (_, k, _) in zip(stats, STATS, strict=True)]
-        return pa.Table.from_arrays(columns, names=names)
+        return pa.Table.from_arrays([whole, *[pa.array(x, k) for x, (_, k, _) in zip(stats, STATS, strict=True)]], names=["record", *[name for name, _, _ in STATS]])
 
     return work.groupBy("batch").applyInArrow(K.lean_group(cut), schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    narrow = docs.select(id_col, text_col)
-    return dedup(narrow, id_col, text_col).select(id_col, *[F.col(f"__{n}").alias(n) for n, _, _ in STATS])
+    return dedup(docs.select(id_col, text_col), id_col, text_col).select(F.col("record").getField(id_col).alias(id_col), *[name for name, _, _ in STATS])
