@@ -50,11 +50,11 @@ from placeframe.session import fresh_path, materialise, ship_package
 LENGTH, GRAM, SHALLOW = 50, 20, 24
 BATCH_BYTES, BUCKET_BYTES, SLAB = 4 << 20, 8 << 20, 1 << 20
 #: An anchor that this many batches hold is hot.
-HOT_BATCHES = 64
+HOT_BATCHES = 1024
 #: Tasks of a step that works batch by batch or bucket by bucket.
 MAX_TASKS = 20_000
-#: Groups of up to this many suffixes are not partitioned further but sorted at once.
-SMALL = 48
+#: Pivots of a partition, and suffixes of a group that is not partitioned further but sorted.
+PIVOTS, SMALL = 1024, 1024
 _LAST = np.iinfo(np.int64).max
 
 
@@ -346,54 +346,48 @@ class BlindTrie:
 def multikey_quicksort(words: np.ndarray, at: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``at`` by ``shallow`` bytes, and where one differs from the one before in them.
 
-    Symbols are of eight bytes. Each group is split by a pivot symbol into less, equal and greater; only the equal part goes
-    on to the next symbol. All groups are partitioned at once, as arrays. Groups of SMALL suffixes and fewer are left to one
-    sort of all their symbols, as an insertion sort would be used.
+    Symbols are of eight bytes. A group is split by up to PIVOTS pivot symbols into the parts below, at and between them; the
+    parts at a pivot go on to the next symbol, the others stay at this one. Groups of SMALL suffixes and fewer are finished
+    together by plain sorts, symbol by symbol, as an insertion sort would be used.
     """
     n = len(at)
     order, fresh = np.arange(n), np.zeros(n, bool)
     fresh[:1] = True
-    begin, size, depth = np.array([0]), np.array([n]), np.array([0])
-    small: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(begin):
-        few = size <= SMALL
-        small.append((begin[few & (size > 1)], size[few & (size > 1)]))
-        begin, size, depth = begin[~few], size[~few], depth[~few]
-        if not len(begin):
-            break
-        slots = _ranges(begin, size)
-        group = np.repeat(np.arange(len(begin)), size)
-        symbol = words[at[order[slots]] + depth[group]].astype(K.U)
-        head = np.cumsum(size) - size
-        pivot = np.sort(np.stack([symbol[head], symbol[head + size // 2], symbol[head + size - 1]]), axis=0)[1]
-        side = 1 + (symbol > pivot[group]).astype(np.int8) - (symbol < pivot[group])
-        parts = np.zeros((3, len(begin)), np.int64)
-        place = np.empty(len(slots), np.int64)
-        base = begin.copy()
-        for k in range(3):
-            mine = side == k
-            seen = np.cumsum(mine)
-            parts[k] = np.add.reduceat(mine, head)
-            before = np.r_[0, seen][head]
-            place[mine] = (base[group] + seen - 1 - before[group])[mine]
-            base = base + parts[k]
-        moved = order[slots]
-        order[place] = moved
-        starts = np.stack([begin, begin + parts[0], begin + parts[0] + parts[1]])
-        deeper = np.stack([depth, depth + 8, depth])
-        some = parts > 0
-        fresh[starts[some]] = True
-        on = (parts > 1) & (deeper < shallow)
-        begin, size, depth = starts[on], parts[on], deeper[on]
-    begin, size = (np.concatenate(x) for x in zip(*small, strict=True)) if small else (np.zeros(0, np.int64),) * 2
-    slots, group = _ranges(begin, size), np.repeat(np.arange(len(begin)), size)
-    symbols = [words[at[order[slots]] + d].astype(K.U) for d in range(0, shallow, 8)]
-    by = np.lexsort((*symbols[::-1], group))
-    order[slots] = order[slots][by]
-    differs = np.zeros(max(0, len(slots) - 1), bool)
-    for w in symbols:
-        differs |= w[by][1:] != w[by][:-1]
-    fresh[slots[1:]] |= differs & (group[1:] == group[:-1])
+    open_, small = [(0, n, 0)], []
+    while open_:
+        begin, size, depth = open_.pop()
+        if size <= SMALL:
+            small.append((np.array([begin]), np.array([size]), np.array([depth])))
+            continue
+        part = order[begin : begin + size]
+        symbol = words[at[part] + depth].astype(K.U)
+        pivots = np.unique(symbol[:: max(1, size // PIVOTS)][:PIVOTS])
+        side = np.searchsorted(pivots, symbol)
+        side = (2 * side + (pivots[np.minimum(side, len(pivots) - 1)] == symbol)).astype(np.uint16)
+        order[begin : begin + size] = part[np.argsort(side, kind="stable")]
+        count = np.bincount(side, minlength=2 * len(pivots) + 1)
+        start = begin + np.cumsum(count) - count
+        fresh[start[count > 0]] = True
+        deeper = depth + 8 * (np.arange(len(count)) & 1)
+        on = (count > 1) & (deeper < shallow)
+        few = on & (count <= SMALL)
+        small.append((start[few], count[few], deeper[few]))
+        open_ += zip(*(x[on & ~few].tolist() for x in (start, count, deeper)), strict=True)
+    begin, size, depth = (np.concatenate(x) for x in zip(*small, strict=True)) if small else [np.zeros(0, np.int64)] * 3
+    tied = np.zeros(n, bool)  # slots whose group agrees in all symbols before this one
+    for d in range(0, shallow, 8):
+        now = depth == d
+        tied[_ranges(begin[now], size[now])] = True
+        slots = np.flatnonzero(tied)
+        if not len(slots):
+            continue
+        group = np.cumsum(fresh[slots])
+        w = words[at[order[slots]] + d].astype(K.U)
+        by = np.lexsort((w, group))
+        order[slots], w = order[slots][by], w[by]
+        same = (w[1:] == w[:-1]) & (group[1:] == group[:-1])
+        fresh[slots[1:]] |= ~same
+        tied[slots] = np.r_[False, same] | np.r_[same, False]
     return order, fresh
 
 
