@@ -115,7 +115,7 @@ def test_deep_shallow_sort(seed):
     rng = random.Random(seed)
     text = b"".join(rng.choice((b"ab", b"abababab", b"cde" * 20, b"x")) for _ in range(400)) + b"q" * 60
     at = np.array(rng.sample(range(len(text) - 50), 300) + [5, 5, 5])
-    suffix_dedup.SMALL, was = (seed, 4, 48)[min(seed, 2)], suffix_dedup.SMALL
+    suffix_dedup.SMALL, was = (0, 4, 48)[min(seed, 2)], suffix_dedup.SMALL
     try:
         order, fresh = suffix_dedup.deep_shallow_sort(np.frombuffer(text, np.uint8), at)
     finally:
@@ -176,6 +176,17 @@ def test_one_row_of_each_component_stays(spark):
     assert ngram_join.keep_one(df.limit(0)).count() == 0
 
 
+def test_large_groups_are_divided(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SPLIT", 1)
+    assert sorted(tuple(r) for r in ngram_join.link(docs).collect()) == X.jaccard_components(pairs())
+    rng = random.Random(6)
+    common = X.words(rng, 30)
+    rows = [(i, f"{common} {X.words(rng, rng.choice((3, 8, 20, 60)))}" if i % 3 else X.words(rng, rng.randint(1, 9))) for i in range(120)]
+    rows += [(200 + i, t + " more") for i, t in rows[:40]]
+    got = sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == X.jaccard_components(rows)
+
+
 def test_linked_sets_share_a_key():
     rng = random.Random(9)
     for _ in range(300):
@@ -186,8 +197,11 @@ def test_linked_sets_share_a_key():
             continue
         h = np.concatenate([np.sort(np.array(a, np.uint64)), np.sort(np.array(b, np.uint64))])
         rows = np.r_[np.zeros(len(a), int), np.ones(len(b), int)]
-        key, owner = ngram_join.part_keys(h, rows, np.array([len(a), len(b)]))
+        key, owner, void = ngram_join.part_keys(h, rows, np.array([len(a), len(b)]))
         assert {*key[owner == 0].tolist()} & {*key[owner == 1].tolist()}
+        key, owner, void = ngram_join.part_keys(h, rows, np.array([len(a), len(b)]), 1)
+        both = {*key[owner == 0].tolist()} & {*key[owner == 1].tolist()}
+        assert len(both) >= 2 or both & {*key[void].tolist()}
 
 
 def test_pack_round_trip():
@@ -409,6 +423,92 @@ def test_language_id(spark, nothing):
     assert {r.lang_pred for r in langid.predict(df.where("doc_id < 30"), one).collect()} == {"aa"}
 
 
+def odd_texts():
+    """What every classifier must score: no text, nothing in it, letters of all kinds, a very long text, copies."""
+    return [(9001, None), (9002, ""), (9003, "   "), (9004, "É " * 40), (9005, "x" * 5000), (9006, X.words(random.Random(31), 60_000)), (9007, "a"), (9007, "a"), (None, "no id at all")]
+
+
+def test_toxicity_scores_against_a_plain_version(spark):
+    import zstandard
+
+    mark = lambda rng, y: " ".join(w + (" Stupidhead" if y and k % 12 == 5 else "") for k, w in enumerate(X.words(rng, 80).split(" ")))
+    docs, labels = labelled(spark, mark, "toxic")
+    docs = docs.unionByName(spark.createDataFrame(odd_texts(), docs.schema))
+    m = toxicity.fit(docs, labels)
+    plain = {}
+    params = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=0, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    both = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (m.ordinary, m.special)]
+    for r in docs.collect():
+        t = (r.text or "").encode().lower()
+        windows, i = [], 0
+        while len(t) - i > m.window:
+            j = t.find(b" ", i + m.window, i + 2 * m.window)
+            j = j if j > 0 else i + m.window
+            windows.append(t[i:j])
+            i = j
+        d = [len(both[0].compress(w)) - len(both[1].compress(w)) for w in (*windows, t[i:])]
+        top = (sorted(d, reverse=True) + [0] * toxicity.TOP)[: toxicity.TOP]
+        over = [x for c in m.thresholds for x in (np.log1p(sum(v >= c for v in d)), sum(v >= c for v in d) / len(d))]
+        x = [np.log(len(d)), sum(d) / len(d), *top, *over]
+        z = sum(w * (v - c) / k for w, v, c, k in zip(m.weights, x, m.centre, m.scale, strict=False)) + m.weights[-1]
+        plain[r.text] = 1 / (1 + np.exp(-min(30, max(-30, z))))
+    for r in toxicity.score(docs, labels).join(docs.select(F.col("doc_id").alias("i"), "text"), F.col("doc_id").eqNullSafe(F.col("i"))).collect():
+        assert abs(r.score - plain[r.text]) < 1e-9 and r.held_out == (r.doc_id is None or X.fold(r.doc_id) == 0)
+
+
+def test_quality_scores_against_a_plain_version(spark):
+    import zstandard
+
+    mark = lambda rng, y: X.words(rng, 80) if y else " ".join(w + rng.choice(("###", "$$$", "***")) for w in X.words(rng, 80).split(" "))
+    docs, labels = labelled(spark, mark, "quality")
+    docs = docs.unionByName(spark.createDataFrame(odd_texts(), docs.schema))
+    m = quality.fit(docs, labels)
+    both = [zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (m.ordinary, m.special)]
+    xs, ys = m.knots
+    assert xs == sorted(xs) and ys == sorted(ys) and 0 < ys[0] < ys[-1] < 1
+
+    def plain(text):
+        t = (text or "").encode()
+        saved = sum(len(both[0].compress(w)) - len(both[1].compress(w)) for w in quality.D.pieces(t, m.window)) / max(1, len(t))
+        if saved <= xs[0] or saved >= xs[-1]:
+            return ys[0] if saved <= xs[0] else ys[-1]
+        k = next(i for i in range(len(xs)) if xs[i + 1] >= saved)
+        return ys[k] + (ys[k + 1] - ys[k]) * (saved - xs[k]) / (xs[k + 1] - xs[k])
+
+    for r in quality.score(docs, labels).join(docs.select(F.col("doc_id").alias("i"), "text"), F.col("doc_id").eqNullSafe(F.col("i"))).collect():
+        assert abs(r.score - plain(r.text)) < 1e-9
+
+
+def test_language_scores_against_a_plain_version(spark):
+    rng = random.Random(18)
+    syllables = {"aa": ("ka", "ro", "mi", "ta"), "bb": ("sch", "ung", "ver", "lich"), "cc": ("eau", "oux", "ée", "que")}
+    rows = [(i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(20)), lang) for i, lang in enumerate(list(syllables) * 60)] + [(i, t, None) for i, t in odd_texts()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(df)
+    low = lambda b: b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32
+
+    def plain(text):
+        b = [low(x) for x in (text or "").encode()]
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        hashes = [((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 2654435761 % 2**32) >> (32 - langid.BITS) for i in range(len(b) - 2)]
+        hashes += [(((b[i] | b[i + 1] << 8 | b[i + 2] << 16 | b[i + 3] << 24) * 2246822519 % 2**32) >> (32 - langid.BITS)) + 2**langid.BITS for i in range(len(b) - 3)]
+        total = m.logits[hashes, :-1].astype(float).sum(0) if hashes else np.zeros(len(m.langs))
+        z = (total / max(1, len(hashes)) + m.bias) / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return m.langs[int(p.argmax())], float(p.max())
+
+    for r in langid.predict(df, m).join(df.select(F.col("doc_id").alias("i"), "text"), F.col("doc_id").eqNullSafe(F.col("i"))).collect():
+        lang, score = plain(r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6
+
+
+def test_dirty_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(i, f"ka ro mi ta {'lo' * (i % 5)}", "aa") for i in range(60)] + [(100 + i, f"schung verlich {'ob' * (i % 5)}", "bb") for i in range(50)] + [(200 + i, "eau oux", f"dirt{i}") for i in range(40)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["aa", "bb"]
+
+
 def test_long_texts_equal_short_chunks():
     text = ("the tion ing " * 5000).encode()
     buf = np.frombuffer(text, np.uint8)
