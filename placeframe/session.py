@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_SCOPES: list[list[str]] = []
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -52,7 +55,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Everything that gets a path within is deleted at the end, but for the paths that are put in the list that it gives."""
+    made: list[str] = []
+    keep: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            if path not in keep and "/package-" not in path:
+                delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -69,9 +95,7 @@ def discard(*frames: DataFrame | None) -> None:
     """Delete what :func:`materialise` wrote for these frames; no plan that is still to run may read them."""
     for df in frames:
         if path := getattr(df, "_scratch", None):
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
             df._scratch = None
 
 
