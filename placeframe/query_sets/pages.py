@@ -243,3 +243,34 @@ def fetching(spark, sf_dir):
     ranked = remote.rank_candidates([{"title": "other"}, {"title": "zones"}, {"title": "SIMD 2020 zones"}], "zones", "simd")
     rows.append(("ranked", ",".join(r["title"] for r in ranked)))
     return spark.createDataFrame(rows, "step string, result string")
+
+
+class _Layer(remote._LayerReader):
+    """A paged layer of 25 features, every second of kind a, every fifth without a geometry; it speaks ring JSON only."""
+
+    @staticmethod
+    def get(url: str) -> str:
+        from urllib.parse import parse_qs, urlsplit
+
+        q = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
+        if q["f"] == "geojson":
+            return json.dumps({"error": "format"})
+        if "-3.66,55.8," not in q.get("geometry", ""):
+            return json.dumps({"features": []})
+        rows = [{"attributes": {"i": i, "kind": "ab"[i % 2]}, "geometry": None if i % 5 == 4 else {"x": i}} for i in range(25)]
+        rows = [r for r in rows if "kind = 'a'" not in q["where"] or r["attributes"]["kind"] == "a"]
+        at, n = int(q["resultOffset"]), int(q["resultRecordCount"])
+        return json.dumps({"features": rows[at : at + n], "exceededTransferLimit": at + n < len(rows)})
+
+
+@query("SELECT mode, i::INT AS i FROM range(25) r(i), (VALUES ('pages'), ('one after another'), ('kind a')) v(mode) WHERE i % 5 <> 4 AND (mode <> 'kind a' OR i % 2 = 0)")
+def paged_layer(spark, sf_dir):
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    options = {"url": "https://x.example/layer", "page": "10"}
+    pages, single, narrow = _Layer(options | {"total": "25"}), _Layer(options), _Layer(options)
+    left = list(narrow.pushFilters([EqualTo(("kind",), "a"), GreaterThan(("i",), 3)]))
+    if len(pages.partitions()) != 3 or len(single.partitions()) != 1 or len(left) != 1:
+        raise ValueError("a partition for each page; equalities are sent to the server")
+    rows = [(mode, json.loads(properties)["i"]) for mode, reader in (("pages", pages), ("one after another", single), ("kind a", narrow)) for p in reader.partitions() for properties, _ in reader.read(p)]
+    return spark.createDataFrame(rows, "mode string, i int")
