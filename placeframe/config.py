@@ -19,6 +19,7 @@ DATA_ZONES = 6976
 EARTH_RADIUS_M = 6_371_000.0
 
 
+# Fixed values, like those above: the defaults of travel and of what is kept (least bedrooms, ages, caps, parser version).
 @dataclass(frozen=True)
 class Travel:
     arrive_by: tuple[str, ...] = ("08:30", "08:40", "08:50", "09:00", "09:10")

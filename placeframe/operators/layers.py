@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from placeframe.config import DATA_ZONES, MAIN_ROUTES
 from placeframe.functions.numeric import decile
 from placeframe.functions.text import primary_name, relation_lines, route_label, route_order, school_key, tidy_school
+from placeframe.session import ship_package
 
 # Fixed values, which must be these for the right columns to be found: how publishers name the columns of deprivation zones
 # and certificates, by priority.
@@ -155,6 +156,7 @@ def simplify(line: Line, tolerance: float) -> Line:
 
 def merged_routes(elements: DataFrame, tolerance: float, key: Column) -> DataFrame:
     """(ref, name, colour, lines) of the relations with one key: lines merged, simplified and rounded to five places."""
+    ship_package(elements.sparkSession)
     lines = elements.select(key.alias("ref"), F.coalesce(F.col("tags")["name"], F.lit("")).alias("name"), F.col("tags")["colour"].alias("colour"), "ord", relation_lines("members").alias("lines"))
     per = lines.groupBy("ref").agg(F.min_by("name", "ord").alias("name"), F.min_by("colour", "ord").alias("colour"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lines"))), lambda x: x["lines"])).alias("lines"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placeframe.functions import html as H
 from placeframe.registry import answers, cases, literal, query, table
+from placeframe.session import ship_package
 from placeframe.sources import remote
 
 DAY = F.lit("2026-09-01").cast("date")
@@ -117,6 +118,7 @@ def listing_cards(spark, sf_dir):
 
 @query("SELECT p_partkey AS k, 'https://x.example/search?page=' || (p_partkey + 1) AS following FROM part")
 def next_pages(spark, sf_dir):
+    ship_package(spark)
     following = F.pandas_udf(lambda html, url: html.combine(url, H.next_page), "string")
     return _search_pages(spark, sf_dir).select("k", following("html", "url").alias("following"))
 
