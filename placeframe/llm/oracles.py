@@ -30,3 +30,24 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b USING
 l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.c)
 SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) USING (doc_id)"""
+
+
+#: Exact quantiles; the sketches hold every value of up to ``quality_rules.SKETCH_K`` rows, so on such tables both agree.
+QUALITY_RULES = """
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w)),
+e AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM g JOIN e USING (doc_id, g), range(5) r(k) GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+m AS (SELECT doc_id, lang, source, 1 AS r, n_symbols AS a, word_chars AS b, 1.0::DOUBLE AS grain FROM b UNION ALL SELECT doc_id, lang, source, 2, n_dup_lines, n_lines, 1.0 FROM b UNION ALL SELECT doc_id, lang, source, 3, n_repeat_words, n_words, 10.0 FROM b UNION ALL SELECT doc_id, lang, source, 4, word_chars, n_words, NULL FROM b),
+v AS (SELECT *, a::DOUBLE / greatest(b, 1) AS v FROM m),
+s1 AS (SELECT lang, source, r, count(*) AS n, quantile_disc(v, [0.25, 0.4, 0.5, 0.6, 0.75]) AS q, quantile_disc(b, 0.5)::DOUBLE AS long FROM v GROUP BY ALL),
+s2 AS (SELECT lang, r, count(*) AS n, quantile_disc(v, [0.25, 0.4, 0.5, 0.6, 0.75]) AS q, quantile_disc(b, 0.5)::DOUBLE AS long FROM v GROUP BY ALL),
+s3 AS (SELECT r, quantile_disc(v, [0.25, 0.4, 0.5, 0.6, 0.75]) AS q, quantile_disc(b, 0.5)::DOUBLE AS long FROM v GROUP BY ALL),
+f AS (SELECT s1.lang, s1.source, s1.r, CASE WHEN s1.n >= 200 THEN s1.q WHEN s2.n >= 200 THEN s2.q ELSE s3.q END AS q, CASE WHEN s1.n >= 200 THEN s1.long WHEN s2.n >= 200 THEN s2.long ELSE s3.long END AS long FROM s1 JOIN s2 ON s1.lang IS NOT DISTINCT FROM s2.lang AND s1.r = s2.r JOIN s3 ON s1.r = s3.r),
+k AS (SELECT v.*, q[3] AS mid, least(q[5] - q[3], (q[4] - q[3]) * 2.662::DOUBLE) AS up, least(q[3] - q[1], (q[3] - q[2]) * 2.662::DOUBLE) AS down, long FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.r = f.r),
+x AS (SELECT doc_id, r, CASE WHEN grain IS NULL THEN v > mid + 8 * (up * greatest(1.0, sqrt(long / greatest(b, 1)))) OR v < mid - 8 * (down * greatest(1.0, sqrt(long / greatest(b, 1)))) ELSE v > mid + 8 * greatest(up, grain / greatest(least(long, b::DOUBLE), 1.0)) END AS broken FROM k),
+y AS (SELECT doc_id, min(r) AS r FROM x WHERE broken GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND y.r IS NULL AS kept,
+CASE WHEN n_words < 10 OR 100 * n_repeat_words > 20 * n_words THEN 'base' WHEN y.r = 1 THEN 'symbol_ratio' WHEN y.r = 2 THEN 'dup_line_ratio' WHEN y.r = 3 THEN 'repeat_ratio' WHEN y.r = 4 THEN 'word_length' END AS rule FROM b LEFT JOIN y ON y.doc_id = b.doc_id"""

@@ -43,7 +43,8 @@ RATIOS = {
 LENGTHS = ("word_chars", "n_lines", "n_words")
 #: Spreads from the median to a fence; the quartiles' distance over that of the quantiles 0.4 and 0.6 in a normal distribution.
 SPREAD, NEARER, MIN_GROUP = 8.0, 2.662, 200
-SKETCH_K = 400
+#: A sketch holds all values of up to so many rows, and is off by some quarter of a hundredth of the ranks beyond.
+SKETCH_K = 1024
 #: Fences are broadcast up to this many groups (some 100 bytes each), and joined by a shuffle beyond it.
 MAX_BROADCAST_GROUPS = 20_000
 

@@ -83,4 +83,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from placeframe.llm import oracles
 
-    return {"op2_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_warc": oracles.WARC, "op5_ngram_join": oracles.NGRAM_JOIN}
+    return {"op2_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_warc": oracles.WARC, "op5_ngram_join": oracles.NGRAM_JOIN, "op7_quality_rules": oracles.QUALITY_RULES}
