@@ -166,30 +166,24 @@ def test_groups_are_tested_in_blocks(docs, monkeypatch):
 
 def test_one_row_of_each_component_stays(spark):
     a, b, c, d = (X.words(random.Random(i), 40) for i in range(4))
-    rows = [(1, a, 0.1), (2, a, 0.2), (2, b, 0.3), (7, c, 0.4), (9, d, 0.5), (9, d, 0.5), (None, a, 0.6), (None, None, 0.7), (None, None, 0.7), (3, "", 0.8), (None, "only here without an id today", 0.9), (7, f"{c} more", 1.0)]
+    rows = [(1, a, 0.1), (2, a, 0.2), (2, b, 0.3), (7, c, 0.4), (9, d, 0.5), (9, d, 0.5), (None, a, 0.6), (None, None, 0.7), (None, None, 0.7), (3, "", 0.8), (None, "only here without an id today", 0.9), (7, f"{c} more", 1.0)] + [(5, X.words(random.Random(9), 30), 1.0)] * 200
     df = spark.createDataFrame(rows, "doc_id long, text string, __drop double").repartition(3)
     got = sorted(map(tuple, ngram_join.keep_one(df).collect()), key=str)
-    assert got[:0] == [] and [r for r in got if r[0] != 7] == sorted([(1, a, 0.1), (2, b, 0.3), (9, d, 0.5), (None, None, 0.7), (None, None, 0.7), (3, "", 0.8), (None, "only here without an id today", 0.9)], key=str)
+    assert got[:0] == [] and [r for r in got if r[0] != 7] == sorted([(1, a, 0.1), (2, b, 0.3), (5, rows[-1][1], 1.0), (9, d, 0.5), (None, None, 0.7), (None, None, 0.7), (3, "", 0.8), (None, "only here without an id today", 0.9)], key=str)
     assert len([r for r in got if r[0] == 7]) == 1 and ngram_join.keep_one(df).columns == df.columns
-    hot = spark.createDataFrame([(5, a, 1.0)] * 300 + [(6, b, 1.0)], "doc_id long, text string, x double").repartition(4)
-    assert sorted(r.doc_id for r in ngram_join.keep_one(hot).collect()) == [5, 6]
     assert ngram_join.keep_one(df.limit(0)).count() == 0
 
 
 def test_large_groups_are_divided(spark, docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "SPLIT", 1)
-    assert sorted(tuple(r) for r in ngram_join.link(docs).collect()) == X.jaccard_components(pairs())
     monkeypatch.setattr(ngram_join, "COMMON", 2)
     assert sorted(tuple(r) for r in ngram_join.link(docs).collect()) == X.jaccard_components(pairs())
     rng = random.Random(6)
     common = X.words(rng, 30)
     rows = [(i, f"{common} {X.words(rng, rng.choice((3, 8, 20, 60)))}" if i % 3 else X.words(rng, rng.randint(1, 9))) for i in range(120)]
     rows += [(200 + i, t + " more") for i, t in rows[:40]]
-    for common in (2, 5, 10**9):
-        monkeypatch.setattr(ngram_join, "COMMON", common)
-        got = sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
-        assert got == X.jaccard_components(rows)
-    got = sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    monkeypatch.setattr(ngram_join, "COMMON", 8)
+    got = sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert got == X.jaccard_components(rows)
 
 
