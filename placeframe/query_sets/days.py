@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from placeframe.functions import numeric as N
 from placeframe.plans import refresh
 from placeframe.query_sets.layers import POLYS
-from placeframe.registry import literal, query, table
+from placeframe.registry import literal, query, table, today
 from placeframe.session import fresh_path, write_file
 from placeframe.sources import files, sinks
 
-DAY = F.lit("2026-09-01").cast("date")
 
 # ---------------------------------------------------------------- enrichment
 
@@ -54,18 +53,18 @@ round_even(metres * 1.3 / (4.8 / 3.6) / 60, 0)::INT AS walk_min, base AS median,
 @query(_ENRICH)
 def daily_enrichment(spark, sf_dir):
     p = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_size AS n").selectExpr(*[f"{e} AS {c}" for c, e in _COLUMNS.items()])
-    none = {"postcode": F.lit(""), "url": F.lit("u"), "first_seen": DAY, "price_history": F.array(F.struct(DAY.alias("date"), F.lit(1).alias("price"))), "extra": F.lit("dropped"), "auction": F.lit(None).cast("struct<house:string,date:date,basis:string>")}
+    none = {"postcode": F.lit(""), "url": F.lit("u"), "first_seen": today(), "price_history": F.array(F.struct(today().alias("date"), F.lit(1).alias("price"))), "extra": F.lit("dropped"), "auction": F.lit(None).cast("struct<house:string,date:date,basis:string>")}
     layer = _layer(spark)
     inputs = refresh.Inputs(zones=layer.select("feature_id", "dz", "decile", "polys"), secondary=layer.select("feature_id", "school", "sector", "top_rank", "polys"), primary=layer.select("feature_id", F.col("primary").alias("school"), "sector", "stages", "score", "top", "polys"))
-    out, _ = refresh.enrich(p.withColumns(none), inputs, DAY)
+    out, _ = refresh.enrich(p.withColumns(none), inputs, today())
     return out.select("id", "address", "price", "bedrooms", F.col("closing_date").cast("string").alias("closing_date"), "region", "simd.dz", "simd.decile", "catchment", "catchment_rc", "top_school_rank", "primary", "primary_rc", "travel.walk_min", "area.median", "area.basis", "area.vs_pct")
 
 
 @query(f"WITH {_LISTINGS} SELECT district, count(*) AS count, trunc(median(price))::INT AS median, trunc(avg(price))::INT AS mean FROM l WHERE lat IS NOT NULL AND price <> 0 AND source IS NULL AND kind IS NULL GROUP BY district")
 def daily_area_stats(spark, sf_dir):
     p = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_size AS n").selectExpr(*[f"{e} AS {c}" for c, e in _COLUMNS.items()])
-    p = p.withColumns({"postcode": F.lit(""), "url": F.lit("u"), "first_seen": DAY, "price_history": F.array(F.struct(DAY.alias("date"), F.lit(1).alias("price")))})
-    return refresh.enrich(p, refresh.Inputs(), DAY)[1].where("beds is null").select("district", "count", "median", "mean")
+    p = p.withColumns({"postcode": F.lit(""), "url": F.lit("u"), "first_seen": today(), "price_history": F.array(F.struct(today().alias("date"), F.lit(1).alias("price")))})
+    return refresh.enrich(p, refresh.Inputs(), today())[1].where("beds is null").select("district", "count", "median", "mean")
 
 
 @query(f"WITH {_LISTINGS} SELECT id FROM l WHERE lat IS NOT NULL AND price <> 0")

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from placeframe.config import BBOX, Rules
 from placeframe.operators import linkage, spatial, stats
 from placeframe.operators import state as S
-from placeframe.registry import answers, cases, literal, query, table
+from placeframe.registry import answers, cases, literal, query, table, today
 
-DAY = F.lit("2026-09-01").cast("date")
 _RULES = Rules(districts=("EH1", "EH28"))
 _POINTS = "SELECT c_custkey AS k, 55.60 + (c_custkey * 7919 % 6000)::DOUBLE / 10000.0 AS lat, -3.90 + (c_custkey * 104729 % 16000)::DOUBLE / 10000.0 AS lng FROM customer"
 
@@ -55,7 +54,7 @@ def _classified(spark, sf_dir, complete, unsure):
     district = F.when(F.col("k") % 4 == 0, "EH1").when(F.col("k") % 4 == 1, "EH28").when(F.col("k") % 4 == 2, "EH99")
     rows = p.withColumns({"district": district, "active": F.col("k") % 2 == 0, "title": F.lit("House"), "property_type": F.when(F.col("k") % 5 == 0, "plot of land for sale").otherwise("villa"), "last_seen": F.lit("2026-01-01").cast("date"), "excluded": F.lit(None).cast("string")})
     found = p.where("k % 3 <> 0").select("id", F.concat(F.lit("https://x.example/property/a-"), F.when(F.col("k") % 11 == 0, "eh99-1ab").otherwise("eh1-1ab"), F.lit("/36000001")).alias("url"), F.lit("").alias("hint"))
-    return S.classify(rows, found, complete, unsure, DAY, _RULES).select("k", "excluded", "kind", F.col("last_seen").cast("string").alias("last_seen"), "active")
+    return S.classify(rows, found, complete, unsure, today(), _RULES).select("k", "excluded", "kind", F.col("last_seen").cast("string").alias("last_seen"), "active")
 
 
 def _classified_sql(doubt: str) -> str:
@@ -83,10 +82,10 @@ def lot_lifecycle(spark, sf_dir):
     k = F.col("k")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("bedrooms"))
     lots = p.withColumns({
-        "seen": F.when(k % 10 != 0, True), "auction": F.struct(F.when(k % 10 == 1, F.date_sub(DAY, 1)).when(k % 10 == 4, DAY).alias("date")), "not_a_home": F.when(k % 20 == 2, True), "address": F.when(k % 20 == 12, "Lock-up 5").otherwise("5 High Street"),
+        "seen": F.when(k % 10 != 0, True), "auction": F.struct(F.when(k % 10 == 1, F.date_sub(today(), 1)).when(k % 10 == 4, today()).alias("date")), "not_a_home": F.when(k % 20 == 2, True), "address": F.when(k % 20 == 12, "Lock-up 5").otherwise("5 High Street"),
         "kind": F.when(k % 10 == 3, "plot"), "title": F.lit("House at auction"), "property_type": F.lit("house"), "district": F.when(k % 4 == 0, "EH99").otherwise("EH1"),
     })
-    return S.lot_lifecycle(lots, DAY, True, _RULES).select("k", "excluded")
+    return S.lot_lifecycle(lots, today(), True, _RULES).select("k", "excluded")
 
 
 @query("SELECT CASE WHEN p_partkey % 2 = 0 THEN 'EH1' ELSE 'EH28' END AS district, count(*) AS n FROM part GROUP BY 1")
@@ -193,7 +192,7 @@ def relisted_homes(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     pair = k + 1 - k % 3
     number = F.when(k % 3 == 0, k).otherwise(pair)
-    homes = c.select(k.cast("string").alias("id"), F.concat(number.cast("string"), F.when(k % 3 == 0, " Solo Road").otherwise(" Pair Road")).alias("address"), F.concat(F.lit("EH"), (F.col("c_nationkey") * 0 + pair % 50).cast("string"), F.lit(" 1AA")).alias("postcode"), F.lit(1).alias("price"), F.lit(3).alias("bedrooms"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("struct<house:string,date:date,basis:string>").alias("auction"), DAY.alias("first_seen"), F.array(F.struct(DAY.alias("date"), F.lit(1).alias("price"))).alias("price_history"))
+    homes = c.select(k.cast("string").alias("id"), F.concat(number.cast("string"), F.when(k % 3 == 0, " Solo Road").otherwise(" Pair Road")).alias("address"), F.concat(F.lit("EH"), (F.col("c_nationkey") * 0 + pair % 50).cast("string"), F.lit(" 1AA")).alias("postcode"), F.lit(1).alias("price"), F.lit(3).alias("bedrooms"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("struct<house:string,date:date,basis:string>").alias("auction"), today().alias("first_seen"), F.array(F.struct(today().alias("date"), F.lit(1).alias("price"))).alias("price_history"))
     return linkage.resolve_duplicates(homes).select("id", (F.col("id").cast("long") + 1 - F.col("id").cast("long") % 3).alias("pair"))
 
 

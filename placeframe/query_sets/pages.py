@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeframe.functions import html as H
-from placeframe.registry import answers, cases, literal, query, table
+from placeframe.registry import answers, cases, literal, query, table, today
 from placeframe.session import ship_package
 from placeframe.sources import remote
 
-DAY = F.lit("2026-09-01").cast("date")
 
 #: A page of linked data, of application state, of meta tags and text, and of text alone. N and P stand for the part's number and price.
 _LINKED = """<html><head><title>N Sample Road | Homes</title><script type="application/ld+json">{"@type": "House", "name": "4 bed detached house", "address": {"streetAddress": "N Sample Road", "addressLocality": "Leith", "postalCode": "EH4 1AB"},
@@ -52,7 +51,7 @@ _EXPECTED["title"] = ("VARCHAR", ["'4 bed detached house'", *_EXPECTED["title"][
 
 @query(answers(**_EXPECTED))
 def parse_listing_pages(spark, sf_dir):
-    out = H.parse_listings(made_pages(spark, sf_dir, *_PAGES), DAY)
+    out = H.parse_listings(made_pages(spark, sf_dir, *_PAGES), today())
     return out.select(F.col("id").cast("long").alias("id"), "title", "address", "postcode", "district", "lat", "lng", "price", "price_qualifier", "bedrooms", "bathrooms", "floor_area_m2", "property_type", "detached", "garage", "image", F.col("epc.band").alias("band"), F.concat_ws(",", F.coalesce("flags", F.array().cast("array<string>"))).alias("flags"), F.col("closing_date").cast("string").alias("closing"), F.col("plot_acres").alias("acres"))
 
 
@@ -61,7 +60,7 @@ def parse_listing_titles(spark, sf_dir):
     """The parser over the driver's own pages, where their title is plain."""
     p = table(spark, sf_dir, "pages").where("html is not null")
     plain = ~F.col("html").contains("og:title") & ~F.col("html").contains("ld+json") & ~F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).contains("&")
-    return H.parse_listings(p.where(plain).select(F.col("page_id").cast("string").alias("id"), "url", "html"), DAY).select("id", "title")
+    return H.parse_listings(p.where(plain).select(F.col("page_id").cast("string").alias("id"), "url", "html"), today()).select("id", "title")
 
 
 _LOT = """<html><head><title>Auction Details - N Mill Street - Guide £1</title></head><body><header>Auction house</header><nav>sold as seen</nav><h1>Auction Details - N Mill Street - Guide £COMMAS</h1><p>Opening bid £COMMAS. 3 bedroom terraced house. Viewing 12 Sep 2026. The auction ends on 14/10/2026 or 20 Oct 2026.</p><a>renovation project</a></body></html>"""
@@ -77,7 +76,7 @@ _LOCKUP = """<html><body><h1>Lock-up N High Street</h1><p>£COMMAS</p></body></h
 def parse_lot_pages(spark, sf_dir):
     made = made_pages(spark, sf_dir, _LOT, _PLOT, _LOCKUP).withColumn("url", F.replace("url", F.lit("property/a"), F.lit("lot")))
     key = F.regexp_extract("lot", r"(\d+)$", 1).cast("long") - 36_000_000
-    out = H.parse_lots(made, "House", DAY).withColumn("lot", F.col("id"))
+    out = H.parse_lots(made, "House", today()).withColumn("lot", F.col("id"))
     return out.select(key.alias("id"), "lot", "address", "price", F.col("auction.date").cast("string").alias("day"), F.col("auction.basis").alias("basis"), "title", F.concat_ws(",", F.coalesce("flags", F.array().cast("array<string>"))).alias("flags"), "kind", "not_a_home", F.col("plot_acres").alias("acres"))
 
 
@@ -199,8 +198,8 @@ def new_keys(spark, sf_dir):
     known = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select((36_000_000 + F.col("p_partkey")).cast("string").alias("id"))
     from placeframe.operators import state as S
 
-    state = known.select("id", F.lit("flat").alias("excluded"), F.lit(True).alias("plot_parsed"), DAY.alias("fetched"), F.lit(4).alias("parser_version"))
-    wanted = S.todo(found.select("id", "url", F.lit("").alias("hint"), F.col("id").alias("ord")), state, DAY, cap=10_000_000)
+    state = known.select("id", F.lit("flat").alias("excluded"), F.lit(True).alias("plot_parsed"), today().alias("fetched"), F.lit(4).alias("parser_version"))
+    wanted = S.todo(found.select("id", "url", F.lit("").alias("hint"), F.col("id").alias("ord")), state, today(), cap=10_000_000)
     return wanted.select("id")
 
 

@@ -8,9 +8,8 @@ from placeframe.config import Rules
 from placeframe.functions import address as A
 from placeframe.functions import numeric as N
 from placeframe.functions import text as X
-from placeframe.registry import answers, cases, literal, query, table
+from placeframe.registry import answers, cases, literal, query, table, today
 
-DAY = F.lit("2026-09-01").cast("date")
 
 
 @query(answers(price=("INT", ["price", "price", "price", "price", "NULL", "NULL"]), qualifier=("VARCHAR", ["'Offers Over'", "'Fixed Price'", "'O/O'", "NULL", "NULL", "NULL"])))
@@ -161,7 +160,7 @@ def house_types(spark, sf_dir):
 @query(answers(day=("DATE", ["'2026-10-12'", "'2027-03-05'", "'2026-08-20'", "'2026-11-03'", "NULL", "NULL", "'2025-01-02'"])))
 def closing_dates(spark, sf_dir):
     text = ["Closing date: Monday 12th October at noon", "A CLOSING DATE has been set for 5 March", "closing date 20 Aug", "closing date 03/11/26", "closing date 31 February", "viewing {n} May", "Closing Date: 2nd of January, 2025"]
-    return cases(spark, sf_dir, text=text).select("id", X.closing_date("text", DAY).alias("day"))
+    return cases(spark, sf_dir, text=text).select("id", X.closing_date("text", today()).alias("day"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size * 30 BETWEEN 25 AND 2000 THEN p_size * 30 END::INT AS metres, CASE WHEN p_size * 100 * 0.092903 BETWEEN 25 AND 2000 THEN round_even(p_size * 100 * 0.092903, 0) END::INT AS feet, CASE WHEN p_size / 100.0 BETWEEN 0.01 AND 500 THEN round_even(p_size / 100.0, 2) END::DOUBLE AS acres, CASE WHEN p_size * 2.471 <= 500 THEN round_even(p_size * 2.471, 2) END::DOUBLE AS hectares FROM part")

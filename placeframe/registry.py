@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def today() -> Column:
+    """The day that the queries take for the present."""
+    return F.lit("2026-09-01").cast("date")
+
+
 # A row per part: id, a number n (1 to 50), a price, and texts made of a template that the id chooses. The expected values
 # follow from the templates, not from the patterns that are tested.
 

@@ -41,3 +41,11 @@ def test_query_equals_its_sql(spark, duck, name):
     assert {c: TYPES.get(t, t) for c, t in df.dtypes} == dict(zip(rel.columns, map(str, rel.types), strict=True))
     quoted = ", ".join(f'"{c}"' for c in columns)
     assert got == sorted((tuple(map(plain, r)) for r in rel.select(quoted).fetchall()), key=str)
+
+
+def test_the_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 190, len(e.oracle_sql()) > 190)"], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
+    assert said.stdout.split() == ["True", "True"], said.stderr
