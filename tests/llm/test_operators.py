@@ -176,13 +176,11 @@ def test_one_row_of_each_component_stays(spark):
 
 def test_large_groups_are_divided(spark, docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "SPLIT", 1)
-    monkeypatch.setattr(ngram_join, "COMMON", 2)
     assert sorted(tuple(r) for r in ngram_join.link(docs).collect()) == X.jaccard_components(pairs())
     rng = random.Random(6)
     common = X.words(rng, 30)
     rows = [(i, f"{common} {X.words(rng, rng.choice((3, 8, 20, 60)))}" if i % 3 else X.words(rng, rng.randint(1, 9))) for i in range(120)]
     rows += [(200 + i, t + " more") for i, t in rows[:40]]
-    monkeypatch.setattr(ngram_join, "COMMON", 8)
     got = sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert got == X.jaccard_components(rows)
 
