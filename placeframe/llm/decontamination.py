@@ -42,6 +42,8 @@ MIN_WINDOWS, MIN_COVERAGE = 8, 0.5
 #: A pair counts with this many windows of plain words (13 words in a row), or with MIN_COVERAGE of the item's.
 MIN_COPIED = 4
 BLOCK_WINDOWS = 2_000_000
+#: Text bytes that are matched together.
+CHUNK = 1 << 19
 
 # Units that may follow a number, and number words.
 UNITS = ("km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "kg", "g", "mg", "lb", "lbs", "pounds", "tons", "l", "ml", "litres", "liters", "h", "hours", "hour", "min", "minutes", "minute", "s", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "percent", "degrees", "dollars", "euros", "cents")
@@ -272,7 +274,7 @@ def _copied(b: Block, c: Canonical) -> dict[tuple[int, int], tuple[int, int, boo
 
 def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool, int]]:
     """(row, item index, matched windows, the item's windows, verbatim, slots) of each pair that counts."""
-    for first, buf, offs in K.chunks(texts):
+    for first, buf, offs in K.chunks(texts, CHUNK):
         c = canonical(buf, offs)
         counted = _copied(b, c)
         found: dict[tuple[int, int], dict[int, set[int]]] = {}

@@ -45,7 +45,7 @@ from placeframe.session import ship_package
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Text bytes that are encoded together, and characters whose lattice is held at once.
-CHUNK, LATTICE = 1 << 20, 1 << 16
+CHUNK, LATTICE = 1 << 19, 1 << 16
 #: Entries (nine bytes each) of the table of known arcs of the merge acceptor.
 KNOWN_ARCS = 1 << 20
 _INF = np.float64(np.inf)

@@ -48,7 +48,7 @@ from placeframe.llm import tokens as K
 from placeframe.session import fresh_path, materialise, ship_package
 
 LENGTH, GRAM, SHALLOW = 50, 20, 24
-BATCH_BYTES, BUCKET_BYTES, SLAB = 4 << 20, 8 << 20, 1 << 20
+BATCH_BYTES, BUCKET_BYTES, SLAB = 4 << 20, 8 << 20, 1 << 18
 #: An anchor that this many batches hold is hot.
 HOT_BATCHES = 1024
 #: Tasks of a step that works batch by batch or bucket by bucket.
@@ -129,11 +129,8 @@ class Runs:
 
 def anchored(buf: np.ndarray, offs: np.ndarray) -> Runs:
     n = len(buf)
-    broken = np.zeros(n + 1, np.int32)  # windows that leave their document
     some = offs[1:] > offs[:-1]
-    np.add.at(broken, np.maximum(offs[:-1], offs[1:] - LENGTH + 1)[some], 1)
-    np.add.at(broken, offs[1:][some], -1)
-    whole = np.cumsum(broken[:-1]) == 0
+    leave, end = np.maximum(offs[:-1], offs[1:] - LENGTH + 1)[some], offs[1:][some]  # windows from leave to end leave their document
     low = K.U((1 << 21) - 1)
     parts = []
     for a in range(0, max(0, n - LENGTH + 1), SLAB):
@@ -149,7 +146,12 @@ def anchored(buf: np.ndarray, offs: np.ndarray) -> Runs:
         if reach > span:
             key = np.minimum(key[: len(key) - (reach - span)], key[reach - span :])
         place = (key & low).astype(np.int64)
-        ok = whole[a : a + len(place)]
+        m = len(place)
+        near = (end > a) & (leave < a + m)
+        broken = np.zeros(m + 1, np.int32)
+        np.add.at(broken, np.clip(leave[near] - a, 0, m), 1)
+        np.add.at(broken, np.clip(end[near] - a, 0, m), -1)
+        ok = np.cumsum(broken[:-1], dtype=np.int32) == 0
         cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])])
         count = np.diff(np.r_[cut, len(place)])
         good = ok[cut]
@@ -514,8 +516,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 begin, length = pickle.loads(unpack.decompress(x))
                 np.add.at(change, begin, 1)
                 np.add.at(change, begin.astype(np.int64) + length, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        total = np.r_[0, np.cumsum(gone)]
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+        total = np.zeros(len(gone) + 1, np.int64 if len(gone) >> 31 else np.int32)
+        np.cumsum(gone, out=total[1:])
         _, _, span_row = K.runs(gone, offs)
         kept = [buf[a:b][~gone[a:b]].tobytes() if total[b] > total[a] else buf[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
         record = rows.column("record").combine_chunks()
@@ -525,7 +528,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rest = iter(others)
         values = [text if c == text_col else next(rest) for c in names]
         whole = pa.StructArray.from_arrays(values, fields=[pa.field(c, v.type, can_be_null) for (c, can_be_null), v in zip(fields, values, strict=True)])
-        stats = [np.diff(offs), total[offs[1:]] - total[offs[:-1]], K.counts(span_row, len(kept)), [hashlib.sha256(k).hexdigest() for k in kept]]
+        stats = [np.diff(offs), (total[offs[1:]] - total[offs[:-1]]).astype(np.int64), K.counts(span_row, len(kept)), [hashlib.sha256(k).hexdigest() for k in kept]]
         return pa.Table.from_arrays([whole, *[pa.array(x, k) for x, (_, k, _) in zip(stats, STATS, strict=True)]], names=["record", *[name for name, _, _ in STATS]])
 
     return work.groupBy("batch").applyInArrow(K.lean_group(cut), schema)

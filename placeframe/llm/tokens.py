@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterator
-from functools import lru_cache, wraps
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +52,19 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         i = j
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, _BASE, U), np.full(n + 1, _INVERSE, U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
-    return _powers(size)
+    """Powers of the multiplier and of its inverse, n + 1 of each at least; the longest tables so far are kept."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = 1 << max(16, int(n).bit_length())
+        tables = np.full(size + 1, _BASE, U), np.full(size + 1, _INVERSE, U)
+        for t in tables:
+            t[0] = 1
+            np.multiply.accumulate(t, out=t)
+        _POWERS[:] = tables
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -154,7 +157,7 @@ def lean_group(run):
 
 
 def give_back() -> None:
-    _powers.cache_clear()
+    _POWERS.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
