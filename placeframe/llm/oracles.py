@@ -51,3 +51,36 @@ x AS (SELECT doc_id, r, CASE WHEN grain IS NULL THEN v > mid + 8 * (up * greates
 y AS (SELECT doc_id, min(r) AS r FROM x WHERE broken GROUP BY doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND y.r IS NULL AS kept,
 CASE WHEN n_words < 10 OR 100 * n_repeat_words > 20 * n_words THEN 'base' WHEN y.r = 1 THEN 'symbol_ratio' WHEN y.r = 2 THEN 'dup_line_ratio' WHEN y.r = 3 THEN 'repeat_ratio' WHEN y.r = 4 THEN 'word_length' END AS rule FROM b LEFT JOIN y ON y.doc_id = b.doc_id"""
+
+FILTER_AUDIT = """
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+e AS (SELECT t, min(doc_id) AS least FROM t GROUP BY t),
+w AS (SELECT doc_id, part, t, least, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM t JOIN e USING (t)),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(least < doc_id OR (doc_id IS NULL AND least IS NOT NULL), false)::INT AS mask FROM w LEFT JOIN l USING (doc_id)),
+h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE NOT contains(filter_order, f)),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))) AS gone, 1 << (ascii(filter_order[step]) - 65) AS bit
+  FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+g AS (SELECT part, filter_order, step, f, n, good, toxic, mask = bit AS alone, (mask & bit) > 0 AS fails, (mask & coalesce(gone, 0)::BIGINT) > 0 AS before FROM h, s),
+c AS (SELECT part, filter_order, step, f AS filter, sum(CASE WHEN NOT fails AND NOT before THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT before THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fails AND before THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN fails AND NOT before THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT before THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM g GROUP BY ALL)
+SELECT *, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM c"""
+
+TOPK_SEARCH = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, b.r AS other, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.r <> b.r)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOW} AS t FROM documents), i AS (SELECT row_number() OVER () AS i, item_id, {_LOW} AS t FROM benchmark),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d) GROUP BY ALL),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM p GROUP BY r), c AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS length FROM n),
+m AS (SELECT r, 75 + (25 * n * total) // length AS m FROM n, c),
+f AS (SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+q AS (SELECT i, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM i),
+s AS (SELECT i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY i, r)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank, doc_id, score FROM s JOIN d USING (r) JOIN i USING (i) WHERE score > 0 QUALIFY rank <= 20"""

@@ -76,11 +76,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import filter_audit
+
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import topk_search
+
+    return topk_search.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeframe.llm import ranked_search
+
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_sharding, op4_warc, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_sharding, op4_warc, op5_ngram_join, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_language_id, op10_sentencepiece, op11_filter_audit, op12_topk_search, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
     from placeframe.llm import oracles
 
-    return {"op2_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_warc": oracles.WARC, "op5_ngram_join": oracles.NGRAM_JOIN, "op7_quality_rules": oracles.QUALITY_RULES}
+    return {"op2_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_warc": oracles.WARC, "op5_ngram_join": oracles.NGRAM_JOIN, "op7_quality_rules": oracles.QUALITY_RULES, "op11_filter_audit": oracles.FILTER_AUDIT, "op12_topk_search": oracles.TOPK_SEARCH, "op13_ranked_search": oracles.RANKED_SEARCH}
