@@ -43,10 +43,10 @@ def cycle_minutes(metres, travel=TRAVEL) -> Column:
 
 
 def clock_seconds(text) -> Column:
-    """'25:10' or '25:10:30' to seconds since midnight; null where it is no clock time."""
-    p = F.split(F.trim(_c(text)), ":")
-    part = lambda i: F.try_element_at(p, F.lit(i)).try_cast("int")
-    return part(1) * 3600 + part(2) * 60 + F.coalesce(part(3), F.lit(0))
+    """'25:10' or '25:10:30' to seconds since midnight; null where it is no clock time. The text is looked at once, whatever it is made of."""
+    part = lambda p, i: F.try_element_at(p, F.lit(i)).try_cast("int")
+    seconds = lambda p: part(p, 1) * 3600 + part(p, 2) * 60 + F.coalesce(part(p, 3), F.lit(0))
+    return F.transform(F.array(F.split(F.trim(_c(text)), ":")), seconds)[0]
 
 
 def decile(rank, zones: int = DATA_ZONES) -> Column:

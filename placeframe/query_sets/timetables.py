@@ -1,7 +1,9 @@
-"""Timetables: service days, hops, footpaths, the scan and journeys."""
+"""Timetables: service days, hops, footpaths, latest departures and journeys."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +59,11 @@ def _trips(spark, sf_dir):
     clock = lambda s: F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"), (s / 60 % 60).cast("int"), (s % 60).cast("int"))
     times = table(spark, sf_dir, "lineitem").select(o.cast("string").alias("trip_id"), F.col("l_partkey").cast("string").alias("stop_id"), F.col("l_linenumber").cast("string").alias("stop_sequence"), F.when(F.col("l_linenumber") != 3, clock(t)).otherwise("").alias("arrival_time"), F.when(F.col("l_linenumber") != 5, clock(t + 20)).alias("departure_time"))
     running = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("trip_id"), F.concat(F.lit("R"), (F.col("o_orderkey") % 9).cast("string")).alias("route"))
-    return times, running
+    return materialise(times, "timetable"), running
 
 
 _LO, _HI = transit.window_of(TRAVEL)
-_HOPS = f"{_STOPS}, t AS (SELECT l_orderkey AS trip, l_partkey AS stop, l_linenumber AS seq, 21600 + l_orderkey * 131 % 14400 + l_linenumber * 120 AS t FROM lineitem), c AS (SELECT trip, stop, seq, CASE WHEN seq = 3 THEN t + 20 ELSE t END AS arr, CASE WHEN seq = 5 THEN t ELSE t + 20 END AS dep FROM t JOIN stops ON stops.k = t.stop WHERE lat < 56.08), h AS (SELECT trip, stop AS u, dep, lead(stop) OVER w AS v, lead(arr) OVER w AS arr FROM c WHERE dep >= {_LO - 3600} AND arr <= {_HI} WINDOW w AS (PARTITION BY trip ORDER BY seq, arr, dep, stop::VARCHAR))"
+_HOPS = f"{_STOPS}, t AS (SELECT l_orderkey AS trip, l_partkey AS stop, l_linenumber AS seq, 21600 + l_orderkey * 131 % 14400 + l_linenumber * 120 AS t FROM lineitem), c AS (SELECT trip, stop, seq, CASE WHEN seq = 3 THEN t + 20 ELSE t END AS arr, CASE WHEN seq = 5 THEN t ELSE t + 20 END AS dep FROM t JOIN stops ON stops.k = t.stop WHERE lat < 56.08), h AS (SELECT trip, row_number() OVER w AS seq, stop AS u, dep, lead(stop) OVER w AS v, lead(arr) OVER w AS arr FROM c WHERE dep >= {_LO - 3600} AND arr <= {_HI} WINDOW w AS (PARTITION BY trip ORDER BY seq, arr, dep, stop::VARCHAR))"
 
 
 @query(f"WITH {_HOPS} SELECT trip::VARCHAR AS trip, u::VARCHAR AS u, v::VARCHAR AS v, dep::INT AS dep, arr::INT AS arr, 'R' || (trip % 9) AS route FROM h WHERE u <> v AND arr >= dep AND dep BETWEEN {_LO} AND {_HI}")
@@ -93,55 +95,42 @@ def footpaths(spark, sf_dir):
 
 @query(f"WITH {_STOPS} SELECT a.k::VARCHAR AS stop_id, round({_METRES} * 1.3 / (4.8 / 3.6), 2) AS walk_s FROM stops a, (SELECT 55.95196 AS lat, -3.18992 AS lng) b WHERE {_METRES} <= 2000")
 def stops_near_destination(spark, sf_dir):
-    from dataclasses import replace
-
     stops = transit.stops_in_area(_stops(spark, sf_dir))
     return transit.to_destination(stops, replace(TRAVEL, destination_radius_m=2000)).join(stops, "stop").select("stop_id", F.round("walk_s", 2).alias("walk_s"))
 
 
-# ---------------------------------------------------------------- the scan, on two routes towards the destination
-
-
-def literal_timetable(spark: SparkSession):
-    """Route 22 every 10 minutes from Far by Mid and Near to Centre, 5 minutes a hop; route 44 every 20 from Cross to Centre, 10 minutes."""
-    stops = spark.createDataFrame([("a", "Far", 55.990, -3.300), ("b", "Mid", 55.975, -3.250), ("c", "Near", 55.960, -3.210), ("d", "Centre", 55.9525, -3.1905), ("e", "Cross", 55.9755, -3.2505)], "stop_id string, stop_name string, stop_lat double, stop_lon double")
-    times = []
-    for k in range(13):
-        t = 7 * 3600 + 600 * k
-        times += [(f"x{k}", _clock(t + 300 * i), _clock(t + 300 * i), s, i) for i, s in enumerate("abcd")]
-    for k in range(7):
-        t = 7 * 3600 + 1200 * k
-        times += [(f"y{k}", _clock(t + 600 * i), _clock(t + 600 * i), s, i) for i, s in enumerate("ed")]
-    running = spark.createDataFrame([(f"x{k}", "22") for k in range(13)] + [(f"y{k}", "44") for k in range(7)], "trip_id string, route string")
-    return stops, spark.createDataFrame(times, "trip_id string, arrival_time string, departure_time string, stop_id string, stop_sequence int"), running
-
-
-def _clock(s: int) -> str:
-    return f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+# ---------------------------------------------------------------- latest departures: all hops of the morning, destination within 2 km
 
-
-def literal_network(spark: SparkSession):
-    raw, times, running = literal_timetable(spark)
-    stops = materialise(transit.stops_in_area(raw), "stops")
-    hops = transit.connections(times, running, stops)
-    return stops, materialise(transit.reverse_scan(hops, transit.footpaths(stops), transit.to_destination(stops)), "profiles")
-
-
-#: For each time to arrive by: the last bus of either route that is at Centre in time for the walk; Mid and Cross are a walk apart.
-_NET = f"""place AS (SELECT * FROM (VALUES ('a', 55.990, -3.300), ('b', 55.975, -3.250), ('c', 55.960, -3.210), ('d', 55.9525, -3.1905), ('e', 55.9755, -3.2505)) v(stop, lat, lng)),
-target AS (SELECT 30600 + 600 * i AS target FROM range(5) r(i)), walk AS (SELECT {_METRES} * 1.3 / (4.8 / 3.6) AS s FROM place a, (SELECT 55.95196 AS lat, -3.18992 AS lng) b WHERE a.stop = 'd'),
-foot AS (SELECT {_METRES} * 1.3 / (4.8 / 3.6) AS s FROM place a, place b WHERE a.stop = 'b' AND b.stop = 'e'),
-trip AS (SELECT '22' AS route, 25200 + 600 * i AS t, 900 AS ride FROM range(13) r(i) UNION ALL SELECT '44', 25200 + 1200 * i, 600 FROM range(7) r(i)),
-fit AS (SELECT target, route, max(t) AS t, max(t) + max(ride) + max(s) AS arrival FROM target, trip, walk WHERE t + ride + s <= target GROUP BY target, route),
-own AS (SELECT target, stop, t + later AS latest, arrival, fit.route, stop AS board FROM fit JOIN (VALUES ('a', '22', 0), ('b', '22', 300), ('c', '22', 600), ('e', '44', 0)) v(stop, route, later) USING (route)),
-ways AS (SELECT * FROM own UNION ALL SELECT target, CASE stop WHEN 'b' THEN 'e' ELSE 'b' END, latest - s, arrival, route, stop FROM own, foot WHERE stop IN ('b', 'e')),
-best AS (SELECT target, stop, max(latest) AS latest, arg_max(arrival, latest) AS arrival, arg_max(route, latest) AS route, arg_max(board, latest) AS board FROM ways GROUP BY target, stop)"""
+_W = "1.3 / (4.8 / 3.6)"
+_LATER = "(b.dep, b.arr, b.seq, -b.u, -b.v) <= (a.dep, a.arr, a.seq, -a.u, -a.v)"
+#: Rides that lead on to others; those from which the destination is reached in time; each stop's best; each trip's last catch and when that arrives.
+_LABELS = f"""{_HOPS}, hop AS (SELECT row_number() OVER () AS id, trip, seq, u, v, dep, arr FROM h WHERE u <> v AND arr >= dep AND dep BETWEEN {_LO} AND {_HI}),
+foot AS (SELECT a.k AS u, b.k AS x, {_METRES} * {_W} AS s FROM stops a, stops b WHERE a.k <> b.k AND a.lat < 56.08 AND b.lat < 56.08 AND {_METRES} <= 300),
+around AS (SELECT u, x, s FROM foot UNION ALL SELECT k, k, 0 FROM stops), dest AS (SELECT a.k, {_METRES} * {_W} AS s FROM stops a, (SELECT 55.95196 AS lat, -3.18992 AS lng) b WHERE {_METRES} <= 2000),
+target AS (SELECT 30600 + 600 * i AS target FROM range(5) r(i)),
+leads AS (SELECT a.id AS later, b.id AS id FROM hop a JOIN hop b USING (trip) WHERE a.id <> b.id AND {_LATER} UNION ALL SELECT a.id, b.id FROM hop a JOIN around ON around.u = a.u JOIN hop b ON b.v = around.x WHERE a.dep - around.s >= b.arr + 60),
+ok AS (SELECT target, hop.id FROM hop JOIN dest ON dest.k = hop.v, target WHERE arr + s <= target AND dep <= target UNION SELECT target, leads.id FROM ok JOIN leads ON leads.later = ok.id),
+offer AS (SELECT target, around.x AS stop, dep - around.s AS latest, trip, seq, u, v, dep, arr FROM ok JOIN hop USING (id) JOIN around USING (u)),
+label AS (SELECT * FROM offer QUALIFY row_number() OVER (PARTITION BY target, stop ORDER BY latest DESC, dep DESC, arr DESC, seq DESC, u, v, trip::VARCHAR DESC) = 1),
+catch AS (SELECT ok.target, hop.trip, CASE WHEN hop.arr + dest.s <= ok.target THEN hop.arr + dest.s END AS reach, label.trip AS next FROM ok JOIN hop USING (id) LEFT JOIN dest ON dest.k = hop.v LEFT JOIN label ON label.target = ok.target AND label.stop = hop.v AND label.latest >= hop.arr + 60
+  WHERE hop.arr + dest.s <= ok.target OR label.trip IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ok.target, hop.trip ORDER BY hop.dep DESC, hop.arr DESC, hop.seq DESC, hop.u, hop.v) = 1),
+reach AS (SELECT target, trip, reach FROM catch WHERE reach IS NOT NULL UNION ALL SELECT catch.target, catch.trip, reach.reach FROM reach JOIN catch ON catch.target = reach.target AND catch.next = reach.trip AND catch.reach IS NULL),
+best AS (SELECT target, stop, latest, reach AS arrival, 'R' || (trip % 9) AS route, u AS board FROM label JOIN reach USING (target, trip))"""
+
+
+def network(spark, sf_dir):
+    """Stops, and when to leave them."""
+    near = replace(TRAVEL, destination_radius_m=2000)
+    stops = materialise(transit.stops_in_area(_stops(spark, sf_dir)), "stops")
+    hops = transit.connections(*_trips(spark, sf_dir), stops)
+    return stops, transit.latest_departures(hops, transit.footpaths(stops), transit.to_destination(stops, near), near)
 
 
-@query(f"WITH {_NET} SELECT target::INT AS target, stop AS stop_id, round(latest, 3) AS latest, round(arrival, 3) AS arrival, route FROM best")
+@query(f"WITH RECURSIVE {_LABELS} SELECT target::INT AS target, stop::VARCHAR AS stop_id, round(latest, 3)::DOUBLE AS latest, round(arrival, 3)::DOUBLE AS arrival, route, board::VARCHAR AS board FROM best")
 def reverse_scan(spark, sf_dir):
-    stops, profiles = literal_network(spark)
-    return profiles.join(stops.select("stop", "stop_id"), "stop").select("target", "stop_id", F.round("latest", 3).alias("latest"), F.round("arrival", 3).alias("arrival"), "route")
+    stops, labels = network(spark, sf_dir)
+    boards = stops.select(F.col("stop").alias("board_stop"), F.col("stop_id").alias("board"))
+    return labels.join(stops.select("stop", "stop_id"), "stop").join(boards, "board_stop").select("target", "stop_id", F.round("latest", 3).alias("latest"), F.round("arrival", 3).alias("arrival"), "route", "board")
 
 
 _HOMES = "homes AS (SELECT c_custkey AS id, 55.80 + ((c_custkey * 7919) % 2800)::DOUBLE / 10000.0 AS lat, -3.66 + ((c_custkey * 104729) % 11800)::DOUBLE / 10000.0 AS lng FROM customer)"
@@ -152,9 +141,8 @@ def _homes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("id"), (55.80 + F.pmod(k * 7919, F.lit(2800)) / 10_000.0).alias("lat"), (-3.66 + F.pmod(k * 104_729, F.lit(11_800)) / 10_000.0).alias("lng"))
 
 
-_W = "1.3 / (4.8 / 3.6)"
-_JOURNEY = f"""WITH {_HOMES}, {_NET}, name AS (SELECT * FROM (VALUES ('a', 'Far'), ('b', 'Mid'), ('c', 'Near'), ('d', 'Centre'), ('e', 'Cross')) v(stop, name)),
-access AS (SELECT a.id, b.stop, {_METRES} AS m FROM homes a, place b WHERE {_METRES} <= 1200), options AS (SELECT id, target, latest - m * {_W} AS leave, arrival, m, route, board, stop FROM access JOIN best USING (stop)),
+_JOURNEY = f"""WITH RECURSIVE {_HOMES}, {_LABELS}, name AS (SELECT p_partkey AS stop, p_name AS name FROM part),
+access AS (SELECT a.id, b.k AS stop, {_METRES} AS m FROM homes a, stops b WHERE b.lat < 56.08 AND {_METRES} <= 1200), options AS (SELECT id, target, latest - m * {_W} AS leave, arrival, m, route, board, stop FROM access JOIN best USING (stop)),
 per AS (SELECT id, target, arg_max(arrival - leave, leave) AS took, arg_max(m, leave) AS m, arg_max(route, leave) AS route, arg_max(board, leave) AS board FROM options GROUP BY id, target),
 pt AS (SELECT id, avg(took) / 60 AS pt, arg_min('Walk ' || round_even(m * {_W} / 60, 0)::INT || ' min to ' || name || ', then bus ' || route, target) AS how FROM per JOIN name ON name.stop = board GROUP BY id),
 station AS (SELECT * FROM (VALUES (0, 'Hill', 55.97, -3.30, 12, 4), (1, 'Shore', 55.94, -3.07, 9, 2)) v(ord, name, lat, lng, minutes, per_hour)),
@@ -165,7 +153,7 @@ SELECT id, round_even(walk, 0)::INT AS walk_min, round_even(m * 1.3 / (15 / 3.6)
 
 @query(_JOURNEY)
 def journey(spark, sf_dir):
-    stops, profiles = literal_network(spark)
+    stops, profiles = network(spark, sf_dir)
     stations = spark.createDataFrame([(0, "Hill", 55.97, -3.30, 12, 4), (1, "Shore", 55.94, -3.07, 9, 2)], "ord int, name string, lat double, lng double, minutes int, trains_per_hour int")
     return transit.journeys(_homes(spark, sf_dir), profiles=profiles, stops=stops, stations=stations).select("id", "travel.*")
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from placeframe.operators import layers, linkage, saved, search, spatial, state, stats
 from placeframe.plans import refresh
-from placeframe.query_sets.timetables import literal_network
 from placeframe.sources import files, remote, sinks
+from tests.samples import small_network
 
 DAY = F.lit("2026-10-01").cast("date")
 NOW = F.lit("2026-10-01 12:00:00").cast("timestamp")
@@ -161,13 +161,69 @@ def test_classify_with_incomplete_search(spark):
 def test_journey_uses_the_direct_bus(spark):
     from placeframe.operators import transit
 
-    stops, profiles = literal_network(spark)
+    stops, profiles = small_network(spark)
     homes = spark.createDataFrame([("1", 55.9905, -3.3005), ("2", 55.8, -2.5)], "id string, lat double, lng double")
     a, b = transit.journeys(homes, profiles=profiles, stops=stops).orderBy("id").select("travel.*").collect()
     assert a.pt_min is not None and a.pt_min < 30 and "bus 22" in a.pt_how and "Far" in a.pt_how and a.best_how == a.pt_how
     assert b.pt_min is None and b.best_how == "Walk"
 
 
+def best_rides(hops, paths, walks, targets, buffer_s=60):
+    """Each target's labels, by asking of every ride again and again whether it leads anywhere."""
+    out = {}
+    for target in targets:
+        ends, labels = {}, {}  # trip: (rank of the last ride that catches, arrival); stop: (latest, rank, arrival, route, board)
+        while True:
+            before = dict(labels), dict(ends)
+            for dep, arr, u, v, trip, n, _ in hops:
+                reach = arr + walks[v] if v in walks and arr + walks[v] <= target else labels[v][2] if v in labels and labels[v][0] >= arr + buffer_s else None
+                if reach is not None and dep <= target and (trip not in ends or ends[trip][0] <= (dep, arr, n, -u, -v)):
+                    ends[trip] = (dep, arr, n, -u, -v), reach
+            for dep, arr, u, v, trip, n, route in hops:
+                if trip in ends and (dep, arr, n, -u, -v) <= ends[trip][0]:
+                    for x, walk in [(u, 0), *[(x, w) for y, x, w in paths if y == u]]:
+                        way = (dep - walk, (dep, arr, n, -u, -v, trip), ends[trip][1], route, u)
+                        if x not in labels or labels[x][:2] <= way[:2]:
+                            labels[x] = way
+            if (labels, ends) == before:
+                break
+        out |= {(target, x): (w[0], w[2], w[3], w[4]) for x, w in labels.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_latest_departures_equal_plain_search(spark, seed):
+    import random
+
+    from placeframe.operators import transit
+
+    rng = random.Random(seed)
+    hops = []
+    for trip in range(60):
+        t, at = rng.randrange(23_400, 32_000, 60), rng.sample(range(25), 6)
+        for n, (u, v) in enumerate(zip(at, at[1:], strict=False)):
+            arr = t + rng.choice((0, 60, 120, 240))
+            hops.append((t, arr, u, v, f"t{trip}", n, f"r{trip % 7}"))
+            t = arr + rng.choice((0, 30, 60))
+    paths = [(u, x, float(rng.randrange(30, 300))) for u in range(25) for x in range(25) if u != x and rng.random() < 0.08]
+    walks = {3: 60.0, 4: 200.5}
+    got = transit.latest_departures(spark.createDataFrame(hops, "dep int, arr int, u long, v long, trip string, seq int, route string"), spark.createDataFrame(paths, "u long, x long, walk_s double"), spark.createDataFrame(list(walks.items()), "stop long, walk_s double"))
+    want = best_rides(hops, paths, walks, (30_600, 31_200, 31_800, 32_400, 33_000))
+    assert {(r.target, r.stop): (r.latest, r.arrival, r.route, r.board_stop) for r in got.collect()} == want and len(want) > 60
+
+
+def test_latest_departures_of_nothing(spark):
+    from placeframe.operators import transit
+
+    hops = spark.createDataFrame([(30_000, 30_100, 1, 2, "t", 0, "r")], "dep int, arr int, u long, v long, trip string, seq int, route string")
+    nowhere = spark.createDataFrame([], "stop long, walk_s double")
+    paths = spark.createDataFrame([], "u long, x long, walk_s double")
+    assert transit.latest_departures(hops, paths, nowhere).count() == 0
+    near = spark.createDataFrame([(2, 10.0)], "stop long, walk_s double")
+    assert transit.latest_departures(hops.limit(0), paths, near).count() == 0
+    assert {(r.target, r.latest, r.arrival) for r in transit.latest_departures(hops, paths, near).collect()} == {(t, 30_000.0, 30_110.0) for t in range(30_600, 33_001, 600)}
+
+
 def test_service_day(spark):
     from placeframe.operators import transit
 
