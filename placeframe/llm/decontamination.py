@@ -8,8 +8,8 @@ stand for must agree: along a matched stretch each slot value of the item must a
 count, and windows whose slot values all equal the item's always do. An item whose values all meet themselves is verbatim;
 one with other, consistent values is re-parameterised.
 
-Windows of plain words in lower case, without placeholders, are joined beside them, so that a copy in other capitals, an
-item of numbers and a short item are found as they stand; ``MIN_COPIED`` of them, or half of an item's, are a verbatim match. An item of fewer
+Windows of plain words in lower case, without placeholders, are joined for what the templates leave, so that a copy in other
+capitals, an item of numbers and a short item are found as they stand; ``MIN_COPIED`` of them, or half of an item's, are a verbatim match. An item of fewer
 than ``MIN_ITEM`` words is everyday language: it counts where it makes a whole line of a document. Items without a letter or digit cannot be
 sought (:func:`unsearchable` lists them). Template windows with fewer than ``MIN_LITERALS`` plain words are no evidence, so
 a re-parameterised item of little else than numbers is not found.
@@ -276,14 +276,13 @@ def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool,
     """(row, item index, matched windows, the item's windows, verbatim, slots) of each pair that counts."""
     for first, buf, offs in K.chunks(texts, CHUNK):
         c = canonical(buf, offs)
-        counted = _copied(b, c)
+        counted: dict[tuple[int, int], tuple[int, int, bool, int]] = {}
         found: dict[tuple[int, int], dict[int, set[int]]] = {}
         for k in b.template.sizes:
             h, at = windows(c, k)
             w, i = b.template.hits(h)
             for p, row, item, q in zip(at[w].tolist(), c.row[at[w]].tolist(), b.template.item[i].tolist(), b.template.at[i].tolist(), strict=True):
-                if (row, item) not in counted:
-                    found.setdefault((row, item), {}).setdefault(p - q, set()).add(q)
+                found.setdefault((row, item), {}).setdefault(p - q, set()).add(q)
         for (row, item), diagonals in found.items():
             start, total = int(b.start[item]), int(b.template.total[item])
             size = min(WINDOW, int(b.start[item + 1]) - start)
@@ -302,6 +301,8 @@ def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool,
             n, same, slots_met = max(whole, best, key=lambda x: len(x[0]))
             if n and (len(n) >= MIN_WINDOWS or len(n) >= MIN_COVERAGE * total):
                 counted[row, item] = len(n), total, same, slots_met
+        for pair, told in _copied(b, c).items():
+            counted.setdefault(pair, told)
         for (row, item), (n, total, same, slots_met) in sorted(counted.items()):
             yield first + row, item, n, total, same, slots_met
 
@@ -309,7 +310,7 @@ def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool,
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per pair: document id, item id, matched windows, the item's windows, coverage, kind and slots compared.
 
-    The windows are of plain words where these alone decide (then no slots are compared), else of canonical tokens.
+    The windows are of canonical tokens where these decide, else of plain words (then no slots are compared).
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -34,7 +34,8 @@ from placeframe.session import ship_package
 #: Training documents that may reach the driver: of each language, and in all.
 PER_LANGUAGE = 1500
 IN_ALL = 6000
-MAX_LANGUAGES = 200
+#: The commonest values that are learned, a bound of the sample and of the model (256 KB each); a column of more holds other things than languages.
+MAX_LANGUAGES = 1000
 FAR = 2.5
 BITS = 15
 DIM = 16
@@ -171,7 +172,10 @@ def _calibrated(model: Model, texts: list[bytes]) -> Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from a bounded sample of the documents that have a language and whose fold is not 0."""
+    """Learn the languages, MAX_LANGUAGES of them at most, from a bounded sample of the documents that have one and whose fold is not 0.
+
+    A language of few documents gives all of them; one document is the least.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0) & (F.octet_length(text_col) <= MAX_SAMPLE_BYTES))
     sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
     if not sizes:
@@ -180,7 +184,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     grain = 1_000_000
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(grain, -(-grain * most * 6 // (5 * n)))))])
     picked = usable.where(F.pmod(F.xxhash64(id_col), F.lit(grain)) < share[F.col(lang_col)])
-    rows = picked.orderBy(F.xxhash64(id_col), id_col, text_col).limit(2 * IN_ALL + 2 * len(sizes)).select(lang_col, F.col(text_col).cast("binary"), fold(id_col)).collect()
+    rows = picked.orderBy(F.xxhash64(id_col), id_col, text_col).limit(2 * IN_ALL + 3 * len(sizes)).select(lang_col, F.col(text_col).cast("binary"), fold(id_col)).collect()
     taken: dict[str, int] = {}
     out = []
     for lang, text, k in rows:

@@ -8,8 +8,8 @@ row counts differ by one at most. A task writes neighbouring buckets, so its fil
 
 Only built-in expressions run here. The same seed gives the same shards and slots for the same rows, whatever the number of
 executors or shuffle partitions: the permutations are drawn in tasks of a fixed number in bucket order. Only rows that
-repeat both id and text are told apart by their place in the input, which also spreads them: no bucket is hot whatever
-third of the rows is the same record.
+repeat both id and text are told apart by their place in the input, which also spreads them over the buckets, however many
+they are.
 
 Null and repeated ids are records like any other, each with a slot of its own, and a null text counts as empty. Long texts
 make small buckets. An empty table gives no rows. Records travel as one struct, so no column name can clash.
