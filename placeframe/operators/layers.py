@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeframe.config import DATA_ZONES, MAIN_ROUTES
 from placeframe.functions.numeric import decile
 from placeframe.functions.text import primary_name, relation_lines, route_label, route_order, school_key, tidy_school
-from placeframe.session import ship_package
+from placeframe.operators import lines
 
 # Fixed values, which must be these for the right columns to be found: how publishers name the columns of deprivation zones
 # and certificates, by priority.
@@ -103,72 +102,15 @@ def school_counts(homes: DataFrame, all_homes: DataFrame, tops: DataFrame) -> Da
     return tops.join(first, F.col("rank") == F.col("top_rank"), "left").drop("top_rank").join(counts, "school", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-Line = list[tuple[float, float]]
-_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-_ROUTES = pa.schema([("ref", pa.string()), ("name", pa.string()), ("colour", pa.string()), ("lines", pa.list_(pa.list_(_POINT)))])
-
-
-def merge_lines(lines: list[Line]) -> list[Line]:
-    """Join lines end to end where exactly two meet."""
-    lines = [list(line) for line in lines if len(line) > 1]
-    ends: dict[tuple, set[int]] = {}
-    for i, line in enumerate(lines):
-        for p in (line[0], line[-1]):
-            ends.setdefault(p, set()).add(i)
-    alive = dict(enumerate(lines))
-    degree: dict[tuple, int] = {}
-    for line in lines:
-        degree[line[0]] = degree.get(line[0], 0) + 1
-        degree[line[-1]] = degree.get(line[-1], 0) + 1
-    for point in [p for p, n in degree.items() if n == 2]:
-        meet = [i for i in ends[point] if i in alive]
-        if len(meet) != 2:
-            continue
-        a, b = alive.pop(meet[0]), alive.pop(meet[1])
-        a = a if a[-1] == point else a[::-1]
-        b = b if b[0] == point else b[::-1]
-        alive[meet[0]] = a + b[1:]
-        for p in (a[0], b[-1]):
-            ends[p] = (ends[p] - {meet[1]}) | {meet[0]}
-    return list(alive.values())
-
-
-def simplify(line: Line, tolerance: float) -> Line:
-    """Fewer points, none of those left out farther than the tolerance from the line that stays."""
-    keep, stack = {0, len(line) - 1}, [(0, len(line) - 1)]
-    while stack:
-        i, j = stack.pop()
-        (x1, y1), (x2, y2) = line[i], line[j]
-        dx, dy = x2 - x1, y2 - y1
-        norm = dx * dx + dy * dy
-        worst, at = tolerance, -1
-        for k in range(i + 1, j):
-            px, py = line[k][0] - x1, line[k][1] - y1
-            t = min(1.0, max(0.0, (px * dx + py * dy) / norm)) if norm else 0.0
-            d = ((px - t * dx) ** 2 + (py - t * dy) ** 2) ** 0.5
-            if d > worst:
-                worst, at = d, k
-        if at >= 0:
-            keep.add(at)
-            stack += [(i, at), (at, j)]
-    return [line[k] for k in sorted(keep)]
-
-
 def merged_routes(elements: DataFrame, tolerance: float, key: Column) -> DataFrame:
     """(ref, name, colour, lines) of the relations with one key: lines merged, simplified and rounded to five places."""
-    ship_package(elements.sparkSession)
-    lines = elements.select(key.alias("ref"), F.coalesce(F.col("tags")["name"], F.lit("")).alias("name"), F.col("tags")["colour"].alias("colour"), "ord", relation_lines("members").alias("lines"))
-    per = lines.groupBy("ref").agg(F.min_by("name", "ord").alias("name"), F.min_by("colour", "ord").alias("colour"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lines"))), lambda x: x["lines"])).alias("lines"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                merged = merge_lines([[(p["x"], p["y"]) for p in line] for line in r["lines"]])
-                r["lines"] = [[{"x": round(x, 5), "y": round(y, 5)} for x, y in simplify(line, tolerance)] for line in merged]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ROUTES)
-
-    return per.where(F.size("lines") > 0).select("ref", "name", "colour", "lines").mapInArrow(run, "ref string, name string, colour string, lines array<array<struct<x:double,y:double>>>")
+    own = elements.select(key.alias("ref"), F.coalesce(F.col("tags")["name"], F.lit("")).alias("name"), F.col("tags")["colour"].alias("colour"), "ord", relation_lines("members").alias("ways"))
+    named = own.groupBy("ref").agg(F.min_by("name", "ord").alias("name"), F.min_by("colour", "ord").alias("colour"))
+    one = own.select(F.col("ref").alias("key"), "ord", F.posexplode("ways").alias("at", "points")).select("key", F.struct("ord", "at").alias("line"), "points")
+    thin = lines.simplified(lines.merged(one), tolerance)
+    rounded = F.transform("points", lambda p: F.struct(F.round(p["x"], 5).alias("x"), F.round(p["y"], 5).alias("y")))
+    shape = thin.groupBy(F.col("key").alias("ref")).agg(F.array_sort(F.collect_list(F.struct("chain", rounded.alias("points")))).alias("of"))  # the lines of a route
+    return named.join(shape, "ref").select("ref", "name", "colour", F.transform("of", lambda x: x["points"]).alias("lines"))
 
 
 def bus_routes(elements: DataFrame, main: Sequence[str] = tuple(MAIN_ROUTES)) -> DataFrame:

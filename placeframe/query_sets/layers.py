@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from placeframe.operators import layers, stats
+from placeframe.functions.text import route_order
+from placeframe.operators import layers, lines, stats
 from placeframe.plans.daily import area_labels
 from placeframe.query_sets.searches import LISTINGS, listings
 from placeframe.registry import literal, query, table
+from placeframe.session import materialise
 
 POLYS = "array<array<array<struct<x:double,y:double>>>>"
 _SQUARE = [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]]
@@ -60,58 +63,86 @@ def top_school_counts(spark, sf_dir):
     return layers.school_counts(homes.where("price < 500000"), homes, tops).select("rank", "school", "n")
 
 
-_GEOMETRY = "array<struct<type:string,role:string,geometry:array<struct<lat:double,lon:double>>>>"
-
-
-def _elements(spark):
-    way = lambda *pts, role="", kind="way": (kind, role, [(y, x) for x, y in pts])
-    rows = [
-        (0, "relation", {"route": "bus", "ref": "22", "name": "Bus 22: Ocean => Gyle", "colour": "red"}, [way((0.0, 0.0), (1.0, 0.0)), way((1.0, 0.0), (2.0, 0.000001), (3.0, 0.0)), way((9.0, 9.0), role="stop"), ("node", "", None)]),
-        (1, "relation", {"route": "bus", "ref": "22", "name": "Bus 22: back"}, [way((3.0, 0.0), (3.0, 1.0), role="backward")]),
-        (2, "relation", {"route": "bus", "ref": "", "name": "Night"}, [way((5.0, 5.0), (6.0, 5.0), role="main")]),
-        (3, "relation", {"route": "bus", "ref": "3"}, [way((7.0, 7.0), (8.0, 7.0)), way((20.0, 7.0), (21.0, 7.0))]),
-        (4, "relation", {"route": "tram", "name": "T"}, [way((0.0, 1.0), (0.5, 1.0))]), (5, "relation", {"route": "train"}, [way((1.0, 1.0), (2.0, 1.0), role="forward"), way((2.0, 1.0), (2.0, 2.0), role="platform")]),
-        (6, "node", {"name": "Stop A"}, None),
-    ]
-    df = spark.createDataFrame(rows, f"ord int, type string, tags map<string,string>, members {_GEOMETRY}")
-    return df.withColumns({"lat": F.when(F.col("type") == "node", 55.123456789), "lon": F.when(F.col("type") == "node", -3.1)})
-
-
-@query(literal({"ref": "VARCHAR", "name": "VARCHAR", "colour": "VARCHAR", "main": "BOOLEAN", "lines": "INT", "points": "INT", "place": "BIGINT"}, [("3", "", None, True, 2, 4, 0), ("22", "Ocean ↔ Gyle", "red", True, 1, 3, 1), ("Night", "Night", None, False, 1, 2, 2)]))
+# ---------------------------------------------------------------- routes: an order is a relation, its hops from part to part are ways
+
+#: Kind of a route by order: two of ten are trams and trains. Ways run from one line's part to the next one's.
+_HOPS = """o AS (SELECT o_orderkey AS ord, CASE o_orderkey % 10 WHEN 8 THEN 'tram' WHEN 9 THEN 'train' ELSE 'bus' END AS route, CASE WHEN o_orderkey % 41 = 0 THEN 'Night' ELSE (o_orderkey % 41)::VARCHAR END AS ref FROM orders),
+hop AS (SELECT * FROM (SELECT l_orderkey AS ord, row_number() OVER w AS n, l_partkey AS a, lead(l_partkey) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) WHERE b IS NOT NULL),
+line AS (SELECT route, CASE route WHEN 'bus' THEN ref WHEN 'tram' THEN 'Trams' ELSE 'Railway' END AS key, row_number() OVER (ORDER BY ord, n) AS id, a, b FROM hop JOIN o USING (ord))"""
+#: Way 2 * id goes from a to b, way 2 * id + 1 back. A way goes on where two ends meet; chains are walked from ways that none leads to.
+_CHAINS = f"""{_HOPS}, ends AS (SELECT key, 2 * id AS e, a AS node FROM line UNION ALL SELECT key, 2 * id + 1, b FROM line),
+two AS (SELECT min(e) AS x, max(e) AS y FROM ends GROUP BY key, node HAVING count(*) = 2), goes AS (SELECT xor(x, 1) AS way, y AS next FROM two UNION ALL SELECT xor(y, 1), x FROM two),
+walk AS (SELECT e AS first, e AS way, 0 AS step FROM ends WHERE e NOT IN (SELECT next FROM goes) UNION ALL SELECT first, next, step + 1 FROM walk JOIN goes USING (way)),
+last AS (SELECT first, arg_max(way, step) AS last FROM walk GROUP BY first), chosen AS (SELECT first FROM last WHERE first // 2 < last // 2 OR (first // 2 = last // 2 AND first % 2 = 0)),
+round AS (SELECT e AS first, e AS way FROM ends WHERE e NOT IN (SELECT way FROM walk) UNION SELECT first, next FROM round JOIN goes USING (way)), ring AS (SELECT first FROM round GROUP BY first HAVING min(way) = first AND first % 2 = 0),
+about AS (SELECT first, first AS way, 0 AS step FROM ring UNION ALL SELECT about.first, next, step + 1 FROM about JOIN goes USING (way) WHERE next <> about.first),
+placed AS (SELECT * FROM walk SEMI JOIN chosen USING (first) UNION ALL SELECT * FROM about),
+chain AS (SELECT route, key, first // 2 AS chain, count(*) AS n, string_agg(CASE WHEN way % 2 = 0 THEN a ELSE b END, '-' ORDER BY step) AS head, arg_max(CASE WHEN way % 2 = 0 THEN b ELSE a END, step) AS tail FROM placed JOIN line ON line.id = way // 2 GROUP BY ALL)"""
+
+
+def _hops(spark, sf_dir):
+    """ord, n, a, b: the ways of each order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    hops = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), F.row_number().over(w).alias("n"), F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"))
+    return hops.where("b is not null").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord")), "ord")
+
+
+def _elements(spark, sf_dir):
+    """Relations of ways between parts, and parts as nodes."""
+    at = lambda c: F.struct((F.col(c) * F.col(c) % 1009).cast("double").alias("lat"), F.col(c).cast("double").alias("lon"))
+    way = F.struct(F.lit("way").alias("type"), F.when(F.col("n") % 2 == 0, "forward").otherwise("").alias("role"), F.array(at("a"), at("b")).alias("geometry"))
+    stop = F.struct(F.lit("node").alias("type"), F.lit("stop").alias("role"), F.lit(None).cast("array<struct<lat:double,lon:double>>").alias("geometry"))
+    members = _hops(spark, sf_dir).groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", way.alias("way")))), lambda x: x["way"]).alias("ways"))  # seven lines of an order
+    route = F.when(F.col("ord") % 10 == 8, "tram").when(F.col("ord") % 10 == 9, "train").otherwise("bus")
+    ref = F.when(F.col("ord") % 41 == 0, "").otherwise((F.col("ord") % 41).cast("string"))
+    name = F.when(F.col("ord") % 41 == 0, "Night").otherwise(F.concat(F.lit("Bus "), ref, F.lit(": Ocean => Gyle")))
+    relations = members.select("ord", F.lit("relation").alias("type"), F.create_map(F.lit("route"), route, F.lit("ref"), ref, F.lit("name"), name).alias("tags"), F.concat("ways", F.array(stop)).alias("members"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.lit("node").alias("type"), F.create_map(F.lit("name"), F.concat(F.lit("Stop "), F.col("p_name"))).alias("tags"), F.lit(None).cast(relations.schema["members"].dataType).alias("members"), (F.col("p_partkey") / 7).alias("lat"), F.lit(-3.1).alias("lon"))
+    return relations.unionByName(nodes)
+
+
+@query(f"WITH RECURSIVE {_CHAINS}, r AS (SELECT key AS ref, count(*)::INT AS lines FROM chain WHERE route = 'bus' GROUP BY key) SELECT ref, CASE WHEN ref = 'Night' THEN 'Night' ELSE 'Ocean ↔ Gyle' END AS name, ref IN ('3', '5', '10', '11', '16', '22', '25', '26', '31', '37', '44') AS main, lines, row_number() OVER (ORDER BY try_cast(ref AS INT) NULLS LAST, ref)::INT AS place FROM r")
 def bus_routes(spark, sf_dir):
-    out = layers.bus_routes(_elements(spark)).coalesce(1)
-    return out.select("ref", "name", "colour", "main", F.size("lines").alias("lines"), F.aggregate("lines", F.lit(0), lambda a, line: a + F.size(line)).alias("points"), F.monotonically_increasing_id().alias("place"))
+    out = layers.bus_routes(_elements(spark, sf_dir))
+    place = F.row_number().over(Window.orderBy(route_order("ref")))  # some forty routes
+    return out.select("ref", "name", "main", F.size("lines").alias("lines"), place.alias("place"))
 
 
-@query(literal({"kind": "VARCHAR", "name": "VARCHAR", "lines": "INT", "x": "DOUBLE", "y": "DOUBLE"}, [("line", "Trams", 1, None, None), ("stop", "Stop A", None, -3.1, 55.12346), ("line", "Railway", 1, None, None), ("station", "Hill", None, -3.3, 55.97)]))
+@query(f"WITH RECURSIVE {_CHAINS} SELECT 'line' AS kind, key AS name, count(*)::INT AS lines, NULL::DOUBLE AS y FROM chain WHERE route <> 'bus' GROUP BY key UNION ALL SELECT 'stop', 'Stop ' || p_name, NULL, round_even(p_partkey / 7, 5)::DOUBLE FROM part UNION ALL SELECT 'station', s_name, NULL, s_acctbal FROM supplier")
 def tram_and_rail(spark, sf_dir):
     count = F.when(F.col("lines").isNotNull(), F.size("lines")).alias("lines")
-    tram = layers.tram_layer(_elements(spark)).select("kind", "name", count, "x", "y")
-    none = F.lit(None).cast("double")
-    rail = layers.rail_layer(_elements(spark)).select("kind", "name", count, none.alias("x"), none.alias("y"))
-    stations = spark.createDataFrame([("Hill", 55.97, -3.3, 12, 4)], "name string, lat double, lng double, minutes int, trains_per_hour int")
-    points = layers.station_points(stations).select("kind", "name", F.lit(None).cast("int").alias("lines"), "x", "y")
-    return tram.unionByName(rail).unionByName(points)
+    elements = materialise(_elements(spark, sf_dir), "elements")
+    tram = layers.tram_layer(elements).select("kind", "name", count, "y")
+    rail = layers.rail_layer(elements).select("kind", "name", count, F.lit(None).cast("double").alias("y"))
+    stations = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("lat"), F.lit(-3.3).alias("lng"), F.lit(12).alias("minutes"), F.lit(4).alias("trains_per_hour"))
+    return tram.unionByName(rail).unionByName(layers.station_points(stations).select("kind", "name", F.lit(None).cast("int").alias("lines"), "y"))
 
 
-@query(literal({"case_": "VARCHAR", "out": "VARCHAR"}, [("joined", "0,1,2,3"), ("reversed", "0,1,2"), ("branch", "0,1;1,2;1,3"), ("ring", "0,1,2,0"), ("straight", "0,2"), ("bend", "0,1,2")]))
+@query(f"WITH RECURSIVE {_CHAINS} SELECT key, (n + 1)::INT AS points, head || '-' || tail AS path FROM chain")
 def line_merging(spark, sf_dir):
-    p = {0: (0.0, 0.0), 1: (1.0, 0.0), 2: (2.0, 0.0), 3: (3.0, 0.0)}
-    line = lambda *ks: [p[k] for k in ks]
-    name = {v: str(k) for k, v in p.items()}
-
-    def show(lines):
-        flat = [",".join(name[q] for q in x) for x in lines]
-        return ";".join(sorted(min(f, ",".join(reversed(f.split(",")))) for f in flat))
-
-    ring = layers.merge_lines([line(0, 1), line(1, 2), line(2, 0)])
-    closed = sorted({tuple(x) for x in ring}, key=len)[-1]
-    turned = [(0.0, 0.0), (1.0, 0.5), (2.0, 0.0)]
-    rows = [
-        ("joined", show(layers.merge_lines([line(0, 1), line(1, 2), line(2, 3)]))), ("reversed", show(layers.merge_lines([line(1, 0), line(1, 2)]))), ("branch", show(layers.merge_lines([line(0, 1), line(1, 2), line(1, 3)]))),
-        ("ring", "0,1,2,0" if len(closed) == 4 and closed[0] == closed[-1] else show(ring)), ("straight", show([layers.simplify(line(0, 1, 2), 0.1)])), ("bend", ",".join(str(turned.index(q)) for q in layers.simplify(turned, 0.1))),
-    ]
-    return spark.createDataFrame(rows, "case_ string, out string")
+    hops = _hops(spark, sf_dir)
+    key = F.when(F.col("ord") % 10 == 8, "Trams").when(F.col("ord") % 10 == 9, "Railway").when(F.col("ord") % 41 == 0, "Night").otherwise((F.col("ord") % 41).cast("string"))
+    point = lambda c: F.struct(F.col(c).alias("x"), F.lit(0).alias("y"))
+    merged = lines.merged(hops.select(key.alias("key"), F.struct("ord", "n").alias("line"), F.array(point("a"), point("b")).alias("points")))
+    return merged.select("key", F.size("points").alias("points"), F.concat_ws("-", F.transform("points", lambda p: p["x"].cast("string"))).alias("path"))
+
+
+#: Each user's events in order are a line; a stretch is halved at its farthest point, the first of equals, while that is more than 20 away.
+_THIN = """p AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS y FROM events), n AS (SELECT k, max(pos) AS n FROM p GROUP BY k),
+cut AS (SELECT k, 0::BIGINT AS i, n AS j FROM n UNION ALL SELECT h.k, CASE c WHEN 0 THEN i ELSE m END, CASE c WHEN 0 THEN m ELSE j END FROM (SELECT c.k, c.i, c.j, arg_max(p.pos, (off(p.pos - c.i, p.y - a.y, c.j - c.i, b.y - a.y), -p.pos)) AS m, max(off(p.pos - c.i, p.y - a.y, c.j - c.i, b.y - a.y)) AS o
+  FROM cut c JOIN p a ON a.k = c.k AND a.pos = c.i JOIN p b ON b.k = c.k AND b.pos = c.j JOIN p ON p.k = c.k AND p.pos > c.i AND p.pos < c.j GROUP BY c.k, c.i, c.j) h, (VALUES (0), (1)) v(c) WHERE o > 20)"""
+_OFF = "sqrt(pow(({x}) - greatest(0.0, least(1.0, (({x}) * ({dx}) + ({y}) * ({dy})) / (({dx}) * ({dx}) + ({dy}) * ({dy})))) * ({dx}), 2) + pow(({y}) - greatest(0.0, least(1.0, (({x}) * ({dx}) + ({y}) * ({dy})) / (({dx}) * ({dx}) + ({dy}) * ({dy})))) * ({dy}), 2))"
+_THIN = _THIN.replace("off(p.pos - c.i, p.y - a.y, c.j - c.i, b.y - a.y)", _OFF.format(x="p.pos - c.i", y="p.y - a.y", dx="c.j - c.i", dy="b.y - a.y"))
+
+
+@query(f"WITH RECURSIVE {_THIN}, s AS (SELECT k, i AS pos FROM cut UNION SELECT k, j FROM cut) SELECT k AS user_id, count(*)::INT AS points, string_agg(pos, ',' ORDER BY pos) AS kept FROM s GROUP BY k")
+def line_simplification(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("at"), "value")
+    point = F.struct(F.col("at").cast("double").alias("x"), F.col("value").alias("y"))
+    whole = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", point.alias("p")))), lambda v: v["p"]).alias("points"))  # one line
+    thin = lines.simplified(whole, 20.0, ("user_id",))
+    return thin.select("user_id", F.size("points").alias("points"), F.concat_ws(",", F.transform("points", lambda p: p["x"].cast("long").cast("string"))).alias("kept"))
 
 
 @query(literal({"kind": "VARCHAR", "name": "VARCHAR"}, [("bus", "22"), ("all", "22"), ("all", "N3"), ("top", "A"), ("top rc", "C"), ("primary", "P"), ("primary", "Q"), ("stop", "S")]))

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from placeframe.operators import layers, linkage, saved, search, spatial, state, stats
+from placeframe.operators import layers, lines, linkage, saved, search, spatial, state, stats
 from placeframe.plans import refresh
 from placeframe.sources import files, remote, sinks
 from tests.samples import small_network
@@ -240,11 +240,42 @@ def test_columns_by_pattern():
     assert (got["dz"], got["name"], got["la"], got["rank"], got["income"], got["crime"], got["health"]) == ("DataZone", "DZ_Name", "LAName", "Rankv2", "IncRankv2", "CrimeRank", None)
 
 
-def test_lines_merge_and_simplify():
-    merged = layers.merge_lines([[(0, 0), (1, 0)], [(2, 0), (1, 0)], [(5, 5), (6, 6)]])
-    assert sorted(map(len, merged)) == [2, 3]
-    assert layers.simplify([(0, 0), (1, 0.00001), (2, 0)], 0.0001) == [(0, 0), (2, 0)]
-    assert layers.simplify([(0, 0), (1, 1), (2, 0)], 0.0001) == [(0, 0), (1, 1), (2, 0)]
+def test_lines_merge(spark):
+    p = lambda *ks: [(float(k), 0.0) for k in ks]
+    cases = {
+        "joined": ([p(0, 1), p(1, 2), p(2, 3)], [[0, 1, 2, 3]]), "turned": ([p(1, 0), p(1, 2)], [[0, 1, 2]]), "branch": ([p(0, 1), p(1, 2), p(1, 3)], [[0, 1], [1, 2], [1, 3]]), "ring": ([p(0, 1), p(2, 1), p(2, 0)], [[0, 1, 2, 0]]),
+        "alone": ([p(0, 1, 0), p(5, 6)], [[0, 1, 0], [5, 6]]), "points": ([p(4), p(7, 7)], [[7, 7]]), "long": ([p(k, k + 1) if k % 3 else p(k + 1, k) for k in range(40)], [list(range(41))]), "longer ring": ([p(k, (k + 1) % 37) for k in range(37)], [[*range(37), 0]]),
+    }
+    rows = [(name, 100 * i + j, line) for i, (name, (own, _)) in enumerate(cases.items()) for j, line in enumerate(own)]
+    df = spark.createDataFrame(rows, "key string, line long, points array<struct<x:double,y:double>>").repartition(3)
+    got = {}
+    for r in lines.merged(df).collect():
+        got.setdefault(r.key, []).append([int(q.x) for q in r.points])
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, (_, v) in cases.items()}
+    assert lines.merged(df.limit(0)).count() == 0
+
+
+def plain_thin(line, tolerance):
+    if len(line) < 3:
+        return line
+    (x1, y1), (x2, y2) = line[0], line[-1]
+    n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+
+    def off(q):
+        t = min(1.0, max(0.0, ((q[0] - x1) * (x2 - x1) + (q[1] - y1) * (y2 - y1)) / n)) if n else 0.0
+        return ((q[0] - x1 - t * (x2 - x1)) ** 2 + (q[1] - y1 - t * (y2 - y1)) ** 2) ** 0.5
+
+    k = max(range(1, len(line) - 1), key=lambda i: (off(line[i]), -i))
+    return [line[0], line[-1]] if off(line[k]) <= tolerance else plain_thin(line[: k + 1], tolerance)[:-1] + plain_thin(line[k:], tolerance)
+
+
+def test_lines_simplify(spark):
+    import random
+
+    rng = random.Random(2)
+    own = [[(0.0, 0.0), (1.0, 0.00001), (2.0, 0.0)], [(0.0, 0.0), (1.0, 1.0), (2.0, 0.0)], [(0.0, 0.0), (1.0, 0.0)], [(3.0, 3.0), (4.0, 4.0), (3.0, 3.0)], [(float(i), rng.random()) for i in range(120)]]
+    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(own)], "key string, chain long, points array<struct<x:double,y:double>>")
+    assert {r.chain: [(q.x, q.y) for q in r.points] for r in lines.simplified(df, 0.3).collect()} == {i: plain_thin(x, 0.3) for i, x in enumerate(own)}
 
 
 def test_saved_lists(spark):
