@@ -1,4 +1,4 @@
-"""Spatial joins on a grid: equi-joins on cells, then an exact test. No nested loops and no Python.
+"""Spatial joins on grids: equi-joins on cells, then an exact test. No nested loops and no Python.
 
 Polygons are ARRAY<ARRAY<ARRAY<STRUCT<x,y>>>>: polygons of rings of points, the first ring the shell.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from placeframe.config import EARTH_RADIUS_M
 from placeframe.functions.numeric import haversine_m
+from placeframe.session import discard, materialise
 
 CELL = 0.01
 
@@ -48,23 +49,117 @@ def contains(polys_edges: Column, x: Column, y: Column, boundary: str = "closed"
     return F.exists(polys_edges, inside)
 
 
-def cells(polygons: DataFrame, polys: str, cell: float = CELL) -> DataFrame:
-    """Polygons with their edges and bounding boxes, a row for each grid cell the box meets."""
-    points = F.flatten(F.transform(polys, lambda p: F.get(p, F.lit(0))))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    boxed = polygons.withColumns({"__x0": F.array_min(xs), "__x1": F.array_max(xs), "__y0": F.array_min(ys), "__y1": F.array_max(ys), "__edges": F.transform(polys, lambda p: F.transform(p, _edges))})
-    side = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    return boxed.where("__x0 is not null").withColumn("__cx", F.explode(side("__x0", "__x1"))).withColumn("__cy", F.explode(side("__y0", "__y1")))
+#: A cell with more edges is divided into four, down to a side of 2^-FINEST.
+CELL_EDGES, FINEST = 12, 30
+#: Where in a cell its reference point lies: off the places that corners of polygons are put at.
+_AT = (0.38196601125, 0.61803398875)
+
+
+def _crossings(edges: Column, along: str, at: Column, a: Column, b: Column) -> Column:
+    """How many edges cross the line at ``at`` between a and b; along x: the line is level."""
+    u, v = ("x", "y") if along == "x" else ("y", "x")
+    lo, hi = F.least(a, b), F.greatest(a, b)
+
+    def cuts(e: Column) -> Column:
+        p = (e[f"{u}2"] - e[f"{u}1"]) * (at - e[f"{v}1"]) / F.nullif(e[f"{v}2"] - e[f"{v}1"], F.lit(0.0)) + e[f"{u}1"]
+        return ((e[f"{v}1"] > at) != (e[f"{v}2"] > at)) & (p > lo) & (p <= hi)
+
+    return F.size(F.filter(edges, cuts))
+
+
+def _side(ring: Column, xr: Column, yr: Column, x: Column, y: Column) -> Column:
+    """Whether (x, y) is within a ring, as _odd says, from the side of a point of the same cell: up or down first, then level."""
+    return ring["inside"] != (F.pmod(_crossings(ring["edges"], "y", xr, yr, y) + _crossings(ring["edges"], "x", y, xr, x), F.lit(2)) == 1)
+
 
+def _touching(edges: Column, x0: Column, y0: Column, size: Column) -> Column:
+    """The edges that meet a cell, and those that miss it by a hair."""
+    x1, y1, hair = x0 + size, y0 + size, 1e-11
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, lng: str = "lng", lat: str = "lat", polys: str = "polys", boundary: str = "closed", how: str = "inner", cell: float = CELL) -> DataFrame:
-    """Join each point with the polygons that contain it. Each pair meets in exactly one cell, so none comes twice."""
+    def meets(e: Column) -> Column:
+        near = (F.least(e["x1"], e["x2"]) <= x1 + hair) & (F.greatest(e["x1"], e["x2"]) >= x0 - hair) & (F.least(e["y1"], e["y2"]) <= y1 + hair) & (F.greatest(e["y1"], e["y2"]) >= y0 - hair)
+        side = lambda x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+        corners = (side(x0, y0), side(x0, y1), side(x1, y0), side(x1, y1))
+        return near & (F.least(*corners) <= hair) & (F.greatest(*corners) >= -hair)
+
+    return F.filter(edges, meets)
+
+
+def cover(polygons: DataFrame, polys: str = "polys", cell_edges: int = CELL_EDGES) -> DataFrame:
+    """The polygons' columns and an adaptive grid, written: a row for each cell (__z, __cx, __cy), of side 2^-__z, that may hold points of theirs.
+
+    A polygon begins with the four cells at most of its box's size. A cell that more edges cross than ``cell_edges`` is divided, and
+    each part keeps the edges that cross it and the side of each ring on which its reference point lies. Cells that no edge
+    crosses are wholly in or out; those within stay, without edges. So a polygon over the whole map is a few large cells inside and
+    small ones along its boundary, and a point is tested against a dozen edges. A corner where more edges meet ends at the least
+    side. Each round deals what is crowded to all tasks and divides it, row by row.
+    """
+    points = F.flatten(F.transform(polys, lambda p: F.get(p, F.lit(0))))
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    rings = F.flatten(F.transform(polys, lambda p, i: F.transform(p, lambda r, k: F.struct(i.alias("poly"), k.alias("ring"), _edges(r).alias("edges")))))
+    own = [c for c in polygons.columns if c != polys]
+    boxed = polygons.select(*own, F.array_min(xs).alias("__x0"), F.array_max(xs).alias("__x1"), F.array_min(ys).alias("__y0"), F.array_max(ys).alias("__y1"), rings.alias("__rings")).where("__x0 is not null")
+    width = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))
+    out = boxed.withColumn("__z", F.when(width > 0, F.least(F.lit(FINEST), -F.ceil(F.log2(width)).cast("int"))).otherwise(FINEST))
+    span = lambda a, b: F.sequence(F.floor(F.col(a) * F.pow(F.lit(2.0), "__z")), F.floor(F.col(b) * F.pow(F.lit(2.0), "__z")))
+    out = out.withColumn("__cx", F.explode(span("__x0", "__x1"))).withColumn("__cy", F.explode(span("__y0", "__y1")))
+    side = F.pow(F.lit(2.0), -F.col("__z"))
+    place = lambda c, k: (F.col(c) + _AT[k]) * side
+    corner = F.col("__cx") * side, F.col("__cy") * side
+    cell = ["__z", "__cx", "__cy"]
+
+    def kept(inside) -> Column:
+        return _alive(F.transform("__rings", lambda r: F.struct(r["poly"].alias("poly"), r["ring"].alias("ring"), inside(r).alias("inside"), _touching(r["edges"], *corner, side).alias("edges"))))
+
+    first = out.select(*own, *cell, kept(lambda r: _odd(r["edges"], place("__cx", 0), place("__cy", 1))).alias("__rings"))
+    now = materialise(first.where(F.size("__rings") > 0), "cover")
+    edges = F.aggregate("__rings", F.lit(0), lambda n, r: n + F.size(r["edges"]))
+    crowded = (edges > cell_edges) & (F.col("__z") < FINEST)
+    two, tasks = F.array(F.lit(0), F.lit(1)), polygons.sparkSession.sparkContext.defaultParallelism
+    while not now.where(crowded).isEmpty():
+        parts = now.where(crowded).select(*own, place("__cx", 0).alias("__xr"), place("__cy", 1).alias("__yr"), (F.col("__z") + 1).alias("__z"), (F.col("__cx") * 2).alias("__bx"), (F.col("__cy") * 2).alias("__by"), F.explode(two).alias("__i"), "__rings")
+        parts = parts.select("*", (F.col("__bx") + F.col("__i")).alias("__cx"), F.explode(two).alias("__j")).withColumn("__cy", F.col("__by") + F.col("__j")).repartition(tasks, "__cx", "__cy")
+        divided = parts.select(*own, *cell, kept(lambda r: _side(r, F.col("__xr"), F.col("__yr"), place("__cx", 0), place("__cy", 1))).alias("__rings")).where(F.size("__rings") > 0)
+        after = materialise(now.where(~crowded).unionByName(divided), "cover")
+        discard(now)
+        now = after
+    return now
+
+
+def _named(value: Column, body) -> Column:
+    """``body`` of a value that it names more than once: the value is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _alive(rings: Column) -> Column:
+    """Without rings that are far off, and polygons of which no shell is left."""
+    own = F.filter(rings, lambda r: r["inside"] | (F.size(r["edges"]) > 0))
+    return _named(own, lambda own: F.filter(own, lambda r: (r["ring"] == 0) | F.exists(own, lambda s: (s["poly"] == r["poly"]) & (s["ring"] == 0))))
+
+
+def _within(rings: Column, xr: Column, yr: Column, x: Column, y: Column, boundary: str) -> Column:
+    """As :func:`contains`, from a cell's rings."""
+    sides = F.transform(rings, lambda r: F.struct(r["poly"].alias("poly"), r["ring"].alias("ring"), _side(r, xr, yr, x, y).alias("inside")))
+    plain = _named(sides, lambda sides: F.exists(sides, lambda s: (s["ring"] == 0) & s["inside"] & ~F.exists(sides, lambda h: (h["poly"] == s["poly"]) & (h["ring"] > 0) & h["inside"])))
+    return plain | F.exists(rings, lambda r: _on(r["edges"], x, y)) if boundary == "closed" else plain
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, lng: str = "lng", lat: str = "lat", polys: str = "polys", boundary: str = "closed", covered: DataFrame | None = None) -> DataFrame:
+    """Join each point with the polygons that contain it: an equi-join on cells, then the edges of that cell.
+
+    A point looks for the cell that holds it at each size from the largest to the smallest that there is; a polygon's cells do not
+    overlap, so no pair comes twice. ``covered``: a :func:`cover` of the polygons that is used again.
+    """
     x, y = F.col(lng), F.col(lat)
-    left = points.withColumn("__px", F.floor(x / cell)).withColumn("__py", F.floor(y / cell))
-    right = cells(polygons, polys, cell)
-    near = (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy")) & x.between(F.col("__x0"), F.col("__x1")) & y.between(F.col("__y0"), F.col("__y1"))
-    drop = ["__px", "__py", "__cx", "__cy", "__x0", "__x1", "__y0", "__y1", "__edges", polys]
-    return left.join(right, near & contains(F.col("__edges"), x, y, boundary), how).drop(*drop)
+    right = cover(polygons, polys) if covered is None else covered
+    sizes = sorted(r[0] for r in right.select("__z").distinct().collect())  # of some sixty
+    left = points.withColumn("__pz", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
+    scale = F.pow(F.lit(2.0), F.col("__pz"))
+    left = left.withColumns({"__px": F.floor(x * scale), "__py": F.floor(y * scale)})
+    near = (F.col("__pz") == F.col("__z")) & (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy"))
+    side = F.pow(F.lit(2.0), -F.col("__z"))
+    inside = _within(F.col("__rings"), (F.col("__cx") + _AT[0]) * side, (F.col("__cy") + _AT[1]) * side, x, y, boundary)
+    return left.join(right, near & inside).drop("__pz", "__px", "__py", "__z", "__cx", "__cy", "__rings")
 
 
 def first_hit(points: DataFrame, polygons: DataFrame, key: str, order: str, fields: list[str], name: str, **kw) -> DataFrame:

@@ -197,6 +197,20 @@ def point_in_polygon(spark, sf_dir):
     return spatial.point_in_polygon(_shifted(spark, sf_dir), _squares(spark)).select("c_custkey", "feature_id")
 
 
+#: A comb of 300 teeth over the whole map, and a small square for each part.
+_COMB = "c AS (SELECT c_custkey, lat + 0.000031 AS lat, lng + 0.000017 AS lng FROM " + _points_sql("customer", "c_custkey") + "), q AS (SELECT p_partkey, lat, lng FROM " + _points_sql("part", "p_partkey") + ")"
+
+
+@query(f"WITH {_COMB} SELECT c_custkey, -1::BIGINT AS feature_id FROM c WHERE lng > -3.66 AND lng < -2.46 AND lat > 55.8 AND lat < 55.85 + 0.2 * (1 - abs((lng + 3.66) / 0.002 % 2 - 1)) UNION ALL SELECT c_custkey, p_partkey FROM c, q WHERE c.lng >= q.lng AND c.lng <= q.lng + 0.003 AND c.lat >= q.lat AND c.lat <= q.lat + 0.003")
+def adaptive_cover(spark, sf_dir):
+    teeth = F.transform(F.sequence(F.lit(600), F.lit(0)), lambda k: F.struct((-3.66 + k * 0.002).alias("x"), (55.85 + F.when(k % 2 == 1, 0.2).otherwise(0.0)).alias("y")))
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    comb = spark.range(1).select(F.lit(-1).cast("long").alias("feature_id"), F.array(F.array(F.concat(F.array(corner(-3.66, 55.8), corner(-2.46, 55.8)), teeth))).alias("polys"))
+    at = lambda dx, dy: F.struct((F.col("lng") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    squares = _points(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("feature_id"), F.array(F.array(F.array(at(0.0, 0.0), at(0.003, 0.0), at(0.003, 0.003), at(0.0, 0.003)))).alias("polys"))
+    return spatial.point_in_polygon(_shifted(spark, sf_dir), comb.unionByName(squares)).select("c_custkey", "feature_id")
+
+
 @query(f"WITH {_BOXES}, {_INSIDE} SELECT c_custkey, arg_max(school, feature_id) FILTER (sector <> 'RC') AS catchment, arg_max(school, feature_id) FILTER (sector = 'RC') AS catchment_rc, min(top_rank) AS top_school_rank FROM hits GROUP BY c_custkey")
 def catchment_collapse(spark, sf_dir):
     out = spatial.secondary_catchments(_shifted(spark, sf_dir), _squares(spark), key="c_custkey")

@@ -78,6 +78,27 @@ SQUARE = lambda w, s, e, n: [[(w, s), (e, s), (e, n), (w, n), (w, s)]]  # noqa:
 POLYS = "array<array<array<struct<x:double,y:double>>>>"
 
 
+@pytest.mark.parametrize("boundary", ["closed", "half_open"])
+def test_the_cover_gives_what_every_edge_gives(spark, boundary):
+    import math
+    import random
+
+    rng = random.Random(9)
+    ring = lambda x, y, r, n: [(x + r * rng.uniform(0.6, 1) * math.cos(2 * math.pi * k / n), y + r * rng.uniform(0.6, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    grid = [(float(x), float(y)) for x, y in ((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4))]
+    layer = [(0, [[ring(2, 2, 3, 400), ring(2, 2, 1, 60)]]), (1, [[ring(-3, 1, 1, 30)], [ring(3, -3, 0.7, 9), ring(3, -3, 0.2, 5)]]), (2, [[grid]]), (3, [[[(0.5, 0.5), (0.75, 0.5), (0.75, 0.75)]]]), (4, [[[(1.0, 1.0), (1.0, 1.0)]]]), (5, [])]
+    polygons = spark.createDataFrame(layer, "feature_id int, polys array<array<array<struct<x:double,y:double>>>>")
+    at = [(rng.uniform(-5, 6), rng.uniform(-5, 6)) for _ in range(600)] + [(x / 4, y / 4) for x in range(-2, 19) for y in range(-2, 19)] + [p for _, polys in layer for rings in polys for r in rings for p in r[:40]] + [(None, 1.0)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "id int, lng double, lat double")
+    edges = polygons.withColumn("e", F.transform("polys", lambda p: F.transform(p, spatial._edges)))
+    want = points.join(edges, spatial.contains(F.col("e"), F.col("lng"), F.col("lat"), boundary)).select("id", "feature_id")
+    for cell_edges in (12, 3):
+        covered = spatial.cover(polygons, cell_edges=cell_edges)
+        got = spatial.point_in_polygon(points, polygons, boundary=boundary, covered=covered).select("id", "feature_id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert max(r.n for r in covered.where("feature_id = 0").select(F.aggregate("__rings", F.lit(0), lambda n, r: n + F.size(r["edges"])).alias("n")).collect()) < 40
+
+
 def test_point_in_polygon_modes(spark):
     layer = spark.createDataFrame([(0, [SQUARE(0.0, 0.0, 0.1, 0.1) + SQUARE(0.04, 0.04, 0.06, 0.06)])], f"feature_id int, polys {POLYS}")
     pts = spark.createDataFrame([(1, 0.01, 0.01), (2, 0.05, 0.05), (3, 0.1, 0.05), (4, 0.0, 0.05), (5, 0.04, 0.05), (6, 0.2, 0.2)], "id int, lng double, lat double")
