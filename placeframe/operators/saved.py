@@ -6,7 +6,7 @@ import base64
 import json
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeframe.operators.search import REJECTED
@@ -124,6 +124,23 @@ class Saved:
         return base64.urlsafe_b64encode(json.dumps(state, ensure_ascii=False).encode()).decode().rstrip("=")
 
 
+def fold(commands: DataFrame) -> DataFrame:
+    """(user, id, lists): what the commands of all users leave on their lists, in the order in which a home was put on them.
+
+    commands: (user, id, list, action, ord), toggle or remove, in the order of ord. A home on Rejected is on no other list, and is
+    taken off it by being put on one. Only the commands of one user on one home hang on each other, so those are folded: an
+    aggregation on both and a fold over its sorted list; users with many homes and homes with many users are spread alike.
+    """
+    steps = commands.groupBy("user", "id").agg(F.array_sort(F.collect_list(F.struct("ord", "list", "action"))).alias("steps"))
+
+    def step(on: Column, c: Column) -> Column:
+        off = F.array_remove(on, c["list"])
+        put = F.when(c["list"] == REJECTED, F.array(c["list"])).otherwise(F.array_append(F.array_remove(on, REJECTED), c["list"]))
+        return F.when((c["action"] == "remove") | F.array_contains(on, c["list"]), off).when(c["action"] == "toggle", put).otherwise(on)
+
+    return steps.select("user", "id", F.aggregate("steps", F.array().cast("array<string>"), step).alias("lists"))
+
+
 def snapshot():
     return F.struct(F.col("address"), F.col("title"), F.col("price").cast("int").alias("price"), F.col("url"), F.col("image"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeframe.functions.numeric import beds_bucket, versus_percent
 from placeframe.functions.text import district_order
+from placeframe.session import discard, materialise
 
 #: Comparables that a size bucket needs before its median is used.
 MIN_COMPARABLES = 3
@@ -61,9 +64,50 @@ def compare(df: DataFrame, stats: DataFrame, district: str = "district", price:
     return joined.withColumn("base", base).withColumn("basis", basis).withColumn("vs_pct", versus_percent(price, F.col("base"))).drop("__key", "__w", "__median", "__d", "__b", "__n", "__size_median")
 
 
+def exact_medians(df: DataFrame, column: str, keys: list[str] | None = None, at_once: int = 100_000) -> DataFrame:
+    """The keys, n and the exact median of the non-null values of each group, however large it is.
+
+    A sketch brackets the two middle ranks of each group, one pass counts what lies below and within, and the next bracket lies
+    within that, until no bracket holds more than ``at_once`` different values; those, with their counts, are put in order. A
+    bracket that misses is widened on that side to the last one. No task holds a group.
+    """
+    keys = keys or []
+    value = F.col(column).cast("double")
+    rows = df.where(value.isNotNull()).select(*keys, value.alias("v"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    both = lambda a, b: reduce(lambda x, y: x & y, same(a, b), F.lit(True))
+    # lo and hi: all of a group lies below them, within [lo, hi] or above; below: how many lie below.
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    now = materialise(whole.withColumn("below", F.lit(0).cast("long")), "medians")
+    first, second = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+
+    def inside() -> DataFrame:
+        return rows.alias("a").join(now.alias("b"), both("a", "b") & F.col("v").between(F.col("lo"), F.col("hi"))).select(*[F.col(f"a.{k}").alias(k) for k in keys], "v", "n", "lo", "hi", "below")
+
+    while True:
+        sketch = inside().groupBy(*keys, "n", "lo", "hi", "below").agg(F.approx_count_distinct("v").alias("different"), F.count(F.lit(1)).alias("within"), F.percentile_approx("v", [q / 100 for q in range(101)], 1000).alias("hundredths"))
+        sketch = materialise(sketch, "medians-sketch")
+        if sketch.where(F.col("different") > at_once).isEmpty():
+            break
+        near = lambda rank, more: F.get("hundredths", F.greatest(F.lit(0), F.least(F.lit(100), (F.floor(100 * (rank - F.col("below")) / F.col("within")) + more).cast("int"))))
+        many = F.col("different") > at_once
+        tight = sketch.select(*keys, "n", "lo", "hi", "below", F.when(many, near(first, -2)).otherwise(F.col("lo")).alias("a"), F.when(many, near(second, 3)).otherwise(F.col("hi")).alias("b"))
+        joined = rows.alias("a").join(tight.alias("b"), both("a", "b")).select(*[F.col(f"a.{k}").alias(k) for k in keys], "v", "n", "lo", "hi", F.col("b.a").alias("x"), F.col("b.b").alias("y"))
+        passed = joined.groupBy(*keys, "n", "lo", "hi", "x", "y").agg(F.count_if(F.col("v") < F.col("x")).alias("under"), F.count_if(F.col("v") <= F.col("y")).alias("upto"), F.count_if(F.col("v") < F.col("lo")).alias("were"))
+        low, high = F.col("under") <= first, F.col("upto") > second
+        after = passed.select(*keys, "n", F.when(low, F.col("x")).otherwise(F.col("lo")).alias("lo"), F.when(high, F.col("y")).otherwise(F.col("hi")).alias("hi"), F.when(low, F.col("under")).otherwise(F.col("were")).alias("below"))
+        now = materialise(after, "medians")
+        discard(sketch)
+    counted = inside().groupBy(*keys, "n", "below", "v").agg(F.count(F.lit(1)).alias("times"))
+    w = Window.partitionBy(*keys).orderBy("v")  # at most ``at_once`` values
+    upto = counted.withColumn("upto", F.col("below") + F.sum("times").over(w))
+    middle = upto.groupBy(*keys, "n").agg(F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > second, F.col("v"))).alias("b"))
+    return middle.select(*keys, "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
 def global_median(df: DataFrame, column: str) -> DataFrame:
     """One row: the median, 0 of nothing."""
-    return df.agg(F.coalesce(F.median(column), F.lit(0.0)).alias("median"))
+    return exact_medians(df, column).agg(F.coalesce(F.max("median"), F.lit(0.0)).alias("median"))
 
 
 def facet_counts(df: DataFrame, *columns: str) -> DataFrame:

@@ -263,5 +263,42 @@ def grid_clusters(spark, sf_dir):
     return stats.clusters(_points(table(spark, sf_dir, "customer"), "c_custkey"), cell=0.05).select("cy", "cx", "n")
 
 
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, median(l_extendedprice)::DOUBLE AS median FROM lineitem GROUP BY ALL")
+def exact_group_medians(spark, sf_dir):
+    return stats.exact_medians(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], at_once=500)
+
+
+#: Searches: with long tokens, with a short one beside, with short ones alone, beyond ASCII, and for what is nowhere.
+_SEARCHES = ("the tion, ING", "erble an", "e n", "éau QUE", "schung", "zzzz the", "###")
+
+
+@query(f"WITH s(search, words) AS (VALUES {', '.join(f'({n}, {search.tokens(q)})' for n, q in enumerate(_SEARCHES))}) SELECT search::INT AS search, doc_id AS id FROM s, documents WHERE text IS NOT NULL AND len(list_filter(words, lambda w: NOT contains(lower(text), w))) = 0")
+def text_index_search(spark, sf_dir):
+    from placeframe.operators import textindex
+
+    docs = table(spark, sf_dir, "documents")
+    return textindex.search(docs, textindex.index(docs, "doc_id", "text"), list(_SEARCHES), "doc_id", "text")
+
+
+#: Ten sets of filters over orders: by status, priority, year and band of price.
+_FACETS = {"status": ("o_orderstatus", "o_orderstatus"), "priority": ("o_orderpriority", "o_orderpriority"), "year": ("CAST(year(o_orderdate) AS STRING)", "year(o_orderdate)::VARCHAR"), "band": ("CAST(CAST(floor(o_totalprice / 50000) AS INT) AS STRING)", "floor(o_totalprice / 50000)::INT::VARCHAR")}
+_FILTERS = [{}, {"status": ["F"]}, {"status": ["F", "O"]}, {"priority": ["1-URGENT", "5-LOW"]}, {"year": ["1997"]}, {"year": ["1996", "1997"], "status": ["P"]}, {"band": ["0", "1", "2"], "priority": ["2-HIGH"]}, {"band": ["3"], "year": ["1995", "1998"], "status": ["O"]}, {"status": ["none"]}, {"status": ["F"], "priority": ["5-LOW"], "year": ["1999"], "band": ["4", "5"]}]
+
+
+def _facet_sql() -> str:
+    rows = "r AS (SELECT o_orderkey, " + ", ".join(f"{e} AS {c}" for c, (_, e) in _FACETS.items()) + " FROM orders)"
+    sets = [f"SELECT {n}::INT AS filter, * FROM r WHERE " + (" AND ".join(f"{c} IN ({', '.join(repr(v) for v in values)})" for c, values in f.items()) or "true") for n, f in enumerate(_FILTERS)]
+    counted = [f"SELECT filter, '{c}' AS facet, {c} AS value, count(*) AS n FROM k GROUP BY ALL" for c in _FACETS]
+    return f"WITH {rows}, k AS ({' UNION ALL '.join(sets)}) {' UNION ALL '.join(counted)}"
+
+
+@query(_facet_sql())
+def facet_bitmaps(spark, sf_dir):
+    from placeframe.operators import bitmaps
+
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *[f"{e} AS {c}" for c, (e, _) in _FACETS.items()])
+    return bitmaps.counts(bitmaps.index(rows, "o_orderkey", list(_FACETS)), _FILTERS, list(_FACETS))
+
+
 # More queries, by subject; each module registers its own.
 from placeframe.query_sets import days, homes, layers, pages, saved_lists, searches, texts, timetables  # noqa: E402, F401

@@ -127,3 +127,16 @@ _STATES = [({}, "Shortlist,Viewing,Rejected"), ({"searches": [], "lists": [{"nam
 def saved_states(spark, sf_dir):
     got = [saved.from_state(spark, s) for s, _ in _STATES]
     return spark.createDataFrame([(i, ",".join(s.names()), s.items.count(), s.searches.count()) for i, s in enumerate(got)], "i int, names string, items long, searches long")
+
+
+#: A user's events are commands on one of forty homes: every seventh takes off, the others put on a list or take off it.
+_COMMANDS = "c AS (SELECT user_id AS u, event_id % 40 AS id, row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts, event_id) AS n, CASE event_type WHEN 'click' THEN 'Shortlist' WHEN 'view' THEN 'Viewing' ELSE 'Rejected' END AS list, event_id % 7 = 0 AS off FROM events)"
+_PUT = "CASE WHEN off OR list_contains(lists, list) THEN list_filter(lists, lambda x: x <> list) WHEN list = 'Rejected' THEN ['Rejected'] ELSE list_append(list_filter(lists, lambda x: x <> 'Rejected'), list) END"
+
+
+@query(f"WITH RECURSIVE {_COMMANDS}, f AS (SELECT u, id, 0::BIGINT AS n, []::VARCHAR[] AS lists FROM c WHERE n = 1 UNION ALL SELECT f.u, f.id, c.n, {_PUT} FROM f JOIN c ON c.u = f.u AND c.id = f.id AND c.n = f.n + 1) SELECT u AS user_id, id, array_to_string(arg_max(lists, n), ',') AS lists FROM f GROUP BY u, id")
+def saved_fold(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    name = F.when(F.col("event_type") == "click", "Shortlist").when(F.col("event_type") == "view", "Viewing").otherwise("Rejected")
+    commands = e.select(F.col("user_id").alias("user"), (F.col("event_id") % 40).alias("id"), name.alias("list"), F.when(F.col("event_id") % 7 == 0, "remove").otherwise("toggle").alias("action"), F.struct("ts", "event_id").alias("ord"))
+    return saved.fold(commands).select(F.col("user").alias("user_id"), "id", F.concat_ws(",", "lists").alias("lists"))

@@ -299,6 +299,63 @@ def test_lines_simplify(spark):
     assert {r.chain: [(q.x, q.y) for q in r.points] for r in lines.simplified(df, 0.3).collect()} == {i: plain_thin(x, 0.3) for i, x in enumerate(own)}
 
 
+def test_exact_medians_in_narrow_brackets(spark):
+    import random
+    from statistics import median
+
+    rng = random.Random(5)
+    groups = {"a": [rng.random() for _ in range(3001)], "b": [float(rng.randrange(5)) for _ in range(900)], "c": [1.0, 2.0], "d": [7.0] * 50, "e": [0.0] * 400 + [rng.random() for _ in range(401)], None: [rng.gauss(0, 1e6) for _ in range(800)]}
+    df = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values] + [("a", None), ("f", None)], "k string, v double").repartition(4)
+    for at_once in (20, 100_000):
+        assert {r.k: (r.n, r.median) for r in stats.exact_medians(df, "v", ["k"], at_once).collect()} == {k: (len(v), median(v)) for k, v in groups.items()}
+    everything = [v for values in groups.values() for v in values]
+    assert stats.exact_medians(df, "v", at_once=30).first().median == median(everything) and stats.global_median(df, "v").first().median == median(everything)
+    assert stats.global_median(df.where("k = 'f'"), "v").first().median == 0.0 and stats.exact_medians(df.limit(0), "v", ["k"]).count() == 0
+
+
+def test_text_index_looks_at_few_and_misses_none(spark):
+    from placeframe.operators import textindex
+
+    rows = [(n, f"home {n} on Mill Lane {'near the RIVER' if n % 50 == 0 else ''} {'é' * (n % 3)}") for n in range(9000)] + [(-5, "river mill"), (10_000, None), (10_001, ""), (10_002, "mi ll")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    postings = textindex.index(df, "k", "t")
+    searches = ["river", "MILL, river", "éé", "home 77", "é river", "nothing like it", ""]
+    want = {(n, k) for n, q in enumerate(searches) for k, t in rows if t is not None and all(w in t.lower() for w in search.tokens(q))}
+    assert {tuple(r) for r in textindex.search(df, postings, searches, "k", "t").collect()} == want
+    looked = {r.search: r["count"] for r in textindex.candidates(postings, searches).groupBy("search").count().collect()}
+    assert looked[0] == 181 and looked.get(5, 0) == 0 and max(r.n for r in postings.select(F.size("ids").alias("n")).collect()) <= textindex.BUCKET
+
+
+def test_facets_from_bitmaps(spark):
+    from placeframe.operators import bitmaps
+
+    rows = [(n, "abc"[n % 3], str(n % 7) if n % 11 else None, "" if n % 2 else "x") for n in range(0, 70_000, 17)]
+    df = spark.createDataFrame(rows, "n long, a string, b string, c string")
+    filters = [{}, {"a": ["a", "b"]}, {"a": ["c"], "b": ["1", "2"]}, {"c": ["x"], "a": ["a"]}, {"a": ["none"]}]
+    want = {}
+    for k, f in enumerate(filters):
+        for r in rows:
+            own = dict(zip("abc", r[1:], strict=True))
+            if all(own[c] in values for c, values in f.items()):
+                for c in "abc":
+                    if own[c]:
+                        want[k, c, own[c]] = want.get((k, c, own[c]), 0) + 1
+    assert {(r.filter, r.facet, r.value): r.n for r in bitmaps.counts(bitmaps.index(df, "n", ["a", "b", "c"]), filters, ["a", "b", "c"]).collect()} == want
+
+
+def test_commands_of_many_users_fold(spark):
+    rows = [("u", "h", "Shortlist", "toggle", 1), ("u", "h", "Viewing", "toggle", 2), ("u", "h", "Rejected", "toggle", 3), ("v", "h", "Shortlist", "toggle", 1), ("v", "h", "Shortlist", "toggle", 2), ("u", "i", "Rejected", "toggle", 4), ("u", "i", "Viewing", "toggle", 5), ("w", "h", "Viewing", "remove", 1), ("w", "i", "Viewing", "toggle", 9), ("w", "i", "Shortlist", "toggle", 3)]
+    got = {(r.user, r.id): r.lists for r in saved.fold(spark.createDataFrame(rows, "user string, id string, list string, action string, ord int").repartition(3)).collect()}
+    assert got == {("u", "h"): ["Rejected"], ("v", "h"): [], ("u", "i"): ["Viewing"], ("w", "h"): [], ("w", "i"): ["Shortlist", "Viewing"]}
+
+
+def test_many_homes_of_a_postcode(spark):
+    """Three thousand homes of one postcode; pairs at one number, and a chain of relists at another."""
+    rows = [home(str(1000 + n), f"{1 + n // 2} High Street") for n in range(3000)] + [home(str(9000 + n), "5000 High Street") for n in range(6)]
+    got = resolve(spark, *rows)
+    assert sorted(map(int, got)) == [*range(1001, 4000, 2), 9005] and len(got["9005"].price_history) >= 1
+
+
 def test_saved_lists(spark):
     homes = listing(spark, {"id": "a", "title": "A"}, {"id": "b"}).withColumns({"url": F.lit("u"), "image": F.lit("i")})
     s = saved.from_state(spark, None)
