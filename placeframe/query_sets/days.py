@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import io
-import json
 import zipfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,12 +100,18 @@ def _put(spark: SparkSession, name: str, data: bytes) -> str:
     return write_file(spark, f"{fresh_path(spark, 'file')}/{name}", data)
 
 
-@query(literal({"what": "VARCHAR", "value": "VARCHAR"}, [("config", "0:Hill:12"), ("config", "1:Shore:9"), ("json", "2"), ("missing", "none"), ("broken", "none"), ("empty", "0")]))
+@query("SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INT - 1 AS ord, c_name AS name, (c_custkey % 60)::INT AS minutes FROM customer")
 def configuration_files(spark, sf_dir):
-    good = _put(spark, "a.json", json.dumps({"stations": [{"name": "Hill", "minutes": 12}, {"name": "Shore", "minutes": 9}], "x": 1}).encode())
-    rows = [("config", f"{r.ord}:{r.name}:{r.minutes}") for r in files.read_config(spark, good, "stations", "name string, minutes int").collect()]
-    rows += [("json", str(len(files.read_json_or(spark, good, {})))), ("missing", files.read_json_or(spark, good + "x", "none")), ("broken", files.read_json_or(spark, _put(spark, "b.json", b"{broken"), "none")), ("empty", str(files.read_or_empty(spark, good + "y", "id int").count()))]
-    return spark.createDataFrame(rows, "what string, value string")
+    """A configuration of each nation's customers as stations, written and read; missing and broken ones are the caller's default."""
+    c = table(spark, sf_dir, "customer")
+    one = F.struct("c_custkey", F.struct(F.col("c_name").alias("name"), (F.col("c_custkey") % 60).alias("minutes")).alias("s"))
+    docs = c.groupBy(F.col("c_nationkey").alias("nation")).agg(F.to_json(F.struct(F.lit(1).alias("x"), F.transform(F.array_sort(F.collect_list(one)), lambda v: v["s"]).alias("stations"))).alias("value"))
+    path = fresh_path(spark, "configuration")
+    sinks.write_documents(docs, path, "nation")
+    if files.read_json_or(spark, path + "/none", "none") != "none" or files.read_json_or(spark, _put(spark, "b.json", b"{broken"), "none") != "none" or files.read_or_empty(spark, path + "/none", "id int").count():
+        raise ValueError("what is not there has no rows")
+    per = [files.read_config(spark, f"{path}/nation={r[0]}", "stations", "name string, minutes int").select(F.lit(r[0]).alias("nation"), "ord", "name", "minutes") for r in docs.select("nation").collect()]  # 25 nations
+    return reduce(DataFrame.unionByName, per)
 
 
 def _zip(**members: str) -> bytes:
@@ -134,57 +139,71 @@ def certificate_files(spark, sf_dir):
     return files.certificate_zip(spark, path).select("postcode", "address1", "floor_area", "band", "date")
 
 
-@query(literal({"feature_id": "INT", "name": "VARCHAR", "polygons": "INT", "rings": "INT", "x": "DOUBLE"}, [(0, "a", 1, 2, 0.0), (1, "b", 2, 1, 5.0), (2, "c", None, None, None)]))
+_CORNER = "round_even(-3.4 + (k % 1000) / 7000.0, 5)::DOUBLE"
+
+
+@query(f"SELECT c_name AS name, CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END::INT AS polygons, CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 END::INT AS rings, CASE WHEN k % 3 < 2 THEN {_CORNER} END AS x FROM (SELECT c_custkey AS k, c_name FROM customer)")
 def feature_files(spark, sf_dir):
-    ring = lambda x: [[x, 0.0], [x + 1, 0.0], [x + 1, 1.0], [x, 0.0]]
-    shapes = [("a", "Polygon", [ring(0.0), ring(0.2)]), ("b", "MultiPolygon", [[ring(5.0)], [ring(7.0)]]), ("c", "Point", [1.0, 2.0])]
-    doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": n}, "geometry": {"type": t, "coordinates": c}} for n, t, c in shapes]}
-    f = files.read_features(spark, _put(spark, "f.geojson", json.dumps(doc).encode()), "name:string")
+    """A layer of polygons, multi-polygons and points in a document a nation, made as text and read."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.bround(-3.4 + (F.col("c_custkey") % 1000) / 7000.0, 5).alias("x"))
+    ring = lambda dx: F.array(*[F.array(F.col("x") + dx + u, F.lit(55.0) + v) for u, v in ((0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.0))])
+    kind = F.get(F.array(F.lit("Polygon"), F.lit("MultiPolygon"), F.lit("Point")), (F.col("k") % 3).cast("int"))
+    coords = F.when(F.col("k") % 3 == 0, F.to_json(F.array(ring(0.0), ring(0.02)))).when(F.col("k") % 3 == 1, F.to_json(F.array(F.array(ring(0.0)), F.array(ring(0.5))))).otherwise("[1.0, 2.0]")
+    feature = F.concat(F.lit('{"type": "Feature", "properties": '), F.to_json(F.struct("name")), F.lit(', "geometry": {"type": "'), kind, F.lit('", "coordinates": '), coords, F.lit("}}"))
+    docs = c.groupBy("nation").agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.concat_ws(", ", F.collect_list(feature)), F.lit("]}")).alias("value"))
+    path = fresh_path(spark, "features")
+    sinks.write_documents(docs, path, "nation")
+    f = files.read_features(spark, f"{path}/nation=*", "name:string")
     first = F.get("polys", F.lit(0))
     some = lambda c: F.when(F.col("polys").isNotNull(), c)
-    return f.select("feature_id", "name", some(F.size("polys")).alias("polygons"), some(F.size(first)).alias("rings"), some(F.get(F.get(first, F.lit(0)), F.lit(0))["x"]).alias("x"))
+    return f.select("name", some(F.size("polys")).alias("polygons"), some(F.size(first)).alias("rings"), some(F.get(F.get(first, F.lit(0)), F.lit(0))["x"]).alias("x"))
 
 
-@query(literal({"ord": "INT", "name": "VARCHAR", "lines": "INT"}, [(0, "Tram", 1), (1, "Stop", 0)]))
+@query("SELECT o_orderkey::VARCHAR AS name, count(*)::INT AS lines FROM orders JOIN (SELECT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey WHERE l_linenumber % 3 <> 0 GROUP BY 1 UNION ALL SELECT 'Stop ' || p_partkey, 0 FROM part")
 def element_files(spark, sf_dir):
+    """An order is a relation, its lines are ways, every third of which is a platform; parts are nodes. Fifty documents."""
     from placeframe.functions.text import relation_lines
 
-    doc = {"elements": [{"type": "relation", "tags": {"name": "Tram"}, "members": [{"type": "way", "role": "", "geometry": [{"lat": 1.0, "lon": 2.0}, {"lat": 1.0, "lon": 3.0}]}, {"type": "way", "role": "platform", "geometry": [{"lat": 1.0, "lon": 2.0}]}]}, {"type": "node", "tags": {"name": "Stop"}, "lat": 1.0, "lon": 2.0}]}
-    e = files.read_elements(spark, _put(spark, "e.json", json.dumps(doc).encode()))
-    return e.select("ord", F.col("tags")["name"].alias("name"), F.coalesce(F.size(relation_lines("members")), F.lit(0)).alias("lines"))
+    at = lambda x: F.struct(F.lit(1.0).alias("lat"), x.cast("double").alias("lon"))
+    way = F.struct(F.lit("way").alias("type"), F.when(F.col("l_linenumber") % 3 == 0, "platform").otherwise("").alias("role"), F.array(at(F.col("l_partkey")), at(F.col("l_partkey") + 1)).alias("geometry"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    relations = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(way).alias("members")).where(F.exists("members", lambda m: m["role"] == ""))  # seven lines
+    relations = relations.select("k", F.struct(F.lit("relation").alias("type"), F.struct(F.col("k").cast("string").alias("name")).alias("tags"), "members").alias("e")).select("k", F.to_json("e").alias("e"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.to_json(F.struct(F.lit("node").alias("type"), F.struct(F.concat(F.lit("Stop "), F.col("p_partkey").cast("string")).alias("name")).alias("tags"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))).alias("e"))
+    docs = relations.unionByName(nodes).groupBy((F.col("k") % 50).alias("part")).agg(F.concat(F.lit('{"elements": ['), F.concat_ws(", ", F.collect_list("e")), F.lit("]}")).alias("value"))
+    path = fresh_path(spark, "elements")
+    sinks.write_documents(docs, path, "part")
+    e = files.read_elements(spark, f"{path}/part=*")
+    return e.select(F.col("tags")["name"].alias("name"), F.coalesce(F.size(relation_lines("members")), F.lit(0)).alias("lines"))
 
 
-@query(literal({"name": "VARCHAR", "kind": "VARCHAR", "x": "DOUBLE", "hidden": "BOOLEAN"}, [("a", "MultiPolygon", 0.12346, False), ("b", "Point", -3.1, False), ("c", "MultiLineString", 1.0, False)]))
+@query(f"WITH c AS (SELECT c_custkey AS k, c_name AS name FROM customer) SELECT 'polygon' AS layer, name, 1::INT AS polygons, {_CORNER} AS x FROM c UNION ALL SELECT 'point', name, NULL, NULL FROM c")
 def geojson_documents(spark, sf_dir):
-    poly = spark.createDataFrame([("a", 1, [[[(0.123456789, 0.0), (1.0, 0.0), (1.0, 1.0), (0.123456789, 0.0)]]])], f"name string, _secret int, polys {POLYS}")
-    point = spark.createDataFrame([("b", -3.1, 55.9)], "name string, x double, y double")
-    line = spark.createDataFrame([("c", [[(1.0, 2.0), (3.0, 4.0)]])], "name string, lines array<array<struct<x:double,y:double>>>")
-    rows = []
-    for doc in (sinks.feature_collection(poly), sinks.feature_collection(point, "points"), sinks.feature_collection(line, "lines")):
-        path = fresh_path(spark, "document")
-        sinks.write_document(doc, path)
-        f = files.read_json_or(spark, path, {})["features"][0]
-        x = f["geometry"]["coordinates"]
-        while isinstance(x, list):
-            x = x[0]
-        rows.append((f["properties"]["name"], f["geometry"]["type"], float(x), "_secret" in f["properties"]))
-    return spark.createDataFrame(rows, "name string, kind string, x double, hidden boolean")
-
-
-@query(literal({"what": "VARCHAR", "value": "BOOLEAN"}, [("step", True), ("error kept", True), ("source noted", True), ("failed source absent", True), ("stale by error", True), ("fresh", False), ("stale by age", True), ("due", True), ("due again", True), ("not due", False), ("download fresh", True), ("download old", False), ("links", True)]))
+    """Two layers of the customers, written as a document a nation without hidden columns, and read."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), k.alias("_secret"), (-3.4 + (k % 1000) / 7000.0).alias("x"), F.lit(55.123456789).alias("y"))
+    at = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    squares = c.withColumn("polys", F.array(F.array(F.array(at(0.0, 0.0), at(0.1, 0.0), at(0.1, 0.1), at(0.0, 0.0))))).drop("x", "y")
+    out = []
+    for layer, docs in (("polygon", sinks.feature_collection(squares, by="nation")), ("point", sinks.feature_collection(c, "points", by="nation"))):
+        path = fresh_path(spark, "documents")
+        sinks.write_documents(docs, path, "nation")
+        f = files.read_features(spark, f"{path}/nation=*", "name:string, _secret:string").where("_secret is null")
+        out.append(f.select(F.lit(layer).alias("layer"), "name", F.when(F.col("polys").isNotNull(), F.size("polys")).alias("polygons"), F.get(F.get(F.get("polys", F.lit(0)), F.lit(0)), F.lit(0))["x"].alias("x")))
+    return out[0].unionByName(out[1])
+
+
+@query("WITH t AS (SELECT 'customer' AS step, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'nowhere', NULL) SELECT step, n, n IS NULL AS failed, CASE WHEN n IS NOT NULL THEN strftime(date_trunc('minute', (SELECT max(ts) FROM events)), '%Y-%m-%dT%H:%MZ') END AS at, true AS stale, (SELECT max(ts) - min(ts) >= INTERVAL 7 DAY FROM events) AS due FROM t")
 def run_metadata(spark, sf_dir):
-    at = dt.datetime(2026, 9, 1, 6, 0)
-    run, clean = sinks.Run(at), sinks.Run(at)
-    done = run.step("zones", lambda: 5)
-    run.step("routes", lambda: 1 / 0)
-    said = json.loads(run.document())
-    html = '<a href="a.zip">x</a><a href="non-domestic.zip">y</a><a href=\'b.ZIP?x=1\'>z</a>'
-    rows = [
-        ("step", done == 5), ("error kept", said["errors"]["routes"].startswith("ZeroDivisionError")), ("source noted", said["sources"] == {"zones": "2026-09-01T06:00Z"}), ("failed source absent", "routes" not in said["sources"]), ("stale by error", run.stale(at)), ("fresh", clean.stale(at + dt.timedelta(days=1))),
-        ("stale by age", clean.stale(at + dt.timedelta(days=3))), ("due", sinks.due(None, at)), ("due again", sinks.due("2026-08-25T05:00:00", at)), ("not due", sinks.due("2026-08-28T00:00:00", at)), ("download fresh", files.is_fresh(1000.0, 6, 1000.0 + 5 * 86_400)), ("download old", files.is_fresh(1000.0, 6, 1000.0 + 7 * 86_400)),
-        ("links", files.certificate_links(html) == ["a.zip", "b.ZIP?x=1"]),
-    ]
-    return spark.createDataFrame(rows, "what string, value boolean")
+    """Three steps of a run as of the last event, one of which fails; its document is written and read."""
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    run = sinks.Run(last)
+    counts = {name: run.step(name, lambda name=name: table(spark, sf_dir, name).count()) for name in ("customer", "orders", "nowhere")}
+    path = fresh_path(spark, "meta")
+    sinks.write_document(spark.createDataFrame([(run.document(),)], "value string"), path)
+    said = files.read_json_or(spark, path, {})
+    rows = [(name, n, name in said["errors"], said["sources"].get(name), run.stale(last), sinks.due(first.isoformat(), last)) for name, n in counts.items()]
+    return spark.createDataFrame(rows, "step string, n long, failed boolean, at string, stale boolean, due boolean")
 
 
 @query("SELECT o_orderkey AS id, round_even((o_orderkey % 1000) / 7000.0, 5)::DOUBLE AS x, round_even(55 + (o_orderkey % 777) / 7770.7, 5)::DOUBLE AS y FROM orders")
@@ -195,8 +214,10 @@ def rounded_points(spark, sf_dir):
     return o.select("id", p["x"].alias("x"), p["y"].alias("y"))
 
 
-@query(literal({"n": "BIGINT", "ids": "BIGINT", "in_area": "BOOLEAN", "same": "BOOLEAN"}, [(220, 220, True, True)]))
+@query("SELECT count(*) AS n, count(*) AS ids, true AS in_area, true AS same FROM part")
 def synthetic_listings(spark, sf_dir):
-    a, b = files.synthetic_listings(spark), files.synthetic_listings(spark)
+    """As many as there are parts."""
+    n = table(spark, sf_dir, "part").count()
+    a, b = files.synthetic_listings(spark, n), files.synthetic_listings(spark, n)
     inside = F.col("lat").between(55.85, 56.0) & F.col("lng").between(-3.4, -3.0) & F.col("bedrooms").between(2, 5)
     return a.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.min(inside).alias("in_area")).withColumn("same", F.lit(a.exceptAll(b).count() == 0))

@@ -233,11 +233,12 @@ def first_zone(spark, sf_dir):
     return spatial.first_hit(p, zones, "k", "feature_id", ["dz"], "simd").select("k", "simd.dz")
 
 
-@query(literal({"layer": "VARCHAR", "name": "VARCHAR"}, [("zone", "zone 3"), ("zone", "zone 4")]))
+@query(f"SELECT 'zone ' || k AS name FROM ({_POINTS}) WHERE -3.05 >= lng AND -3.05 < lng + 0.4 AND 55.9 >= lat AND 55.9 < lat + 0.3")
 def layers_at_point(spark, sf_dir):
-    ring = lambda w, e: [(w, 55.6), (e, 55.6), (e, 56.3), (w, 56.3), (w, 55.6)]
-    zones = spark.createDataFrame([(i, f"zone {i}", [[ring(-3.9 + i * 0.2, -3.9 + i * 0.2 + 0.3)]]) for i in range(8)], "feature_id int, name string, polys array<array<array<struct<x:double,y:double>>>>")
-    return spatial.at_point(zones, -3.05, 55.9, boundary="half_open").select(F.lit("zone").alias("layer"), "name")
+    """A zone per customer."""
+    at = lambda dx, dy: F.struct((F.col("lng") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    zones = points(spark, sf_dir).select(F.concat(F.lit("zone "), F.col("k").cast("string")).alias("name"), F.array(F.array(F.array(at(0.0, 0.0), at(0.4, 0.0), at(0.4, 0.3), at(0.0, 0.3)))).alias("polys"))
+    return spatial.at_point(zones, -3.05, 55.9, boundary="half_open").select("name")
 
 
 @query("SELECT id, price FROM (SELECT p_partkey::VARCHAR AS id, floor(p_retailprice)::INT AS price, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey DESC) AS r FROM part) WHERE r = 1")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeframe.functions import html as H
+from placeframe.functions import variants as V
+from placeframe.functions.dates import auction_day, dates_in
 from placeframe.registry import answers, cases, literal, query, table, today
 from placeframe.session import ship_package
 from placeframe.sources import remote
@@ -80,15 +82,29 @@ def parse_lot_pages(spark, sf_dir):
     return out.select(key.alias("id"), "lot", "address", "price", F.col("auction.date").cast("string").alias("day"), F.col("auction.basis").alias("basis"), "title", F.concat_ws(",", F.coalesce("flags", F.array().cast("array<string>"))).alias("flags"), "kind", "not_a_home", F.col("plot_acres").alias("acres"))
 
 
-_TEXTS = [
-    ("The auction is on 12 September 2026, viewing 3rd Oct 2026", "2026-09-12"), ("Viewing 2 Sep 2026; bidding ends 5/9/2026", "2026-09-05"), ("Built 1 Jan 2020; open 31/08/2026", "2026-08-31"), ("no date", None), ("31 February 2027", None), ("Sale date: 30.11.2026", "2026-11-30"),
-    ("Auction on 1 May 2026, then 2 Oct 2026", "2026-10-02"),
-]
+#: Sentences that follow every text of documents, by id.
+_TEXTS = ("The auction is on 12 September 2026, viewing 3rd Oct 2026", "Viewing 2 Sep 2026; bidding ends 5/9/2026", "Built 1 Jan 2020; open 31/08/2026", "no date", "31 February 2027", "Sale date: 30.11.2026", "Auction on 1 May 2026, then 2 Oct 2026")
+_MONTHS = "(\\d{1,2})(?:st|nd|rd|th)?\\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\\w*,?\\s+(\\d{4})"
+_SLASHES = "\\b(\\d{1,2})[/.](\\d{1,2})[/.](20\\d{2})\\b"
 
 
-@query(literal({"i": "INT", "day": "VARCHAR", "dates": "INT"}, [(0, "2026-09-12", 2), (1, "2026-09-05", 2), (2, "2026-08-31", 2), (3, None, 0), (4, None, 0), (5, "2026-11-30", 1), (6, "2026-10-02", 2)]))
+def _found(pattern: str) -> str:
+    """SQL: each match with the length of what stands before it."""
+    return f"SELECT doc_id, t, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS pos FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM d)"
+
+
+_DATES = f"""d AS (SELECT doc_id, coalesce(text, '') || ' ' || CASE doc_id % 7 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TEXTS))} END AS t FROM documents),
+f AS (SELECT doc_id, t, pos, try_cast(regexp_extract(m, '(?i){_MONTHS}', 3) || '-' || lpad(((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(regexp_extract(m, '(?i){_MONTHS}', 2))) + 2) // 3)::VARCHAR, 2, '0') || '-' || lpad(regexp_extract(m, '(?i){_MONTHS}', 1), 2, '0') AS DATE) AS day FROM ({_found('(?i)' + _MONTHS)})
+  UNION ALL SELECT doc_id, t, pos, try_cast(regexp_extract(m, '{_SLASHES}', 3) || '-' || lpad(regexp_extract(m, '{_SLASHES}', 2), 2, '0') || '-' || lpad(regexp_extract(m, '{_SLASHES}', 1), 2, '0') AS DATE) FROM ({_found(_SLASHES)})),
+g AS (SELECT *, day >= DATE '2026-08-31' AS coming, regexp_matches(substr(t, greatest(pos - 80, 0)::BIGINT + 1, least(pos, 80)::BIGINT), '(?i)auction|sale date|bidding|ends?\\b') AS told FROM f WHERE day IS NOT NULL)"""
+
+
+@query(f"WITH {_DATES} SELECT d.doc_id, coalesce(arg_min(day, pos) FILTER (coming AND told), arg_min(day, pos) FILTER (coming)) AS day, count(day)::INT AS dates FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id")
 def auction_days(spark, sf_dir):
-    return spark.createDataFrame([(i, H.auction_day(t, "2026-09-01"), len(H.dates_in(t))) for i, (t, _) in enumerate(_TEXTS)], "i int, day string, dates int")
+    which = F.col("doc_id") % len(_TEXTS)
+    said = F.get(F.array(*map(F.lit, _TEXTS)), which.cast("int"))
+    df = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said).alias("t"))
+    return df.select("doc_id", auction_day(F.col("t"), today()).alias("day"), F.size(dates_in(F.col("t"))).alias("dates"))
 
 
 # ---------------------------------------------------------------- links and cards
@@ -143,13 +159,23 @@ def lot_cards(spark, sf_dir):
 # ---------------------------------------------------------------- values within pages, crawls
 
 
-@query(literal({"i": "INT", "name": "VARCHAR", "number": "DOUBLE", "m2": "INT", "order_": "VARCHAR"}, [(0, "x", 3.0, 139, "a,b,c"), (1, "y", None, 80, "a"), (2, None, 1200.5, None, "a,c")]))
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'x' || p_size WHEN 1 THEN 'y' END AS name, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 2 THEN 1200.5 END::DOUBLE AS number, CASE p_partkey % 4 WHEN 0 THEN 'a,b,c' WHEN 1 THEN 'a' WHEN 2 THEN 'a,c' END AS ids FROM part")
 def json_values(spark, sf_dir):
-    docs = [
-        ({"id": "a", "NAME": "x", "beds": "3 rooms", "in": [{"id": "b"}, {"deep": {"id": "c"}}]}, {"value": 1500, "unitCode": "FTK"}), ({"id": "a", "Title": "y", "beds": "none"}, "80 m2"), ({"id": "a", "name": "", "beds": "1,200.5", "z": {"id": "c"}}, {"value": 10}),
-    ]
-    rows = [(i, H.named(d, "name", "title"), H.named_number(d, "beds"), H.square_metres(a), ",".join(o["id"] for o in H.objects(d) if "id" in o)) for i, (d, a) in enumerate(docs)]
-    return spark.createDataFrame(rows, "i int, name string, number double, m2 int, order_ string")
+    """A JSON text per part, in four shapes, one of them broken."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("n"))
+    shape = F.col("id") % 4
+    text = F.when(shape == 0, F.concat(F.lit('{"id": "a", "NAME": "x'), "n", F.lit('", "beds": "'), "n", F.lit(' rooms", "in": [{"id": "b"}, {"deep": {"id": "c", "name": "z"}}]}')))
+    text = text.when(shape == 1, '{"id": "a", "Title": "y", "beds": "none"}').when(shape == 2, '{"id": "a", "name": "", "beds": "1,200.5", "z": {"id": "c"}}').otherwise('{"id": oops')
+    found = V.values(p.withColumn("text", text), "id", "text")
+    name, beds, ids = V.named(found, "name", "title").select("id", F.col("value").alias("name")), V.named(found, "beds").select("id", "number"), V.in_order(found, "id").select("id", F.concat_ws(",", "values").alias("ids"))
+    return p.select("id").join(name, "id", "left").join(beds, "id", "left").join(ids, "id", "left")
+
+
+@query("SELECT event_id, nullif(regexp_extract(props, '\\{\"k\": (\\d+)\\}', 1), '')::DOUBLE AS k FROM events")
+def event_properties(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    found = V.values(e, "event_id", "props")
+    return e.select("event_id").join(V.named(found, "k").select(F.col("id").alias("event_id"), F.col("number").alias("k")), "event_id", "left")
 
 
 @query(literal({"kind": "VARCHAR", "value": "VARCHAR"}, [("linked", '{"a": 1}'), ("linked", '[{"b": 2}]'), ("state", '{"c": 3}'), ("state", '{"d": 4}'), ("state", '{"e": {"f": 5}}')]))

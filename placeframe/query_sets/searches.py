@@ -5,7 +5,7 @@ The columns of a listing are expressions that both SQL dialects read alike; each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeframe.operators import search, stats
@@ -199,10 +199,14 @@ def match_rates(spark, sf_dir):
     return stats.match_rates(listings(spark, sf_dir), baths=F.col("bathrooms").isNotNull(), area=F.col("floor_area_m2").isNotNull())
 
 
-@query("SELECT region, place FROM (VALUES ('Edinburgh', 0), ('Midlothian', 1), ('East Lothian', 2), ('West Lothian', 3), ('Fife', 4), ('Borders', 5), ('Angus', -1)) v(region, p), LATERAL (SELECT CASE region WHEN 'Angus' THEN 5 WHEN 'Borders' THEN 6 ELSE p END::BIGINT AS place) x")
+_REGIONS = ("Borders", "Fife", "Angus", "Edinburgh", "West Lothian", "Midlothian", "East Lothian")
+
+
+@query(f"WITH r AS (SELECT {list(_REGIONS)}[c_nationkey % 7 + 1] AS region, count(*) AS n FROM customer GROUP BY 1) SELECT region, n, row_number() OVER (ORDER BY CASE region WHEN 'Edinburgh' THEN 1 WHEN 'Midlothian' THEN 2 WHEN 'East Lothian' THEN 3 WHEN 'West Lothian' THEN 4 WHEN 'Fife' THEN 5 ELSE 6 END, region)::INT AS place FROM r")
 def region_sort(spark, sf_dir):
-    df = spark.createDataFrame([(r,) for r in ("Borders", "Fife", "Angus", "Edinburgh", "West Lothian", "Midlothian", "East Lothian")], "region string")
-    return df.orderBy(*stats.region_order("region")).coalesce(1).select("region", F.monotonically_increasing_id().alias("place"))
+    region = F.get(F.array(*map(F.lit, _REGIONS)), F.col("c_nationkey") % 7)
+    n = table(spark, sf_dir, "customer").groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(*stats.region_order("region"))))  # seven regions
 
 
 @query(f"WITH {LISTINGS}, p AS (SELECT id, price, round_even(55.9 + (ord % 50) / 1000.0, 5) AS lat, round_even(-3.2 + (ord % 7) / 1000.0, 5) AS lng FROM l) SELECT id, price, place FROM (SELECT id, price, row_number() OVER (PARTITION BY lat, lng ORDER BY price, id) - 1 AS place, count(*) OVER (PARTITION BY lat, lng) AS m FROM p) WHERE m > 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placeframe.config import Rules
@@ -222,13 +223,12 @@ def district_sort(spark, sf_dir):
     return d.orderBy(*X.district_order("district"), "district").coalesce(1).select("district", F.monotonically_increasing_id().alias("place"))
 
 
-_REFS = ["3", "22", "3A", "N3", "10", "X95", "100", "10B"]
-_REF_ORDER = ["3", "3A", "10", "10B", "22", "100", "N3", "X95"]
-
-
-@query(literal({"ref": "VARCHAR", "place": "BIGINT"}, [(r, i) for i, r in enumerate(_REF_ORDER)]))
+@query("WITH r AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'N' || p_size WHEN p_partkey % 7 = 0 THEN 'X' || p_size || 'B' ELSE p_size || ['', 'A', 'B'][p_partkey % 3 + 1] END AS ref, count(*) AS n FROM part GROUP BY 1) SELECT ref, n, row_number() OVER (ORDER BY NOT regexp_matches(ref, '^[0-9]'), try_cast(regexp_extract(ref, '^[0-9]+') AS INT), ref)::INT AS place FROM r")
 def route_sort(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r in _REFS], "ref string").orderBy(X.route_order("ref")).coalesce(1).select("ref", F.monotonically_increasing_id().alias("place"))
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    ref = F.when(k % 5 == 0, F.concat(F.lit("N"), n)).when(k % 7 == 0, F.concat(F.lit("X"), n, F.lit("B"))).otherwise(F.concat(n, F.get(F.array(F.lit(""), F.lit("A"), F.lit("B")), (k % 3).cast("int"))))
+    counted = table(spark, sf_dir, "part").groupBy(ref.alias("ref")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(X.route_order("ref"))))  # some two hundred labels
 
 
 @query(answers(numbers=("VARCHAR", ["'70'", "'70,70a'", "'plot12'", "''", "'12'", "'5'"]), words=("VARCHAR", ["'avenue,kingston'", "'avenue,kingston'", "'mill,view'", "'cottage,main,rose,street'", "'high,street'", "'lane'"]), place=("VARCHAR", ["'EH16 5SW'", "'EH16 5SW'", "''", "'EH27 8AA'", "'EH1 1AA'", "''"])))

@@ -86,3 +86,15 @@ def literal(columns: dict[str, str], rows: list[tuple]) -> str:
 
     values = ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows)
     return f"SELECT {', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in columns.items())} FROM (VALUES {values}) v({', '.join(columns)})"
+
+
+def turns(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """A row per customer: k, turn, and the columns of the row of that turn (k % the number of rows)."""
+    fixed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"turn int, {schema}")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % len(rows)).cast("int").alias("turn")).join(fixed, "turn")
+
+
+def turns_sql(columns: dict[str, str], rows: list[tuple]) -> str:
+    """SQL: k and the columns of the row of its turn."""
+    given = literal({"turn": "INT"} | columns, [(i, *r) for i, r in enumerate(rows)])
+    return f"SELECT c_custkey AS k, {', '.join(columns)} FROM customer JOIN ({given}) v ON v.turn = c_custkey % {len(rows)}"

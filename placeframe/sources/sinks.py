@@ -36,12 +36,14 @@ def visible(df: DataFrame) -> DataFrame:
     return df.select([F.col(c) for c in df.columns if not c.startswith("_")])
 
 
-def feature_collection(df: DataFrame, geometry: str = "polys") -> DataFrame:
-    """One row, value: a GeoJSON document of the visible columns and the geometry column (polys; or x and y of points).
+def feature_collection(df: DataFrame, geometry: str = "polys", by: str | None = None) -> DataFrame:
+    """value: a GeoJSON document of the visible columns and the geometry column (polys; or x and y of points).
 
-    A single document is one task's work: a sink for layers that a browser loads. Tables stay Parquet.
+    One document, or with ``by`` one for each value of that column (a district, a tile), which stays beside it: a document is one
+    task's work and is meant for a browser, so a large layer is to be cut. Tables stay Parquet.
     """
-    shown = visible(df)
+    shown = visible(df.drop(by) if by else df)
+    keys = [F.col(by)] if by else []
     if geometry == "polys":
         coords = F.transform("polys", lambda p: F.transform(p, lambda r: F.transform(r, lambda c: F.array(F.bround(c["x"], 5), F.bround(c["y"], 5)))))
         geom = F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates"))
@@ -53,8 +55,8 @@ def feature_collection(df: DataFrame, geometry: str = "polys") -> DataFrame:
     else:
         geom = F.struct(F.lit("Point").alias("type"), F.array(F.bround("x", 5), F.bround("y", 5)).alias("coordinates"))
         props = [c for c in shown.columns if c not in ("x", "y")]
-    one = shown.select(F.struct(F.lit("Feature").alias("type"), F.struct(*props).alias("properties"), geom.alias("geometry")).alias("f"))
-    return one.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))).alias("value"))
+    one = visible(df).select(*keys, F.struct(F.lit("Feature").alias("type"), F.struct(*props).alias("properties"), geom.alias("geometry")).alias("f"))
+    return one.groupBy(*keys).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))).alias("value"))
 
 
 def write_document(df: DataFrame, path: str) -> None:
@@ -62,6 +64,11 @@ def write_document(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_documents(df: DataFrame, path: str, by: str) -> None:
+    """A text document for each value of ``by``, each a file in a folder of that name; df: by and value."""
+    df.repartition(by).write.mode("overwrite").partitionBy(by).text(path)
+
+
 @dataclass
 class Run:
     """Metadata of a run: what each step did, errors and counters."""
