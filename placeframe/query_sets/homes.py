@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from placeframe.config import BBOX, Rules
 from placeframe.operators import linkage, spatial, stats
 from placeframe.operators import state as S
-from placeframe.registry import answers, cases, literal, query, table, today
+from placeframe.registry import answers, cases, literal, query, table, today, turns, turns_sql
 
 _RULES = Rules(districts=("EH1", "EH28"))
 _POINTS = "SELECT c_custkey AS k, 55.60 + (c_custkey * 7919 % 6000)::DOUBLE / 10000.0 AS lat, -3.90 + (c_custkey * 104729 % 16000)::DOUBLE / 10000.0 AS lng FROM customer"
@@ -96,11 +96,14 @@ def district_members(spark, sf_dir):
     return p.join(regions(spark), "district").groupBy("district").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH r(region, n) AS (VALUES ('Edinburgh', 20), ('Midlothian', 8), ('East Lothian', 9), ('West Lothian', 5), ('Fife', 2)) SELECT region, n::BIGINT AS n FROM r")
+@query("WITH r(region, n) AS (VALUES ('Edinburgh', 20), ('Midlothian', 8), ('East Lothian', 9), ('West Lothian', 5), ('Fife', 2)) SELECT c_mktsegment AS segment, region, (n * count(*))::BIGINT AS n FROM r, customer GROUP BY c_mktsegment, region, n")
 def region_of_district(spark, sf_dir):
+    """Every customer looks at every district."""
     from placeframe.plans.refresh import regions
 
-    return regions(spark).groupBy("region").agg(F.countDistinct("district").alias("n"))
+    every = [r[0] for r in regions(spark).select("district").distinct().collect()]
+    looks = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.explode(F.array(*map(F.lit, every))).alias("district"))
+    return looks.join(regions(spark), "district").groupBy("segment", "region").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- certificates
@@ -169,18 +172,29 @@ _KEPT_HOMES = [
 ]
 
 
-@query(literal({"id": "VARCHAR", "relisted": "BOOLEAN", "series": "VARCHAR", "seen": "INT", "auctions": "INT", "lots": "INT", "overlapping": "INT"}, _KEPT_HOMES))
+#: Each customer has the whole crowd in postcodes of its own.
+_OWN = "CASE WHEN regexp_matches({0}, '^[0-9]+$') THEN (c_custkey * 1000 + try_cast({0} AS BIGINT))::VARCHAR ELSE {0} || '-' || c_custkey END"
+
+
+def _crowds(spark, sf_dir):
+    own = lambda c: F.when(c.rlike("^[0-9]+$"), (F.col("c_custkey") * 1000 + c.try_cast("bigint")).cast("string")).otherwise(F.concat(c, F.lit("-"), F.col("c_custkey").cast("string")))
+    made = table(spark, sf_dir, "customer").select("c_custkey").crossJoin(F.broadcast(crowd(spark)))  # thirty rows
+    return made.withColumns({"id": own(F.col("id")), "postcode": F.when(F.col("postcode") == "", "").otherwise(F.concat("postcode", F.lit(" "), F.col("c_custkey").cast("string")))}).drop("c_custkey")
+
+
+@query(f"SELECT {_OWN.format('id')} AS id, relisted, series, seen, auctions, lots, overlapping FROM customer, ({literal({'id': 'VARCHAR', 'relisted': 'BOOLEAN', 'series': 'VARCHAR', 'seen': 'INT', 'auctions': 'INT', 'lots': 'INT', 'overlapping': 'INT'}, _KEPT_HOMES)}) v")
 def duplicate_homes(spark, sf_dir):
-    out = linkage.resolve_duplicates(crowd(spark))
+    out = linkage.resolve_duplicates(_crowds(spark, sf_dir))
     some = lambda c: F.coalesce(F.size(c), F.lit(0))
     prices = F.concat_ws(",", F.transform("price_history", lambda h: h["price"].cast("string")))
     return out.select("id", "relisted", prices.alias("series"), F.dayofmonth("first_seen").alias("seen"), some("also_auction").alias("auctions"), some("in_auction_lot").alias("lots"), some("overlaps_listing").alias("overlapping"))
 
 
-@query(literal({"id": "VARCHAR", "house": "VARCHAR", "price": "INT", "url": "VARCHAR", "address": "VARCHAR"}, [("200", "House", 200, "uauc-2", "Rose Cottage, Main Street, Kirknewton"), ("auc-5", "House", 100, "uauc-4", "9 Mill Lane"), ("101", "House", 300, "uauc-1", "70 and 70a Kingston Avenue"), ("auc-1", None, 390, "u101", "70 Kingston Avenue"), ("603", "House", 77, "uauc-8", "8 Green")]))
+@query(f"SELECT {_OWN.format('id')} AS id, house, price, url, address FROM customer, ({literal({'id': 'VARCHAR', 'house': 'VARCHAR', 'price': 'INT', 'url': 'VARCHAR', 'address': 'VARCHAR'}, [('200', 'House', 200, 'uauc-2', 'Rose Cottage, Main Street, Kirknewton'), ('auc-5', 'House', 100, 'uauc-4', '9 Mill Lane'), ('101', 'House', 300, 'uauc-1', '70 and 70a Kingston Avenue'), ('auc-1', None, 390, 'u101', '70 Kingston Avenue'), ('603', 'House', 77, 'uauc-8', '8 Green')])}) v")
 def duplicate_references(spark, sf_dir):
-    out = linkage.resolve_duplicates(crowd(spark))
-    lots = out.select("id", F.explode(F.concat(F.coalesce("also_auction", F.array().cast(out.schema["also_auction"].dataType)), F.coalesce("in_auction_lot", F.array().cast(out.schema["also_auction"].dataType)))).alias("r")).select("id", "r.house", "r.price", "r.url", "r.address")
+    out = linkage.resolve_duplicates(_crowds(spark, sf_dir))
+    kind = out.schema["also_auction"].dataType
+    lots = out.select("id", F.explode(F.concat(F.coalesce("also_auction", F.array().cast(kind)), F.coalesce("in_auction_lot", F.array().cast(kind)))).alias("r")).select("id", "r.house", "r.price", "r.url", "r.address")
     homes = out.select("id", F.explode("overlaps_listing").alias("r")).select("id", F.lit(None).cast("string").alias("house"), "r.price", "r.url", "r.address")
     return lots.unionByName(homes)
 
@@ -215,13 +229,16 @@ def rings_with_holes(spark, sf_dir):
     return spatial.point_in_polygon(p, _rings(spark), boundary="half_open").select("k", "feature_id")
 
 
-@query(literal({"mode": "VARCHAR", "point": "VARCHAR"}, [("closed", "inside"), ("closed", "right side"), ("closed", "left side"), ("closed", "corner"), ("closed", "hole side"), ("half_open", "inside"), ("half_open", "left side"), ("half_open", "hole right side")] + [("closed", "hole right side")]))
+_PLACES = {"inside": (0.1, 0.1), "right side": (1.0, 0.5), "left side": (0.0, 0.5), "corner": (1.0, 1.0), "hole side": (0.25, 0.5), "hole right side": (0.75, 0.5), "hole": (0.5, 0.5), "outside": (1.5, 0.5)}
+
+
+@query(f"SELECT mode, p.k, point FROM ({turns_sql({'point': 'VARCHAR'}, [(n,) for n in _PLACES])}) p JOIN (VALUES ('closed', ['inside', 'right side', 'left side', 'corner', 'hole side', 'hole right side']), ('half_open', ['inside', 'left side', 'hole right side'])) m(mode, hits) ON list_contains(hits, point)")
 def boundary_modes(spark, sf_dir):
+    """A square with a hole, and customers at its sides."""
     ring = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n), (w, s)]
     layer = spark.createDataFrame([(0, [[ring(0.0, 0.0, 1.0, 1.0), ring(0.25, 0.25, 0.75, 0.75)]])], "feature_id int, polys array<array<array<struct<x:double,y:double>>>>")
-    at = {"inside": (0.1, 0.1), "right side": (1.0, 0.5), "left side": (0.0, 0.5), "corner": (1.0, 1.0), "hole side": (0.25, 0.5), "hole right side": (0.75, 0.5), "hole": (0.5, 0.5), "outside": (1.5, 0.5)}
-    pts = spark.createDataFrame([(n, x, y) for n, (x, y) in at.items()], "point string, lng double, lat double")
-    out = [spatial.point_in_polygon(pts, layer, boundary=m).select(F.lit(m).alias("mode"), "point") for m in ("closed", "half_open")]
+    pts = turns(spark, sf_dir, [(n, x, y) for n, (x, y) in _PLACES.items()], "point string, lng double, lat double").drop("turn")
+    out = [spatial.point_in_polygon(pts, layer, boundary=m).select(F.lit(m).alias("mode"), "k", "point") for m in ("closed", "half_open")]
     return out[0].unionByName(out[1])
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeframe.functions.text import route_order
 from placeframe.operators import layers, lines, stats
 from placeframe.plans.daily import area_labels
 from placeframe.query_sets.searches import LISTINGS, listings
-from placeframe.registry import literal, query, table
+from placeframe.registry import query, table, turns, turns_sql
 from placeframe.session import materialise
 
 POLYS = "array<array<array<struct<x:double,y:double>>>>"
@@ -38,22 +40,27 @@ def _tops(spark):
     return spark.createDataFrame(_TOPS, "ord int, rank int, match string, sector string")
 
 
-@query(literal({"feature_id": "INT", "school": "VARCHAR", "sector": "VARCHAR", "top_rank": "INT"}, [(0, "James Gillespie'S High School", "ND", 1), (1, "Boroughmuir High School", "RC", None), (2, "St Thomas of Aquin’s RC High School", "RC", 3), (3, "Royal High", "ND", 4), (4, "Castlebrae", "ND", None), (5, "Royal James Gillespie", "ND", 1)]))
+_NAMED = {"school": "VARCHAR", "sector": "VARCHAR", "top_rank": "INT"}
+_LAYER = [("James Gillespie'S High School", "ND", 1), ("Boroughmuir High School", "RC", None), ("St Thomas of Aquin’s RC High School", "RC", 3), ("Royal High", "ND", 4), ("Castlebrae", "ND", None), ("Royal James Gillespie", "ND", 1)]
+
+
+@query(turns_sql(_NAMED, _LAYER))
 def secondary_layer(spark, sf_dir):
-    raw = spark.createDataFrame([(*s, _SQUARE) for s in _SCHOOLS], f"feature_id int, school string, sector string, polys {POLYS}")
-    return layers.secondary_layer(raw, _tops(spark)).select("feature_id", "school", "sector", "top_rank")
+    """A school a customer."""
+    raw = turns(spark, sf_dir, [(n, s, _SQUARE) for _, n, s in _SCHOOLS], f"school string, sector string, polys {POLYS}").withColumn("feature_id", F.col("k"))
+    return layers.secondary_layer(raw.drop("turn", "k"), _tops(spark)).select(F.col("feature_id").alias("k"), "school", "sector", "top_rank")
 
 
-@query(literal({"school": "VARCHAR", "sector": "VARCHAR"}, [(s, "RC" if i == 2 else "ND") for i, s, _ in _SCHOOLS]))
+@query(turns_sql({"school": "VARCHAR", "sector": "VARCHAR"}, [(s, "RC" if i == 2 else "ND") for i, s, _ in _SCHOOLS]))
 def sector_of_school_name(spark, sf_dir):
-    return spark.createDataFrame([(s,) for _, s, _ in _SCHOOLS], "school string").select("school", layers.sector_of_name().alias("sector"))
+    return turns(spark, sf_dir, [(s,) for _, s, _ in _SCHOOLS], "school string").select("k", "school", layers.sector_of_name().alias("sector"))
 
 
-@query(literal({"id": "INT", "school": "VARCHAR", "stages": "VARCHAR", "score": "DOUBLE", "top": "BOOLEAN"}, [(0, "Castle Primary", None, 91.0, True), (1, "Canaan Lane Primary", "P1-P4", 70.0, False), (2, "St Peter'S Rc Primary", None, None, None), (3, "Unknown", None, None, None)]))
+@query(turns_sql({"school": "VARCHAR", "stages": "VARCHAR", "score": "DOUBLE", "top": "BOOLEAN"}, [("Castle Primary", None, 91.0, True), ("Canaan Lane Primary", "P1-P4", 70.0, False), ("St Peter'S Rc Primary", None, None, None), ("Unknown", None, None, None)]))
 def primary_layer(spark, sf_dir):
-    raw = spark.createDataFrame([(0, "CASTLE PRIMARY SCHOOL", "ND", None, _SQUARE), (1, "x", "ND", "For P1-P4 Pupils Only - Canaan Lane Primary School", _SQUARE), (2, "ST PETER'S RC PRIMARY SCHOOL", "RC", None, _SQUARE), (3, None, "ND", None, _SQUARE)], f"feature_id int, school_name string, sector string, note string, polys {POLYS}")
+    raw = turns(spark, sf_dir, [("CASTLE PRIMARY SCHOOL", "ND", None, _SQUARE), ("x", "ND", "For P1-P4 Pupils Only - Canaan Lane Primary School", _SQUARE), ("ST PETER'S RC PRIMARY SCHOOL", "RC", None, _SQUARE), (None, "ND", None, _SQUARE)], f"school_name string, sector string, note string, polys {POLYS}")
     scores = spark.createDataFrame([(0, "Castle Primary School", 80.0), (1, "The Castle P.S", 60.0), (2, "Castle PS", 91.0), (3, "Canaan Lane Primary", 70.0)], "ord int, name string, score double")
-    return layers.primary_layer(raw, scores, 75.0).select(F.col("feature_id").alias("id"), "school", "stages", "score", "top")
+    return layers.primary_layer(raw.withColumn("feature_id", F.col("k")).drop("turn", "k"), scores, 75.0).select(F.col("feature_id").alias("k"), "school", "stages", "score", "top")
 
 
 @query(f"WITH {LISTINGS}, v AS (SELECT catchment AS s FROM l WHERE price < 500000 UNION ALL SELECT catchment_rc FROM l WHERE price < 500000), t(ord, rank, match) AS (VALUES (0, 1, 'school 1'), (1, 2, 'school 5'), (2, 3, 'nothing')) SELECT rank, CASE rank WHEN 1 THEN 'School 1' WHEN 2 THEN 'School 5' END AS school, (SELECT count(*) FROM v WHERE s = CASE rank WHEN 1 THEN 'School 1' WHEN 2 THEN 'School 5' END) AS n FROM t")
@@ -145,16 +152,15 @@ def line_simplification(spark, sf_dir):
     return thin.select("user_id", F.size("points").alias("points"), F.concat_ws(",", F.transform("points", lambda p: p["x"].cast("long").cast("string"))).alias("kept"))
 
 
-@query(literal({"kind": "VARCHAR", "name": "VARCHAR"}, [("bus", "22"), ("all", "22"), ("all", "N3"), ("top", "A"), ("top rc", "C"), ("primary", "P"), ("primary", "Q"), ("stop", "S")]))
+@query("WITH p AS (SELECT p_partkey AS k, p_size AS n FROM part), s AS (SELECT k, n % 4 AS rank, CASE WHEN k % 3 = 0 THEN 'RC' ELSE 'ND' END AS sector, ['', 'P1-P4', 'P5-P7'][k % 3 + 1] AS stages FROM p) SELECT 'bus' AS kind, k FROM p WHERE k % 5 = 0 UNION ALL SELECT 'all', k FROM p UNION ALL SELECT 'top', k FROM s WHERE rank <> 0 AND sector = 'ND' UNION ALL SELECT 'top rc', k FROM s WHERE rank <> 0 AND sector = 'RC' UNION ALL SELECT 'primary', k FROM s WHERE stages <> 'P5-P7' AND sector = 'ND' UNION ALL SELECT 'stop', k FROM p WHERE k % 2 = 1")
 def shown_features(spark, sf_dir):
-    bus = spark.createDataFrame([("22", True), ("N3", False)], "name string, main boolean")
-    schools = spark.createDataFrame([("A", 1, "ND"), ("B", None, "ND"), ("C", 3, "RC"), ("D", 0, "ND")], "name string, top_rank int, sector string")
-    primaries = spark.createDataFrame([("P", None, "ND"), ("Q", "P1-P4", "ND"), ("R", "P5-P7", "ND"), ("T", None, "RC")], "name string, stages string, sector string")
-    parts = [("bus", layers.shown_features(bus, "bus")), ("all", layers.shown_features(bus, "bus", all_bus=True)), ("top", layers.shown_features(schools, "catchTop")), ("top rc", layers.shown_features(schools, "catchTop", rc=True)), ("primary", layers.shown_features(primaries, "primary")), ("stop", layers.shown_features(spark.createDataFrame([("S", "stop"), ("L", "line")], "name string, kind string"), "stop"))]
-    out = [df.select(F.lit(k).alias("kind"), "name") for k, df in parts]
-    for other in out[1:]:
-        out[0] = out[0].unionByName(other)
-    return out[0]
+    """Parts as bus routes, schools and features of a line."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"))
+    bus = p.withColumn("main", F.col("k") % 5 == 0)
+    schools = p.withColumns({"top_rank": F.when(F.col("n") % 4 != 0, F.col("n") % 4), "sector": F.when(F.col("k") % 3 == 0, "RC").otherwise("ND"), "stages": F.when(F.col("k") % 3 == 1, "P1-P4").when(F.col("k") % 3 == 2, "P5-P7")})
+    kinds = p.withColumn("kind", F.when(F.col("k") % 2 == 1, "stop").otherwise("line"))
+    parts = [("bus", layers.shown_features(bus, "bus")), ("all", layers.shown_features(bus, "bus", all_bus=True)), ("top", layers.shown_features(schools, "catchTop")), ("top rc", layers.shown_features(schools, "catchTop", rc=True)), ("primary", layers.shown_features(schools, "primary")), ("stop", layers.shown_features(kinds, "stop"))]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "k") for kind, df in parts])
 
 
 @query(f"WITH {LISTINGS} SELECT id, price, coalesce(best_min, 999) AS mins, coalesce(vs_pct, 0) AS vs, coalesce(top_school_rank, 0) <> 0 AS top, source IS NOT NULL AS lot, kind IS NOT NULL AS plot, coalesce(bedrooms::VARCHAR, '?') || ' bed' AS label FROM l")
