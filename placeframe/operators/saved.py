@@ -110,10 +110,12 @@ class Saved:
         both = self.items.withColumn("__o", F.lit(0)).unionByName(other.items.withColumn("__o", F.lit(1)))
         first = both.withColumn("__n", F.row_number().over(Window.partitionBy("list", "id").orderBy("__o", "pos"))).where("__n = 1")
         placed = first.withColumn("pos", (F.row_number().over(Window.partitionBy("list").orderBy("__o", "pos")) - 1).cast("int")).drop("__o", "__n")
-        out = replace(self, lists=self._named([*names[:-1], *more, names[-1]]), items=placed)
-        for r in other.searches.where("name is not null and hash is not null").orderBy("pos").collect():
-            out = out.save_search(r["name"], r["hash"])
-        return out
+        # Theirs of a name replace ours where it stands; new ones follow in their order.
+        theirs = other.searches.where("name is not null and trim(name) <> '' and hash is not null").select(F.trim("name").alias("name"), F.struct("pos", "hash").alias("s")).groupBy("name").agg(F.max("s").alias("last"), F.min("s.pos").alias("first"))
+        joined = self.searches.join(theirs, "name", "full_outer")
+        order = Window.orderBy(F.col("pos").isNull(), "pos", "first")  # one user's searches
+        searches = joined.select("name", F.coalesce("last.hash", "hash").alias("hash"), (F.row_number().over(order) - 1).cast("int").alias("pos"))
+        return replace(self, lists=self._named([*names[:-1], *more, names[-1]]), items=placed, searches=searches)
 
     def export(self) -> str:
         """All of it as URL-safe base64 of JSON, without images and padding."""

@@ -203,18 +203,23 @@ def primary_catchments(points: DataFrame, polygons: DataFrame, key: str = "id")
     return points.join(wide, key, "left")
 
 
-def reach(max_m: float, cell: float, at_lat: float) -> int:
-    """Cells to look at on each side so that none within the distance is missed, on both axes, up to this latitude."""
-    metres = math.radians(cell) * EARTH_RADIUS_M * math.cos(math.radians(min(89.0, abs(at_lat))))
-    return math.ceil(max_m / metres)
-
-
-def within(left: DataFrame, right: DataFrame, max_m: float, left_at: tuple[str, str] = ("lat", "lng"), right_at: tuple[str, str] = ("lat", "lng"), cell: float = CELL, max_lat: float = 57.0, how: str = "inner") -> DataFrame:
-    """Pairs at most ``max_m`` apart, with their distance. The right side is spread over neighbouring cells, so keep it the
-    smaller one; column names must differ apart from the positions, which the right side gives up for ``__lat``, ``__lng``."""
-    r = reach(max_m, cell, max_lat)
-    steps = F.sequence(F.lit(-r), F.lit(r))
-    spread = right.withColumnsRenamed({right_at[0]: "__lat", right_at[1]: "__lng"}).withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
+def _cells_about(max_m: float, cell: float, lat: Column | None = None) -> Column:
+    """Cells to look at on each side so that none within the distance is missed: up and down, or at a latitude to the sides."""
+    metres = math.radians(cell) * EARTH_RADIUS_M
+    if lat is None:
+        return F.lit(math.ceil(max_m / metres))
+    # The pole-most place that is near enough has the narrowest cells.
+    most = F.least(F.lit(89.99), F.abs(lat) + math.degrees(max_m / EARTH_RADIUS_M))
+    return F.least(F.lit(math.ceil(360 / cell)), F.ceil(F.lit(max_m / metres) / F.cos(F.radians(most)))).cast("int")
+
+
+def within(left: DataFrame, right: DataFrame, max_m: float, left_at: tuple[str, str] = ("lat", "lng"), right_at: tuple[str, str] = ("lat", "lng"), cell: float = CELL, how: str = "inner") -> DataFrame:
+    """Pairs at most ``max_m`` apart, with their distance. The right side is spread over neighbouring cells (more of them to the
+    sides the nearer it is to a pole), so keep it the smaller one; column names must differ apart from the positions, which the
+    right side gives up for ``__lat``, ``__lng``. Places on the two sides of the date line are no neighbours."""
+    steps = lambda n: F.sequence(-n, n)
+    named = right.withColumnsRenamed({right_at[0]: "__lat", right_at[1]: "__lng"}).where("__lat is not null and __lng is not null")
+    spread = named.withColumn("__dy", F.explode(steps(_cells_about(max_m, cell)))).withColumn("__dx", F.explode(steps(_cells_about(max_m, cell, F.col("__lat")))))
     spread = spread.withColumn("__cy", F.floor(F.col("__lat") / cell) + F.col("__dy")).withColumn("__cx", F.floor(F.col("__lng") / cell) + F.col("__dx")).drop("__dy", "__dx")
     base = left.withColumn("__py", F.floor(F.col(left_at[0]) / cell)).withColumn("__px", F.floor(F.col(left_at[1]) / cell))
     d = haversine_m(left_at[0], left_at[1], "__lat", "__lng")

@@ -300,5 +300,18 @@ def facet_bitmaps(spark, sf_dir):
     return bitmaps.counts(bitmaps.index(rows, "o_orderkey", list(_FACETS)), _FILTERS, list(_FACETS))
 
 
+#: Points of the unit square in order; each in turn leads if no leader before it is within 60 pixels at zoom 9.
+_R = 60 / (512 * 2**9)
+_LEAD = "p AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS i, lng / 360 + 0.5 AS x, 0.5 - 0.25 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / pi() AS y FROM " + _points_sql("customer", "c_custkey") + f"), g AS (SELECT 0::BIGINT AS i, []::DOUBLE[][] AS lead UNION ALL SELECT p.i, CASE WHEN len(list_filter(lead, lambda q: (q[1] - x) * (q[1] - x) + (q[2] - y) * (q[2] - y) <= {_R * _R!r})) = 0 THEN list_append(lead, [x, y, id]) ELSE lead END FROM g JOIN p ON p.i = g.i + 1), l AS (SELECT unnest(arg_max(lead, i)) AS q FROM g), a AS (SELECT id, x, y, min(q[3]::BIGINT) AS leader FROM p, l WHERE (q[1] - x) * (q[1] - x) + (q[2] - y) * (q[2] - y) <= {_R * _R!r} AND q[3] <= id GROUP BY ALL)"
+
+
+@query(f"WITH RECURSIVE {_LEAD} SELECT 9::INT AS zoom, leader AS id, count(*) AS n, round(avg(x), 9) AS x, round(avg(y), 9) AS y FROM a GROUP BY leader")
+def radius_clusters(spark, sf_dir):
+    from placeframe.operators import clusters
+
+    found = clusters.by_zoom(_points(table(spark, sf_dir, "customer"), "c_custkey"), range(9, 10), 60, key="c_custkey")
+    return found.select("zoom", "id", "n", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
 # More queries, by subject; each module registers its own.
 from placeframe.query_sets import days, homes, layers, pages, saved_lists, searches, texts, timetables  # noqa: E402, F401

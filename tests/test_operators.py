@@ -356,6 +356,38 @@ def test_many_homes_of_a_postcode(spark):
     assert sorted(map(int, got)) == [*range(1001, 4000, 2), 9005] and len(got["9005"].price_history) >= 1
 
 
+def test_clusters_of_three_zooms(spark):
+    import random
+
+    from placeframe.operators import clusters
+
+    rng = random.Random(3)
+    rows = [(n, 55.9 + rng.gauss(0, 0.03), -3.2 + rng.gauss(0, 0.05)) for n in rng.sample(range(5000), 300)] + [(9000, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lng double")
+    x, y = clusters.projected(F.col("lng"), F.col("lat"))
+    now = {r.id: (r.x, r.y, 1) for r in df.where("lat is not null").select("id", x.alias("x"), y.alias("y")).collect()}
+    want = {}
+    for zoom in (12, 11, 10):
+        r, lead, of = 50 / (512 * 2**zoom), [], {}
+        for i in sorted(now):
+            mine = next((j for j in lead if (now[i][0] - now[j][0]) ** 2 + (now[i][1] - now[j][1]) ** 2 <= r * r), None)
+            if mine is None:
+                lead.append(i)
+            of.setdefault(i if mine is None else mine, []).append(now[i])
+        now = {i: (sum(p[0] * p[2] for p in own) / sum(p[2] for p in own), sum(p[1] * p[2] for p in own) / sum(p[2] for p in own), sum(p[2] for p in own)) for i, own in of.items()}
+        want |= {(zoom, i): (p[2], round(p[0], 9), round(p[1], 9)) for i, p in now.items()}
+    got = {(r.zoom, r.id): (r.n, round(r.x, 9), round(r.y, 9)) for r in clusters.by_zoom(df, range(10, 13)).collect()}
+    assert got == want and len({k for k in want if k[0] == 10}) < len({k for k in want if k[0] == 12}) < 300
+
+
+def test_near_places_in_the_far_north(spark):
+    a = spark.createDataFrame([(1, 70.0, 20.0), (2, 88.0, -30.0), (3, -70.0, 0.0)], "i int, lat double, lng double")
+    b = spark.createDataFrame([(1, 70.0, 20.028), (2, 88.0, -30.5), (3, -70.01, 0.02), (4, None, 1.0)], "j int, lat double, lng double")
+    got = {(r.i, r.j): r.distance_m for r in spatial.within(a, b, 1200).drop("lat", "lng").collect()}
+    assert set(got) == {(1, 1)} and 1000 < got[1, 1] < 1100
+    assert {(r.i, r.j) for r in spatial.within(a, b, 2000).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_saved_lists(spark):
     homes = listing(spark, {"id": "a", "title": "A"}, {"id": "b"}).withColumns({"url": F.lit("u"), "image": F.lit("i")})
     s = saved.from_state(spark, None)
