@@ -56,7 +56,8 @@ def _stops(spark, sf_dir):
 def _trips(spark, sf_dir):
     o = F.col("l_orderkey")
     t = 21_600 + F.pmod(o * 131, F.lit(14_400)) + F.col("l_linenumber") * 120
-    clock = lambda s: F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"), (s / 60 % 60).cast("int"), (s % 60).cast("int"))
+    two = lambda n: F.lpad(F.floor(n).cast("string"), 2, "0")
+    clock = lambda s: F.concat_ws(":", two(s / 3600), two(s / 60 % 60), two(s % 60))
     times = table(spark, sf_dir, "lineitem").select(o.cast("string").alias("trip_id"), F.col("l_partkey").cast("string").alias("stop_id"), F.col("l_linenumber").cast("string").alias("stop_sequence"), F.when(F.col("l_linenumber") != 3, clock(t)).otherwise("").alias("arrival_time"), F.when(F.col("l_linenumber") != 5, clock(t + 20)).alias("departure_time"))
     running = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("trip_id"), F.concat(F.lit("R"), (F.col("o_orderkey") % 9).cast("string")).alias("route"))
     return materialise(times, "timetable"), running
