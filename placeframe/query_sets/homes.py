@@ -103,7 +103,7 @@ def region_of_district(spark, sf_dir):
 
     every = [r[0] for r in regions(spark).select("district").distinct().collect()]
     looks = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.explode(F.array(*map(F.lit, every))).alias("district"))
-    return looks.join(regions(spark), "district").groupBy("segment", "region").agg(F.count(F.lit(1)).alias("n"))
+    return looks.join(F.broadcast(regions(spark)), "district").groupBy("segment", "region").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- certificates

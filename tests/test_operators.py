@@ -486,3 +486,15 @@ def test_stream_upserts(spark, tmp_path):
     upsert_stream(stream, st, schema, str(tmp_path / "cp"), F.lit("2026-10-01")).awaitTermination()
     r = spark.read.parquet(st).collect()
     assert [(x.id, x.price) for x in r] == [("1", 290)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_districts_are_broadcast_not_the_customers(spark, tmp_path):
+    from placeframe.query_sets import homes
+
+    spark.range(10).select(F.col("id").alias("c_custkey"), F.lit("A").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    plan = _plan(homes.region_of_district(spark, str(tmp_path)))
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
