@@ -2,11 +2,11 @@
 
 At each zoom, in the order of their numbers, a point that no earlier leader has taken becomes a leader and takes all points within
 the radius. A cluster has the weight of its points and their centre, and is a point of the next zoom under its leader's number. So a
-point is a leader if and only if none of its lower neighbours is, which is settled in rounds: what has no open lower neighbour
-and no lower leader leads, what has a lower leader does not. The rounds end after the longest falling chain of neighbours.
+point is a leader if and only if none of its lower neighbours is, which is settled in rounds: what has no open lower point in the
+cells about it leads, what has a lower leader does not. The least open point leads in each round, so the rounds end.
 
-Points are projected to the unit square of the map (Mercator); the radius is in pixels of tiles of 512. Neighbours meet on a grid
-of the radius: an equi-join on nine cells. Repeated numbers are not allowed; points without a position take no part.
+Points are projected to the unit square of the map (Mercator); the radius is in pixels of tiles of 512. Points meet leaders on a
+grid: an equi-join on 25 cells. Repeated numbers are not allowed; points without a position take no part.
 """
 
 from __future__ import annotations
@@ -27,39 +27,46 @@ def projected(lng: Column, lat: Column) -> tuple[Column, Column]:
     return lng / 360 + 0.5, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 - 0.25 * F.log((1 + s) / (1 - s)) / math.pi))
 
 
-def _neighbours(points: DataFrame, radius: float) -> DataFrame:
-    """(id, low): for each point the neighbours with lower numbers."""
-    cx, cy = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
-    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    a = points.select("id", "x", "y", cx.alias("cx"), cy.alias("cy"))
-    b = points.select(F.col("id").alias("low"), F.col("x").alias("lx"), F.col("y").alias("ly"), cx.alias("bx"), cy.alias("by")).withColumn("dx", near).withColumn("dy", near)
-    met = a.join(b.select("low", "lx", "ly", (F.col("bx") + F.col("dx")).alias("cx"), (F.col("by") + F.col("dy")).alias("cy")), ["cx", "cy"])
-    dx, dy = F.col("x") - F.col("lx"), F.col("y") - F.col("ly")
-    return met.where((F.col("low") < F.col("id")) & (dx * dx + dy * dy <= radius * radius)).select("id", "low")
+#: Side of a cell in radii: less than 1 / sqrt(2), so that the points of a cell are neighbours and one of them at most leads.
+_SIDE = 0.7
+
+
+def _cells(points: DataFrame, side: float) -> DataFrame:
+    return points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+
+
+def _about(cells: DataFrame) -> DataFrame:
+    """Each row in its own cell and the 24 about it, which hold all that is within the radius."""
+    near = F.explode(F.array(*map(F.lit, range(-2, 3))))
+    out = cells.withColumn("dx", near).withColumn("dy", near)
+    return out.withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy").hint("merge")
 
 
 def leaders(points: DataFrame, radius: float) -> DataFrame:
-    """(id, leader) of each point (id, x, y)."""
-    own = materialise(points.select("id", "x", "y"), "clusters-points")
-    edges = materialise(_neighbours(own, radius), "clusters-edges")
-    # Without a lower neighbour a point leads; the others are open, each with its lower neighbours that are open too.
-    lead = materialise(own.join(edges.select("id").distinct(), "id", "left_anti").select("id"), "clusters-lead")
-    open_, fresh = edges, lead
-    while True:
-        taken = open_.join(fresh.select(F.col("id").alias("low")), "low", "left_semi").select("id").distinct()
-        taken = materialise(taken, "clusters-taken")
-        if taken.isEmpty():
-            break
-        # Those taken lead nobody; who waited for them alone leads next.
-        waits = open_.join(taken, "id", "left_anti")
-        rest = waits.join(taken.select(F.col("id").alias("low")), "low", "left_anti")
-        left = materialise(rest.select("id", "low"), "clusters-open")
-        fresh = materialise(waits.select("id").distinct().join(left.select("id"), "id", "left_anti"), "clusters-fresh")
-        more = materialise(lead.unionByName(fresh), "clusters-lead")
-        discard(lead, taken, None if open_ is edges else open_)
-        lead, open_ = more, left
-    by = edges.join(lead.select(F.col("id").alias("low")), "low", "left_semi").groupBy("id").agg(F.min("low").alias("leader"))
-    return own.select("id").join(by, "id", "left").join(lead.select("id", F.lit(True).alias("leads")), "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+    """(id, leader) of each point (id, x, y).
+
+    A round looks at the least open number of each cell. One that is less than those of all cells within reach has no open lower
+    neighbour and leads; what lies within the radius of new leaders is no longer open. So points meet leaders, of which a
+    cell has one at most, never all their neighbours, however many lie in one place.
+    """
+    side = radius * _SIDE
+    own = materialise(_cells(points.select("id", "x", "y"), side), "clusters-points")
+    open_, lead = own, None
+    close = lambda: (F.col("x") - F.col("lx")) * (F.col("x") - F.col("lx")) + (F.col("y") - F.col("ly")) * (F.col("y") - F.col("ly")) <= radius * radius
+    named = lambda df: df.select(F.col("id").alias("low"), F.col("x").alias("lx"), F.col("y").alias("ly"), "cx", "cy")
+    while not open_.isEmpty():
+        least = materialise(open_.groupBy("cx", "cy").agg(F.min(F.struct("id", "x", "y")).alias("p")), "clusters-least")
+        lowest = _about(least.select("cx", "cy", F.col("p.id").alias("low"))).groupBy("cx", "cy").agg(F.min("low").alias("low"))
+        fresh = materialise(least.join(lowest, ["cx", "cy"]).where(F.col("p.id") == F.col("low")).select("p.*", "cx", "cy"), "clusters-lead")
+        taken = open_.join(_about(named(fresh)), ["cx", "cy"]).where(close()).select("id")
+        left = materialise(open_.join(taken.distinct(), "id", "left_anti"), "clusters-open")
+        discard(least, None if open_ is own else open_)
+        lead = fresh if lead is None else lead.unionByName(fresh)
+        open_ = left
+    if lead is None:
+        return own.select("id", F.col("id").alias("leader"))
+    near = own.join(_about(named(lead)), ["cx", "cy"]).where((F.col("low") <= F.col("id")) & close())
+    return near.groupBy("id").agg(F.min("low").alias("leader"))
 
 
 def by_zoom(points: DataFrame, zooms: range, radius_px: float = 50, key: str = "id", lat: str = "lat", lng: str = "lng") -> DataFrame:

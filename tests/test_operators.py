@@ -516,3 +516,14 @@ def test_certificates_meet_by_more_than_the_postcode(spark):
     assert len(want) > 50 and got == {i: want.get(i) for i in range(150)}
     assert all("," in line.split("]")[0] for line in _plan(out).splitlines() if "SortMergeJoin [__pc" in line)
     assert "SortMergeJoin [__pc" in _plan(out)
+
+
+def test_clusters_of_many_points_in_one_place_write_no_pairs(spark, monkeypatch):
+    from placeframe.operators import clusters
+
+    written, write = [], clusters.materialise
+    monkeypatch.setattr(clusters, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    monkeypatch.setattr(clusters, "discard", lambda *frames: None)
+    points = spark.range(400).select("id", (F.col("id") % 3 * 1.0).alias("x"), F.lit(0.0).alias("y"))
+    assert {(r.id, r.leader) for r in clusters.leaders(points, 1.0).collect()} == {(i, 0 if i % 3 < 2 else 2 if i == 2 else 1 if i % 3 == 1 else 2) for i in range(400)}
+    assert max(df.count() for df in written) <= 400
