@@ -221,6 +221,8 @@ def within(left: DataFrame, right: DataFrame, max_m: float, left_at: tuple[str,
     named = right.withColumnsRenamed({right_at[0]: "__lat", right_at[1]: "__lng"}).where("__lat is not null and __lng is not null")
     spread = named.withColumn("__dy", F.explode(steps(_cells_about(max_m, cell)))).withColumn("__dx", F.explode(steps(_cells_about(max_m, cell, F.col("__lat")))))
     spread = spread.withColumn("__cy", F.floor(F.col("__lat") / cell) + F.col("__dy")).withColumn("__cx", F.floor(F.col("__lng") / cell) + F.col("__dx")).drop("__dy", "__dx")
+    # Spark does not see how many cells a row goes to and would broadcast all of them from the driver.
+    spread = spread.hint("merge")
     base = left.withColumn("__py", F.floor(F.col(left_at[0]) / cell)).withColumn("__px", F.floor(F.col(left_at[1]) / cell))
     d = haversine_m(left_at[0], left_at[1], "__lat", "__lng")
     joined = base.join(spread, (F.col("__py") == F.col("__cy")) & (F.col("__px") == F.col("__cx")) & (d <= max_m), how)
@@ -229,9 +231,19 @@ def within(left: DataFrame, right: DataFrame, max_m: float, left_at: tuple[str,
 
 def nearest(left: DataFrame, right: DataFrame, key: str, fields: list[str], max_m: float, rank: Column | None = None, **kw) -> DataFrame:
     """For each left key the struct of ``fields`` of the best right row within reach: least ``rank`` (distance), then ``fields``."""
-    pairs = within(left, right, max_m, **kw)
     by = F.struct(rank if rank is not None else F.col("distance_m"), *fields)
-    return pairs.groupBy(key).agg(F.min_by(F.struct(*fields, "distance_m"), by).alias("nearest"))
+    best = lambda pairs: pairs.groupBy(key).agg(F.min_by(F.struct(*fields, "distance_m"), by).alias("nearest"))
+    if rank is not None:
+        return best(within(left, right, max_m, **kw))
+    # By distance, what is found within a short reach is the nearest; the others look farther.
+    found, todo = None, left
+    for reach in (max_m / 16, max_m / 4, max_m):
+        near = best(within(todo, right, reach, **kw | {"cell": 1.001 * math.degrees(reach / EARTH_RADIUS_M)}))
+        near = materialise(near, "nearest") if reach < max_m else near
+        found = near if found is None else found.unionByName(near)
+        seen = near.select(F.col(key).alias("__key"))
+        todo = todo.join(seen, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+    return found
 
 
 def at_point(layer: DataFrame, lng: float, lat: float, **kw) -> DataFrame:

@@ -527,3 +527,13 @@ def test_clusters_of_many_points_in_one_place_write_no_pairs(spark, monkeypatch)
     points = spark.range(400).select("id", (F.col("id") % 3 * 1.0).alias("x"), F.lit(0.0).alias("y"))
     assert {(r.id, r.leader) for r in clusters.leaders(points, 1.0).collect()} == {(i, 0 if i % 3 < 2 else 2 if i == 2 else 1 if i % 3 == 1 else 2) for i in range(400)}
     assert max(df.count() for df in written) <= 400
+
+
+def test_places_spread_over_cells_are_not_broadcast(spark):
+    left = spark.range(50).select(F.col("id").alias("k"), F.lit(55.9).alias("lat"), (F.col("id") / 1000 - 3.2).alias("lng"))
+    right = spark.range(4).select(F.col("id").alias("s"), F.lit(55.9).alias("slat"), (F.col("id") / 100 - 3.2).alias("slng"))
+    out = spatial.nearest(left, right, "k", ["s"], 2500, right_at=("slat", "slng"))
+    clear = [k for k in range(50) if k % 10 != 5]  # not between two
+    got = {r.k: r.nearest.s for r in out.collect()}
+    assert [got[k] for k in clear] == [min(range(4), key=lambda s: abs(k - 10 * s)) for k in clear]
+    assert out.count() == 50 and "BroadcastHashJoin" not in _plan(spatial.within(left, right, 2500, right_at=("slat", "slng")))
