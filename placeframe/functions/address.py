@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def _numbers(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(HOUSE_NUMBER), F.lit(1)), lambda n: F.ltrim(n, F.lit("0")) != "")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it names more than once: the value is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def home_key(address, code) -> Column:
     """struct(postcode, numbers, words): sorted distinct house numbers and street words.
 
@@ -33,17 +40,20 @@ def home_key(address, code) -> Column:
     clean = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(_c(address), F.lit("")), ADDRESS_NOISE, ""), ANY_POSTCODE, ""))
     tidy = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"\bplot\s+(\d+)", "plot$1"), r"\b\d+/\d+\b", " "))
     parts = F.filter(F.transform(F.split(clean, ","), tidy), lambda p: p != "")
-    has = F.transform(parts, lambda p: (F.size(_numbers(p)) > 0).cast("int"))
-    i = (F.array_position(has, 1) - 1).cast("int")
-    own = F.get(parts, i)
-    bare = F.btrim(F.regexp_replace(own, HOUSE_NUMBER, ""), F.lit(" -&and")) == ""
-    numbered = F.concat_ws(" ", F.when(i > 0, F.get(parts, i - 1)), own, F.when(bare, F.get(parts, i + 1)))
-    named = F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
-    # A street that is nothing but a number has its words in the next part only through the numbers' segment; words are
-    # those of the part that holds the number.
-    street = F.when(i >= 0, own).otherwise(named)
-    words = F.filter(F.regexp_extract_all(F.regexp_replace(street, HOUSE_NUMBER, " "), F.lit("([a-z]+)"), F.lit(1)), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 1))
-    return F.struct(tidy_postcode(code).alias("postcode"), F.array_sort(F.array_distinct(_numbers(F.when(i >= 0, numbered).otherwise(named)))).alias("numbers"), F.array_sort(F.array_distinct(words)).alias("words"))
+    has = lambda parts: F.transform(parts, lambda p: (F.size(_numbers(p)) > 0).cast("int"))
+
+    def key(parts: Column, i: Column) -> Column:
+        own = F.get(parts, i)
+        bare = F.btrim(F.regexp_replace(own, HOUSE_NUMBER, ""), F.lit(" -&and")) == ""
+        numbered = F.concat_ws(" ", F.when(i > 0, F.get(parts, i - 1)), own, F.when(bare, F.get(parts, i + 1)))
+        named = F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+        # A street that is nothing but a number has its words in the next part only through the numbers' segment; words are
+        # those of the part that holds the number.
+        street = F.when(i >= 0, own).otherwise(named)
+        words = F.filter(F.regexp_extract_all(F.regexp_replace(street, HOUSE_NUMBER, " "), F.lit("([a-z]+)"), F.lit(1)), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 1))
+        return F.struct(tidy_postcode(code).alias("postcode"), F.array_sort(F.array_distinct(_numbers(F.when(i >= 0, numbered).otherwise(named)))).alias("numbers"), F.array_sort(F.array_distinct(words)).alias("words"))
+
+    return _once(parts, lambda parts: _once((F.array_position(has(parts), 1) - 1).cast("int"), lambda i: key(parts, i)))
 
 
 def certificate_key(address) -> Column:

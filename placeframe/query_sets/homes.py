@@ -178,7 +178,8 @@ _OWN = "CASE WHEN regexp_matches({0}, '^[0-9]+$') THEN (c_custkey * 1000 + try_c
 
 def _crowds(spark, sf_dir):
     own = lambda c: F.when(c.rlike("^[0-9]+$"), (F.col("c_custkey") * 1000 + c.try_cast("bigint")).cast("string")).otherwise(F.concat(c, F.lit("-"), F.col("c_custkey").cast("string")))
-    made = table(spark, sf_dir, "customer").select("c_custkey").crossJoin(F.broadcast(crowd(spark)))  # thirty rows
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few MB of customers are one task
+    made = table(spark, sf_dir, "customer").select("c_custkey").repartition(tasks, "c_custkey").crossJoin(F.broadcast(crowd(spark)))  # thirty rows
     return made.withColumns({"id": own(F.col("id")), "postcode": F.when(F.col("postcode") == "", "").otherwise(F.concat("postcode", F.lit(" "), F.col("c_custkey").cast("string")))}).drop("c_custkey")
 
 

@@ -546,3 +546,12 @@ def test_footpaths_work_out_distances_between_places(spark):
     got = {(r.u, r.x): (round(r.walk_s, 3), r.u_stop_id, r.x_stop_id) for r in transit.footpaths(stops, also=("stop_id",)).collect()}
     assert set(got) == {(u, x) for u in range(12) for x in range(12) if u != x and abs(u % 3 - x % 3) < 2}
     assert all(got[u, x][1:] == (f"s{u}", f"s{x}") and (got[u, x][0] == 0) == (u % 3 == x % 3) for u, x in got)
+
+
+def test_duplicates_are_joined_by_sorting_not_from_the_driver(spark, monkeypatch):
+    from placeframe.query_sets.homes import crowd
+
+    plans, write = [], linkage.materialise
+    monkeypatch.setattr(linkage, "materialise", lambda df, name: plans.append(_plan(df)) or write(df, name))
+    out = linkage.resolve_duplicates(crowd(spark))
+    assert out.count() == 17 and len(plans) > 5 and not [p for p in [*plans, _plan(out)] if "BroadcastHashJoin" in p]
