@@ -555,3 +555,11 @@ def test_duplicates_are_joined_by_sorting_not_from_the_driver(spark, monkeypatch
     monkeypatch.setattr(linkage, "materialise", lambda df, name: plans.append(_plan(df)) or write(df, name))
     out = linkage.resolve_duplicates(crowd(spark))
     assert out.count() == 17 and len(plans) > 5 and not [p for p in [*plans, _plan(out)] if "BroadcastHashJoin" in p]
+
+
+def test_duplicates_with_a_repeated_id_come_to_an_end(spark):
+    from placeframe.query_sets.homes import crowd
+
+    listings = crowd(spark).where("id in ('9', '10', '11')")
+    out = linkage.resolve_duplicates(listings.unionByName(listings.where("id = '9'"))).collect()
+    assert [(r.id, [h.price for h in r.price_history]) for r in out] == [("11", [600, 610, 620])]
