@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,16 @@ def test_hot_anchors_meet_by_window(docs, monkeypatch):
     assert sorted(tuple(r) for r in suffix_dedup.digest(docs).collect()) == sorted(X.suffix_dedup(pairs()))
 
 
+def test_hot_windows_travel_packed(docs):
+    manifest, folder = suffix_dedup.spool(docs, "doc_id", "text")
+    batch = manifest.first().batch
+    _, buf, offs, ids = suffix_dedup.read_batch(folder, batch)
+    a, _, bounds = suffix_dedup.distinct_anchors(suffix_dedup.anchored(buf, offs), ids, 4)
+    hot = [np.packbits(np.ones(e - s, bool)).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    rows = suffix_dedup._hot_windows(folder, 4)(pd.DataFrame({"batch": [batch] * 4, "bucket": range(4), "hot": hot}))
+    assert len(a) > 100 and len(rows) == 5 and rows["bucket"].isna().sum() == 1
+
+
 def test_slabs_and_null_ids(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLAB", 300)
     rows = [(None if i == 3 else i, r[1]) for i, r in enumerate(ROWS[:30])]
