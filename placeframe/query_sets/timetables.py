@@ -121,9 +121,9 @@ best AS (SELECT target, stop, latest, reach AS arrival, 'R' || (trip % 9) AS rou
 def network(spark, sf_dir):
     """Stops, and when to leave them."""
     near = replace(TRAVEL, destination_radius_m=2000)
-    stops = materialise(transit.stops_in_area(_stops(spark, sf_dir)), "stops")
+    stops = materialise(transit.with_places(transit.stops_in_area(_stops(spark, sf_dir))), "stops")
     hops = transit.connections(*_trips(spark, sf_dir), stops)
-    return stops, transit.latest_departures(hops, transit.footpaths(stops), transit.to_destination(stops, near), near)
+    return stops, transit.latest_departures(hops, transit.place_paths(stops), transit.to_destination(stops, near), near, stops)
 
 
 @query(f"WITH RECURSIVE {_LABELS} SELECT target::INT AS target, stop::VARCHAR AS stop_id, round(latest, 3)::DOUBLE AS latest, round(arrival, 3)::DOUBLE AS arrival, route, board::VARCHAR AS board FROM best")

@@ -245,6 +245,26 @@ def test_latest_departures_of_nothing(spark):
     assert {(r.target, r.latest, r.arrival) for r in transit.latest_departures(hops, paths, near).collect()} == {(t, 30_000.0, 30_110.0) for t in range(30_600, 33_001, 600)}
 
 
+def test_stops_of_a_place_have_labels_in_common(spark):
+    import random
+
+    from placeframe.operators import transit
+
+    rng = random.Random(5)
+    stops = transit.with_places(spark.createDataFrame([(i, f"s{i}", f"Stop {i}", 55.9 + i % 8 * 0.002, -3.2) for i in range(64)], "stop long, stop_id string, name string, lat double, lng double"))
+    assert transit.place_paths(stops).count() == 14 and {(r.stop, r.place) for r in stops.select("stop", "place").collect()} == {(i, i % 8) for i in range(64)}
+    hops = []
+    for trip in range(80):
+        t, at = rng.randrange(23_400, 32_000, 60), rng.sample(range(64), 4)
+        for n, (u, v) in enumerate(zip(at, at[1:], strict=False)):
+            hops.append((t, t + 90, u, v, f"t{trip}", n, "r", u % 8, v % 8))
+            t += 120
+    conns = spark.createDataFrame(hops, "dep int, arr int, u long, v long, trip string, seq int, route string, pu long, pv long")
+    near = spark.createDataFrame([(3, 60.0)], "stop long, walk_s double")
+    single = transit.latest_departures(conns, transit.footpaths(stops), near).collect()
+    assert sorted(transit.latest_departures(conns, transit.place_paths(stops), near, stops=stops).collect()) == sorted(single) and len(single) == 5 * 64
+
+
 def test_service_day(spark):
     from placeframe.operators import transit
 
