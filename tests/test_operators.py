@@ -310,6 +310,25 @@ def plain_thin(line, tolerance):
     return [line[0], line[-1]] if off(line[k]) <= tolerance else plain_thin(line[: k + 1], tolerance)[:-1] + plain_thin(line[k:], tolerance)
 
 
+def test_rounds_of_lines_end_with_the_longest_chain_or_ring(spark, monkeypatch):
+    """However many lines there are: rings of two and three and chains of three among 600 lines by themselves."""
+    written, write = [], lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df, name: written.append(name) or write(df, name))
+    ways = [(f"k{i}", 10 * i + j, a, b) for i in range(20) for j, (a, b) in enumerate([(0, 1), (1, 0), (2, 3), (3, 4), (4, 2), (5, 6), (7, 6), (7, 8)])] + [("alone", 1000 + i, 2 * i, 2 * i + 1) for i in range(600)]
+    df = spark.createDataFrame([(k, n, [(float(a), 0.0), (float(b), 0.0)]) for k, n, a, b in ways], "key string, line int, points array<struct<x:double,y:double>>")
+    got = lines.merged(df).collect()
+    assert sorted((r.chain % 10, [int(p.x) for p in r.points]) for r in got if r.key == "k7") == [(0, [0, 1, 0]), (2, [2, 3, 4, 2]), (5, [5, 6, 7, 8])]
+    assert len(got) == 660 and written.count("lines-jumps") <= 5
+
+
+def test_counted_routes_hold_no_lines(spark):
+    at = "struct<lat:double,lon:double>"
+    rel = [(i, "relation", {"route": "tram", "name": "T"}, [("way", "", [(float(i), 0.0), (float(i) + 0.4, 0.0)])], None, None) for i in range(4)]
+    df = spark.createDataFrame(rel, f"ord long, type string, tags map<string,string>, members array<struct<type:string,role:string,geometry:array<{at}>>>, lat double, lon double")
+    out = layers.tram_layer(df, counted=True)
+    assert [r.lines for r in out.collect()] == [4] == [len(r.lines) for r in layers.tram_layer(df).collect()] and "collect_list" not in _plan(out)
+
+
 def test_lines_simplify(spark):
     import random
 
