@@ -196,6 +196,35 @@ def test_large_groups_are_divided(spark, docs, monkeypatch):
     assert got == X.jaccard_components(rows)
 
 
+def test_blocks_with_many_pairs_hand_on_the_closest_first(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "EVERY", 0)
+    assert sorted(tuple(r) for r in ngram_join.link(docs).collect()) == X.jaccard_components(pairs())
+
+
+def test_copies_send_no_keys(spark, monkeypatch):
+    rows = [(k, X.words(random.Random(k % 5), 30)) for k in range(60)] + [(99, None)]
+    held, groups = [], ngram_join._groups
+    monkeypatch.setattr(ngram_join, "_groups", lambda sets, *a: held.append(sets.count()) or groups(sets, *a))
+    got = sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == X.jaccard_components(rows) and held == [5]
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_IDS", 0)
+    assert sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows[:5] + rows[60:], "doc_id long, text string")).collect()) == X.jaccard_components(rows[:5] + rows[60:])
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    from placeframe.llm import components as C
+
+    edges = [(k, k + 1) for k in range(300)] + [(1000 + k, 1001) for k in range(50)]
+    random.Random(3).shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    want = sorted([(k, 0) for k in range(1, 301)] + [(1000 + k, 1000) for k in range(1, 50)])
+    monkeypatch.setattr(C, "TASK_EDGES", 20)
+    assert sorted(map(tuple, C.components(df).collect())) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(C, "_star", None)
+    assert sorted(map(tuple, C.components(df).collect())) == want
+
+
 def test_linked_sets_share_a_key():
     rng = random.Random(9)
     for _ in range(300):
