@@ -162,6 +162,28 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, lng: str = "lng", l
     return left.join(right, near & inside).drop("__pz", "__px", "__py", "__z", "__cx", "__cy", "__rings")
 
 
+def at_shared_places(points: DataFrame, polygons: DataFrame, lng: str = "lng", lat: str = "lat", polys: str = "polys", boundary: str = "closed") -> DataFrame:
+    """As :func:`point_in_polygon`, for many points at one position and many features of one shape.
+
+    Each distinct shape is covered once and each distinct position tested once; hits are spread to the features of their shape, and
+    those to the points of their position, by equi-joins. The result may hold the product of both tables; covers, tests and what is
+    written grow with the distinct shapes and positions only.
+    """
+    own = [c for c in polygons.columns if c != polys]
+    # Ids that hang on the order of tasks are written before they are used.
+    shapes = materialise(polygons.select(F.col(polys).alias("__polys")).distinct().withColumn("__shape", F.monotonically_increasing_id()), "shapes")
+    places = points.select(F.col(lng).alias("__x"), F.col(lat).alias("__y")).where("__x is not null and __y is not null").distinct()
+    # Covers and hits are small in their files, and Spark would broadcast them from the driver.
+    covered = cover(shapes, "__polys")
+    hits = materialise(point_in_polygon(places, shapes, "__x", "__y", "__polys", boundary, covered.hint("merge")), "hits")
+    discard(covered)
+    # Features meet their shape by its hash; the shapes themselves are compared but not sorted.
+    keyed = shapes.withColumn("__key", F.xxhash64("__polys")).hint("merge")
+    features = polygons.join(keyed, (F.xxhash64(polys) == F.col("__key")) & (F.col(polys) <= F.col("__polys")) & (F.col(polys) >= F.col("__polys"))).select(*own, F.col("__shape").alias("__own"))
+    found = hits.hint("merge").join(features, F.col("__shape") == F.col("__own")).select("__x", "__y", *own)
+    return points.join(found.hint("merge"), (F.col(lng) == F.col("__x")) & (F.col(lat) == F.col("__y"))).drop("__x", "__y")
+
+
 def first_hit(points: DataFrame, polygons: DataFrame, key: str, order: str, fields: list[str], name: str, **kw) -> DataFrame:
     """Add ``name``, a struct of the fields of the containing polygon that is first by ``order`` (null without one)."""
     hits = point_in_polygon(points.select(key, kw.get("lng", "lng"), kw.get("lat", "lat")), polygons, **kw)

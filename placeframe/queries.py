@@ -208,7 +208,7 @@ def adaptive_cover(spark, sf_dir):
     comb = spark.range(1).select(F.lit(-1).cast("long").alias("feature_id"), F.array(F.array(F.concat(F.array(corner(-3.66, 55.8), corner(-2.46, 55.8)), teeth))).alias("polys"))
     at = lambda dx, dy: F.struct((F.col("lng") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
     squares = _points(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("feature_id"), F.array(F.array(F.array(at(0.0, 0.0), at(0.003, 0.0), at(0.003, 0.003), at(0.0, 0.003)))).alias("polys"))
-    return spatial.point_in_polygon(_shifted(spark, sf_dir), comb.unionByName(squares)).select("c_custkey", "feature_id")
+    return spatial.at_shared_places(_shifted(spark, sf_dir), comb.unionByName(squares)).select("c_custkey", "feature_id")
 
 
 @query(f"WITH {_BOXES}, {_INSIDE} SELECT c_custkey, arg_max(school, feature_id) FILTER (sector <> 'RC') AS catchment, arg_max(school, feature_id) FILTER (sector = 'RC') AS catchment_rc, min(top_rank) AS top_school_rank FROM hits GROUP BY c_custkey")

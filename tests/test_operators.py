@@ -107,6 +107,42 @@ def test_point_in_polygon_modes(spark):
     assert spatial.at_point(layer, 0.01, 0.01).count() == 1
 
 
+def test_shared_places_are_covered_and_tested_once(spark, tmp_path, monkeypatch):
+    from placeframe import queries
+
+    given, cover, pairs = [], spatial.cover, spatial.point_in_polygon
+
+    def covering(polygons, *a, **kw):
+        given.append(("shapes", polygons.count()))
+        return cover(polygons, *a, **kw)
+
+    def testing(points, *a, **kw):
+        given.append(("places", points.count()))
+        return pairs(points, *a, **kw)
+
+    monkeypatch.setattr(spatial, "cover", covering)
+    shapes = [[SQUARE(0.0, 0.0, 0.4, 0.4) + SQUARE(0.1, 0.1, 0.2, 0.2)], [SQUARE(-0.3, -0.3, 0.2, 0.2)], [SQUARE(0.1, -0.2, 0.3, 0.3), SQUARE(-0.4, 0.1, -0.1, 0.4)]]
+    layer = spark.createDataFrame([(i, f"n{i}", shapes[i % 3]) for i in range(24)] + [(30, "none", None), (31, "empty", []), (32, "minus", [SQUARE(-0.0, -0.0, 0.4, 0.4) + SQUARE(0.1, 0.1, 0.2, 0.2)])], f"feature_id int, name string, polys {POLYS}")
+    at = [(x / 20, y / 20) for x in range(-9, 10) for y in range(-9, 10)]
+    pts = spark.createDataFrame([(i, *at[i % len(at)]) for i in range(2 * len(at))] + [(-1, None, 0.1), (-2, 0.1, None), (-3, -0.0, 0.05)], "id int, lng double, lat double")
+    for boundary in ("closed", "half_open"):
+        want = pairs(pts, layer, boundary=boundary)
+        given.clear()
+        monkeypatch.setattr(spatial, "point_in_polygon", testing)
+        got = spatial.at_shared_places(pts, layer, boundary=boundary)
+        monkeypatch.setattr(spatial, "point_in_polygon", pairs)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert given == [("shapes", 5), ("places", len(at))]
+    # Keys 165,200 apart have one position.
+    keys = [k + 165_200 * i for k in range(20) for i in range(2)]
+    for name, key in (("customer", "c_custkey"), ("part", "p_partkey")):
+        spark.createDataFrame([(k,) for k in keys], f"{key} long").write.parquet(f"{tmp_path}/{name}.parquet")
+    given.clear()
+    rows = {tuple(r) for r in queries.adaptive_cover(spark, str(tmp_path)).collect()}
+    assert given == [("shapes", 21)] and {(a, b) for a in keys for b in keys if (a - b) % 165_200 == 0} <= rows
+    assert all(((c + 165_200) % 330_400, f) in rows for c, f in rows)
+
+
 def test_rings_with_holes(spark):
     shell, hole = [(0.0, 0.0), (0.0, 9.0), (9.0, 9.0), (9.0, 0.0), (0.0, 0.0)], [(3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (3.0, 6.0), (3.0, 3.0)]
     df = spark.createDataFrame([([shell, hole],), ([hole],), ([hole[:3]],)], "rings array<array<struct<x:double,y:double>>>")
