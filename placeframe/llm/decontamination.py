@@ -302,7 +302,9 @@ def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool,
             if n and (len(n) >= MIN_WINDOWS or len(n) >= MIN_COVERAGE * total):
                 counted[row, item] = len(n), total, same, slots_met
         for pair, told in _copied(b, c).items():
-            counted.setdefault(pair, told)
+            # Windows without slots are plain words: these count them all, also where a word's capital is a name in one of the two texts.
+            if pair not in counted or counted[pair][2:] == (True, 0):
+                counted[pair] = told
         for (row, item), (n, total, same, slots_met) in sorted(counted.items()):
             yield first + row, item, n, total, same, slots_met
 
@@ -310,7 +312,7 @@ def match(b: Block, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool,
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per pair: document id, item id, matched windows, the item's windows, coverage, kind and slots compared.
 
-    The windows are of canonical tokens where these decide, else of plain words (then no slots are compared).
+    The windows are of canonical tokens where these decide and compare slots, else of plain words.
     """
     spark = docs.sparkSession
     ship_package(spark)

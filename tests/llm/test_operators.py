@@ -288,6 +288,15 @@ def test_decontamination(spark):
     assert {r.item_id for r in decontamination.unsearchable(items).collect()} == {3, 7}
 
 
+def test_a_capital_within_a_line_costs_no_window(spark):
+    item = "Every morning the old miller walks down to the river and counts the boats that pass below the bridge"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, f"we were told that {item} and so on")], "doc_id long, text string")
+    total = len(item.split()) - 9
+    got = decontamination.contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.n_windows, r.item_windows, r.coverage, r.kind, r.n_slots) for r in got) == [(d, total, total, 1.0, "verbatim", 0) for d in (1, 2)]
+
+
 def test_copies_against_brute_force(spark):
     rng = random.Random(22)
     items = [(i, X.words(rng, rng.choice((3, 5, 8, 12, 25))).capitalize()) for i in range(25)] + [(30, None), (31, "!?")]
