@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,33 @@ def test_copies_send_no_keys(spark, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows[:5] + rows[60:], "doc_id long, text string")).collect()) == X.jaccard_components(rows[:5] + rows[60:])
 
 
+def test_a_line_that_is_everywhere_makes_no_large_group(spark, monkeypatch):
+    rng = random.Random(5)
+    line = X.words(rng, 40)
+    rows = [(k, f"{X.words(rng, 130)} {line}") for k in range(250)]
+    rows += [(250 + k, rows[k][1] + " " + X.words(rng, 8)) for k in range(0, 250, 25)]
+    monkeypatch.setattr(ngram_join, "SAMPLE_ONE_IN", 1, raising=False)
+    held, groups = [], ngram_join._groups
+    monkeypatch.setattr(ngram_join, "_groups", lambda *a: held.append(groups(*a)) or held[0])
+    monkeypatch.setattr(ngram_join, "discard", lambda *a: None)  # the groups' inputs stay
+    got = sorted(tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == X.jaccard_components(rows) and len({r[2] for r in got}) == 250
+    assert max(r["count"] for r in held[0].groupBy("gid").count().collect()) < 20
+
+
+def test_a_distance_beyond_what_is_asked_is_not_worked_out_in_full():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sizes = np.full(20, 200)
+    rows = np.repeat(np.arange(20), 200)
+    h[200:400] = h[:200]
+    h[395:400] += np.uint64(12345)
+    bits = ngram_join.Sketches(pa.array(ngram_join.sketches(h, rows, sizes), pa.binary()))
+    a, b = (x.ravel() for x in np.triu_indices(20, 1))
+    whole, some = bits.distance(a, b, np.full(len(a), 1 << 30)), bits.distance(a, b, np.full(len(a), 57))
+    assert (some <= whole).all() and ((some <= 57) == (whole <= 57)).all()
+    assert 0 < whole[0] <= 10 and some[0] == whole[0] and (some[1:] < whole[1:]).any()
+
+
 def test_few_edges_take_no_rounds(spark, monkeypatch):
     from placeframe.llm import components as C
 
