@@ -89,8 +89,8 @@ _METRES = "2 * 6371000.0 * asin(sqrt(pow(sin((radians(b.lat) - radians(a.lat)) /
 @query(f"WITH {_STOPS} SELECT a.k::VARCHAR AS u, b.k::VARCHAR AS x, round({_METRES} * 1.3 / (4.8 / 3.6), 2) AS walk_s FROM stops a, stops b WHERE a.k <> b.k AND a.lat < 56.08 AND b.lat < 56.08 AND {_METRES} <= 300")
 def footpaths(spark, sf_dir):
     stops = transit.stops_in_area(_stops(spark, sf_dir))
-    near = transit.footpaths(stops, also=("stop_id",))
-    return near.select(F.col("u_stop_id").alias("u"), F.col("x_stop_id").alias("x"), F.round("walk_s", 2).alias("walk_s"))
+    near = transit.footpaths(stops, also=("stop_id",), digits=2)
+    return near.select(F.col("u_stop_id").alias("u"), F.col("x_stop_id").alias("x"), "walk_s")
 
 
 @query(f"WITH {_STOPS} SELECT a.k::VARCHAR AS stop_id, round({_METRES} * 1.3 / (4.8 / 3.6), 2) AS walk_s FROM stops a, (SELECT 55.95196 AS lat, -3.18992 AS lng) b WHERE {_METRES} <= 2000")

@@ -623,6 +623,18 @@ def test_footpaths_work_out_distances_between_places(spark):
     assert all(got[u, x][1:] == (f"s{u}", f"s{x}") and (got[u, x][0] == 0) == (u % 3 == x % 3) for u, x in got)
 
 
+def test_footpaths_round_between_places_and_deal_crowded_ones_into_parts(spark, monkeypatch):
+    from placeframe.operators import transit
+
+    stops = spark.createDataFrame([(i, 55.9 + i % 3 * 0.002, -3.2) for i in range(30)], "stop long, lat double, lng double")
+    whole = {(r.u, r.x): r.walk_s for r in transit.footpaths(stops).collect()}
+    monkeypatch.setattr(transit, "CROWD", 4, raising=False)
+    out = transit.footpaths(stops, digits=2)
+    rows = out.collect()
+    assert len(rows) == len(whole) and {(r.u, r.x): r.walk_s for r in rows} == {k: round(v, 2) for k, v in whole.items()}
+    assert out.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+
+
 def test_duplicates_are_joined_by_sorting_not_from_the_driver(spark, monkeypatch):
     from placeframe.query_sets.homes import crowd
 
